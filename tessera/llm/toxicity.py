@@ -30,6 +30,7 @@ LEAST_TEXTS = 4
 #: Bounds of the labelled sample that the classifier is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 3000, 4500, 1 << 16
 EPOCHS = 14
+WORDS_AT_ONCE = 50_000
 #: Frequent function words, by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to is that was for with are this be",
@@ -95,9 +96,19 @@ class Model:
         return r
 
     def logits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and guessed language (0: none) of each text."""
-        if not texts:
-            return np.zeros(0), np.zeros(0, np.int64)
+        """Logit and guessed language (0: none) of each text, about WORDS_AT_ONCE words at a time."""
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))]
+        k = 0
+        while k < len(texts):
+            n, words = k + 1, len(texts[k])
+            while n < len(texts) and words + len(texts[n]) <= WORDS_AT_ONCE:
+                words += len(texts[n])
+                n += 1
+            found.append(self._logits(texts[k:n]))
+            k = n
+        return np.concatenate([z for z, _ in found]), np.concatenate([y for _, y in found])
+
+    def _logits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ids, starts, pad = self.layout(texts)
         best = np.maximum.reduceat(self.responses(ids, pad), starts, axis=0)
         found = np.where(pad, 0, _LANGUAGES[ids & (BUCKETS - 1)])
@@ -264,15 +275,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = [word_hashes(x) for x in pdf.text]
-            found, k = np.zeros(len(texts)), 0
-            while k < len(texts):  # about 100,000 words at a time
-                n, words = k, 0
-                while n < len(texts) and (n == k or words + len(texts[n]) < 100_000):
-                    words += len(texts[n])
-                    n += 1
-                found[k:n] = model.value.scores(texts[k:n])
-                k = n
+            found = np.concatenate([np.zeros(0), *(model.value.scores([word_hashes(x) for x in pdf.text[k : k + 64]]) for k in range(0, len(pdf), 64))])
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "score": found, "predicted": (found >= 0.5).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_bytes(F.col("text")).alias("text"))
