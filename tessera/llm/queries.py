@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, nearest, packing, sharding, simhash, topk, toxicity
+from tessera.llm import chat, line_dedup, lm_scoring, mixing, nearest, packing, sharding, simhash, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -29,6 +29,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality."""
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_packing, op4_topk, op5_simhash, op8_mixing, op9_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_packing, op4_topk, op5_simhash, op6_lm_scoring, op7_chat_format, op8_mixing, op9_toxicity, op10_sharding)}
 
 _USABLE = """vec_id is not null and embedding is not null and list_count(embedding) = len(embedding) and
   coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)"""
@@ -56,6 +65,7 @@ pairs as (
 )
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs) where rank <= 10
 """,
+    "op7_chat_format": chat.ORACLE,
     "op4_topk": f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings where {_USABLE}),
 pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e))
