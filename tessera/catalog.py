@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.queries import operations, structure, text_rules  # noqa: F401  registers its queries
+from tessera.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -95,6 +95,7 @@ def last_word(text: Column) -> Column:
 
 
 def milliseconds(value: Column) -> Column:
+    """Seconds with two decimals from 1000 on, else whole milliseconds; halves round up."""
     return F.when(value >= 1000, F.format_string("%.2f s", value / 1000)).otherwise(F.concat(F.floor(value + 0.5).cast("string"), F.lit(" ms")))
 
 
