@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that counts as blank, as a regular-expression class.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -58,7 +59,7 @@ def split_guidance(text: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed(text: pd.Series) -> pd.Series:
     """Compatibility decomposition (NFKD); there is no built-in for it."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))

@@ -74,47 +74,57 @@ def cell_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def text_problem(value: Column, required: bool) -> Column:
-    kind = kind_of(value)
+def read_cell(value: Column) -> Column:
+    """struct(kind, text) of a cell: all that the checks need to know of it."""
+    return F.struct(kind_of(value).alias("kind"), cell_text(value).alias("text"))
+
+
+def text_problem(cell: Column, required: bool) -> Column:
+    kind = F.coalesce(cell["kind"], F.lit("blank"))
     return F.when(kind == "blank", F.lit("is required.") if required else F.lit(None)).when(kind == "object", "must contain text.")
 
 
 def whole_number(text: Column, is_number: Column, minimum: int) -> Column:
     """The whole number that a cell holds, or null: digits alone in text, integral numbers."""
-    number = F.when(is_number, F.expr("cast(null as double)")).otherwise(F.lit(None).cast("double"))
     number = F.when(is_number, text.try_cast("double")).when(trimmed(text).rlike("^[0-9]+$"), trimmed(text).try_cast("double"))
     return F.when((number == F.floor(number)) & (number >= minimum), number.try_cast("bigint"))
 
 
-def whole_problem(value: Column, required: bool, minimum: int = 1) -> Column:
-    kind, text = kind_of(value), cell_text(value)
-    good = whole_number(text, kind == "number", minimum).isNotNull() & kind.isin("number", "text")
-    return F.when(kind == "blank", F.lit("is required.") if required else F.lit(None)).when(~F.coalesce(good, F.lit(False)), f"must be a whole number of at least {minimum}.")
+def cell_number(cell: Column, minimum: int) -> Column:
+    return F.when(cell["kind"].isin("number", "text"), whole_number(cell["text"], cell["kind"] == "number", minimum))
+
+
+def whole_problem(cell: Column, required: bool, minimum: int = 1) -> Column:
+    kind = F.coalesce(cell["kind"], F.lit("blank"))
+    good = cell_number(cell, minimum).isNotNull()
+    return F.when(kind == "blank", F.lit("is required.") if required else F.lit(None)).when(~good, f"must be a whole number of at least {minimum}.")
 
 
 def response_space(label: Column, lines: Column, pages: Column) -> Column:
-    """The decision table of response space: struct(mode, lines, pages, col, problem).
+    """The decision table of response space: struct(mode, lines, pages, col, name, problem).
 
     ``problem`` is null where the three cells agree, else says what is wrong with
-    column ``col``; all but ``col`` and ``problem`` are null then or without a label.
+    column ``col``; mode, lines and pages are null then or without a label.
     """
     name = trimmed(label)
     mode = F.create_map(*[F.lit(x) for kv in RESPONSE_MODES.items() for x in kv])[name]
+    both = "Custom lines / Total response pages"
     rules = [
-        (is_blank(label) & (lines.isNotNull() | pages.isNotNull()), 8, F.lit("must be set before entering Custom lines or Total response pages.")),
-        (~is_blank(label) & mode.isNull(), 8, F.lit("must use one of the template dropdown choices.")),
-        ((mode == "custom-lines") & lines.isNull(), 9, F.lit("is required for Custom lines.")),
-        ((mode == "custom-lines") & pages.isNotNull(), 10, F.lit("must be blank for Custom lines.")),
-        ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, F.lit("must be a whole number of at least 2 for Multiple pages.")),
-        ((mode == "multiple-pages") & lines.isNotNull(), 9, F.lit("must be blank for Multiple pages.")),
-        (~mode.isin("custom-lines", "multiple-pages") & lines.isNotNull(), 9, F.concat(F.lit("must be blank for "), name, F.lit("."))),
-        (~mode.isin("custom-lines", "multiple-pages") & pages.isNotNull(), 10, F.concat(F.lit("must be blank for "), name, F.lit("."))),
+        (is_blank(label) & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("must be set before entering Custom lines or Total response pages.")),
+        (~is_blank(label) & mode.isNull(), 8, "Response space", F.lit("must use one of the template dropdown choices.")),
+        ((mode == "custom-lines") & lines.isNull(), 9, "Custom lines", F.lit("is required for Custom lines.")),
+        ((mode == "custom-lines") & pages.isNotNull(), 10, "Total response pages", F.lit("must be blank for Custom lines.")),
+        ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, "Total response pages", F.lit("must be a whole number of at least 2 for Multiple pages.")),
+        ((mode == "multiple-pages") & lines.isNotNull(), 9, "Custom lines", F.lit("must be blank for Multiple pages.")),
+        (~mode.isin("custom-lines", "multiple-pages") & lines.isNotNull(), 9, both, F.concat(F.lit("must be blank for "), name, F.lit("."))),
+        (~mode.isin("custom-lines", "multiple-pages") & pages.isNotNull(), 10, both, F.concat(F.lit("must be blank for "), name, F.lit("."))),
     ]
-    problem, col = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for when, k, text in reversed(rules):
-        problem, col = F.when(when, text).otherwise(problem), F.when(when, k).otherwise(col)
+    found = F.lit(None).cast("struct<col:int,name:string,problem:string>")
+    for when, k, cell, text in reversed(rules):
+        found = F.when(when, F.struct(F.lit(k).alias("col"), F.lit(cell).alias("name"), text.alias("problem"))).otherwise(found)
+    col, problem = found["col"], found["problem"]
     good = problem.isNull()
-    return F.struct(F.when(good, mode).alias("mode"), F.when(good & (mode == "custom-lines"), lines).alias("lines"), F.when(good & (mode == "multiple-pages"), pages).alias("pages"), col.alias("col"), problem.alias("problem"))
+    return F.struct(F.when(good, mode).alias("mode"), F.when(good & (mode == "custom-lines"), lines).alias("lines"), F.when(good & (mode == "multiple-pages"), pages).alias("pages"), col.alias("col"), found["name"].alias("name"), problem.alias("problem"))
 
 
 def missing_tabs(cells: DataFrame, contract: DataFrame) -> DataFrame:
@@ -140,15 +150,15 @@ def place(sheet: Column, row: Column, col: Column) -> Column:
 
 
 def data_rows(cells: DataFrame) -> DataFrame:
-    """One row a data row: _KEY and ``at``, a map from column to value.
+    """One row a data row: its key and c2 to c10, each what ``read_cell`` says of a column.
 
     Rows from the first data row on, where some contract column after the note
     column is not blank; columns beyond the contract are ignored.
     """
     width = F.create_map(*[F.lit(x) for s, h in HEADERS.items() for x in (s, len(h))])[F.col("sheet")]
-    own = cells.where((F.col("row") >= FIRST_DATA_ROW) & F.col("col").between(2, width)).withColumn("filled", kind_of(F.col("value")) != "blank")
-    wide = own.groupBy(*_KEY).agg(F.max("filled").alias("filled"), *[F.first(F.when(F.col("col") == k, F.col("value")), ignorenulls=True).alias(f"c{k}") for k in range(2, 11)])
-    return wide.where("filled").drop("filled")
+    own = cells.where((F.col("row") >= FIRST_DATA_ROW) & F.col("col").between(2, width)).select(*_KEY, "col", read_cell(F.col("value")).alias("cell")).where("cell.kind <> 'blank'")
+    wide = own.groupBy(*_KEY).agg(*[F.max(F.when(F.col("col") == k, F.col("cell"))).alias(f"c{k}") for k in range(2, 11)])
+    return wide
 
 
 def typed_rows(rows: DataFrame, tab: str) -> tuple[DataFrame, DataFrame]:
@@ -157,23 +167,24 @@ def typed_rows(rows: DataFrame, tab: str) -> tuple[DataFrame, DataFrame]:
     out, problems = list(_KEY), []
     rank = 2 if tab == "Workbook" else 3 if tab == "Lessons" else 4 + ITEM_TABS.index(tab)
     for k, (col, field, kind, required) in enumerate(FIELDS[tab]):
-        value = F.col(f"c{col}")
+        cell = F.col(f"c{col}")
         if kind == _WHOLE:
-            problem, value = whole_problem(value, required), whole_number(cell_text(value), kind_of(value) == "number", 1)
+            problem, value = whole_problem(cell, required), cell_number(cell, 1)
         else:
-            problem, text = text_problem(value, required), F.when(~kind_of(value).isin("blank", "object"), cell_text(value))
+            problem, text = text_problem(cell, required), F.when(cell["kind"] != "object", cell["text"])
             value = split_guidance(text) if kind == _GUIDE_KIND else text
         out.append(value.alias(field))
-        # the unknown-lesson check (rank 3 of a row) comes between the order and the text cells
+        # the unknown-lesson check (rank 2 of a row) comes between the order and the text cells
         problems.append((k if k < 2 or tab not in ITEM_TABS else k + 1, col, HEADERS[tab][col - 1], problem))
     if tab in ITEM_TABS and tab != "Vocabulary":
         last = len(FIELDS[tab]) + 2
-        lines, pages = [whole_number(cell_text(F.col(c)), kind_of(F.col(c)) == "number", m) for c, m in (("c9", 0), ("c10", 1))]
-        space = response_space(cell_text(F.col("c8")), lines, pages)
-        out.append(F.when(space["mode"].isNotNull(), F.struct(space["mode"].alias("mode"), space["lines"].alias("lines"), space["pages"].alias("pages"))).alias("response_space"))
-        problems += [(last, 8, "Response space", text_problem(F.col("c8"), False)), (last + 1, 9, "Custom lines", whole_problem(F.col("c9"), False, 0)), (last + 2, 10, "Total response pages", whole_problem(F.col("c10"), False, 1))]
-        clean = F.coalesce(text_problem(F.col("c8"), False), whole_problem(F.col("c9"), False, 0), whole_problem(F.col("c10"), False, 1)).isNull()
-        problems.append((last + 3, space["col"], F.when(space["col"] == 8, "Response space").when(F.col("c9").isNotNull() | F.col("c10").isNotNull(), "Custom lines / Total response pages").otherwise("Total response pages"), F.when(clean, space["problem"])))
+        label, lines, pages = F.col("c8"), F.col("c9"), F.col("c10")
+        own = own.withColumn("space", response_space(label["text"], cell_number(lines, 0), cell_number(pages, 1)))
+        mode = F.col("space.mode")
+        out.append(F.when(mode.isNotNull(), F.struct(mode.alias("mode"), F.col("space.lines").alias("lines"), F.col("space.pages").alias("pages"))).alias("response_space"))
+        cells = [(8, "Response space", text_problem(label, False)), (9, "Custom lines", whole_problem(lines, False, 0)), (10, "Total response pages", whole_problem(pages, False, 1))]
+        problems += [(last + k, *x) for k, x in enumerate(cells)]
+        problems.append((last + 3, F.col("space.col"), F.col("space.name"), F.when(F.coalesce(*[p for _, _, p in cells]).isNull(), F.col("space.problem"))))
     one = [F.struct(F.lit(k).alias("step"), (F.lit(c) if isinstance(c, int) else c).alias("col"), (F.lit(n) if isinstance(n, str) else n).alias("name"), p.alias("problem")) for k, c, n, p in problems]
     spread = own.select(*_KEY, F.explode(F.filter(F.array(*one), lambda x: x["problem"].isNotNull())).alias("p"))
     message = F.format_string('"%s" row %d, %s %s', "sheet", "row", "p.name", "p.problem")
@@ -238,7 +249,7 @@ def parse(cells: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """
     spark = cells.sparkSession
     contract = contract_table(spark)
-    rows = data_rows(cells)
+    rows = data_rows(cells).persist()  # read by every check; lost parts are computed again
     typed, bad = {}, [missing_tabs(cells, contract), wrong_headers(cells, contract)]
     for tab in TABS:
         typed[tab], problems = typed_rows(rows, tab)

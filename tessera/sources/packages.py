@@ -18,7 +18,7 @@ MANIFEST = "schemaVersion int, id string, bookTitle string, author string, serie
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole JSON files; a malformed one keeps its text in ``malformed``, and ``doc`` is the raw value."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     doc = F.try_parse_json("value")
     return raw.select("file_path", F.when(doc.isNull(), F.col("value")).alias("malformed"), doc.alias("doc"), F.from_json("value", schema).alias("d")).select("file_path", "malformed", "doc", "d.*")
 
@@ -45,7 +45,7 @@ def write_packages(documents: DataFrame, violations: DataFrame, path: str, key:
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:
     """id, title, posted_at, images and body of markdown files with front matter."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]+$", 1).alias("id"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]+$", 1).alias("id"), "value")
     return notices_of(raw)
 
 
