@@ -2,9 +2,10 @@
 
 Documents become runs of token ids.  The pieces are dealt to partitions, each of
 which packs best-fit decreasing and computes lower bounds on its bins.  A
-partition whose bins equal its bound is certified and closed.  The others keep
-their full bins and exchange the documents of the rest: these are dealt anew,
-over fewer partitions, and packed again until nothing improves.
+partition whose bins equal its bound is certified and closed, but for bins that
+are less than three quarters full.  The others keep their full bins and exchange
+the documents of the rest: these are dealt anew, over fewer partitions, and packed
+again until nothing improves.
 """
 
 from __future__ import annotations
@@ -126,8 +127,8 @@ def _packed(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     sizes = pdf["length"].to_numpy(np.int64)
     bins, offsets, count = best_fit(sizes, capacity)
-    used = np.bincount(bins, weights=sizes, minlength=count)
-    return pdf.assign(bin=bins, offset=offsets, bins=count, bound=lower_bound(sizes, capacity), open=used[bins] < capacity)
+    used, bound = np.bincount(bins, weights=sizes, minlength=count), lower_bound(sizes, capacity)
+    return pdf.assign(bin=bins, offset=offsets, bins=count, bound=bound, loose=(used[bins] < capacity) & ((count > bound) | (4 * used[bins] < 3 * capacity)))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
@@ -136,7 +137,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     Each round's groups hold about ``group_items`` pieces however many there are,
     dealt by a hash of the piece, so one source or document can't fill a group.
     """
-    out_schema = PIECES + ", round int, part int, bin long, offset long, bins long, bound long, open boolean"
+    out_schema = PIECES + ", round int, part int, bin long, offset long, bins long, bound long, loose boolean"
 
     def dealt(pool: DataFrame, parts: int, turn: int) -> DataFrame:
         keyed = pool.withColumn("round", F.lit(turn)).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).cast("int"))
@@ -151,8 +152,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
     last = settle(dealt(items.select(columns), parts, 0), "packed-0")
     closed: list[DataFrame] = []
     for turn in range(1, rounds):
-        loose = F.col("open") & (F.col("bins") > F.col("bound"))
-        pool = last.where(loose)
+        pool = last.where("loose")
         n, before = pool.agg(F.count("*"), F.count_distinct("part", "bin")).first()
         if not n or before < 2:
             break
@@ -161,7 +161,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
         after = again.agg(F.count_distinct("part", "bin")).first()[0]
         if after >= before:
             break
-        closed.append(last.where(~loose))
+        closed.append(last.where("not loose"))
         last = again
         if parts == 1:
             break
