@@ -1,8 +1,9 @@
 """Removal of repeated passages by content-defined line chunks.
 
 A text is cut into lines and its lines into chunks.  A chunk ends where a rolling
-hash over the hashes of the last lines falls into one of ``MEAN_LINES`` classes,
-so equal passages are cut alike wherever they stand.  Chunks whose hash occurs
+hash over the hashes of the last two lines falls into the first of ``CLASSES``
+classes and did not one line before.  That depends on three lines alone, so equal
+passages are cut alike wherever they stand, and chunks have two lines at least.  Chunks whose hash occurs
 more than once are compared byte by byte, and all but the first are removed.
 Everything here is a DataFrame expression; no Python runs on the executors.
 """
@@ -12,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A chunk has about so many lines; a line of over LONG_WORDS words is a chunk of its own.
-MEAN_LINES, LONG_WORDS = 3, 50
+from tessera.llm.common import settle
+
+#: Chunks have 4.5 lines in the mean; a line of over LONG_WORDS words is a chunk of its own.
+CLASSES, LONG_WORDS = 3, 50
 
 
 def line_hash(line: Column) -> Column:
@@ -39,8 +42,12 @@ def chunked(docs: DataFrame, *keep: str) -> DataFrame:
     def ends(i: Column) -> Column:
         at = lambda k: F.element_at("mark", k.cast("int"))
         n = F.size("mark")
-        rolled = at(i)["h"] + F.when(i > 1, at(F.greatest(i - 1, F.lit(1)))["h"] * 31).otherwise(F.lit(0))
-        return (i == n) | at(i)["long"] | at(F.least(i + 1, n))["long"] | (rolled % MEAN_LINES == 0)
+
+        def first_class(k: Column) -> Column:
+            before = F.when(k > 1, at(F.greatest(k - 1, F.lit(1)))["h"]).otherwise(F.lit(0))
+            return (at(F.greatest(k, F.lit(1)))["h"] + before * 31) % CLASSES == 0
+
+        return (i == n) | at(i)["long"] | at(F.least(i + 1, n))["long"] | (first_class(i) & ((i == 1) | ~first_class(i - 1)))
 
     out = one(out, "ending", F.filter(F.sequence(F.lit(1), F.size("line")), ends))
 
@@ -84,11 +91,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     null text stays null.  Rows that repeat a doc_id with the same text are one
     document seen twice and share its fate.  An empty table stays empty.
     """
-    found = docs.join(removals(docs), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    hit = found.where("gone is not null")
-    columns = [c for c in docs.columns if c != "text"]
-    cut = chunked(hit, *[c for c in hit.columns if c not in ("text", "id")]).withColumn("text", kept_text())
-    return found.where("gone is null").select(docs.columns).unionByName(cut.select(*columns, "text").select(docs.columns))
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    rows = docs.select(rest.alias("row"), "doc_id", "text")
+    found = rows.join(settle(removals(docs), "chunk-removals"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    hit = chunked(found.where("gone is not null"), "row", "gone").select("row", kept_text().alias("text"))
+    both = found.where("gone is null").select("row", "text").unionByName(hit)
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def kept_text() -> Column:
@@ -111,8 +119,10 @@ with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
 ), marks as (
   select doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::bigint as h, length(line) - length(replace(line, ' ', '')) >= {LONG_WORDS} as long from lines
+), classed as (
+  select *, (h + coalesce(lag(h) over (partition by doc_id order by i), 0) * 31) % {CLASSES} = 0 as first_class from marks
 ), ends as (
-  select *, (lead(i) over w is null or long or lead(long) over w or (h + coalesce(lag(h) over w, 0) * 31) % {MEAN_LINES} = 0) as ending from marks
+  select *, (lead(i) over w is null or long or lead(long) over w or (first_class and not coalesce(lag(first_class) over w, false))) as ending from classed
   window w as (partition by doc_id order by i)
 ), numbered as (
   select *, coalesce(sum(ending::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as number from ends
