@@ -137,6 +137,7 @@ def mix(docs: DataFrame, repetition: float | None = REPETITION, entropy: float |
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents' rows, each as often as the mix shows it; the columns stay as they are."""
-    times = mix(docs, **settings).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(F.count("*").cast("int").alias("mix_times"))
-    found = docs.join(times, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")))
-    return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(docs.columns)
+    times = mix(docs, **settings).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(F.count("*").cast("int").alias("times"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    found = rows.join(times, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
