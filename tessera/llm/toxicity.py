@@ -26,9 +26,11 @@ DIMS = 8
 BITS = 18
 BUCKETS = 1 << BITS
 #: Words of fewer texts of the sample teach nothing and stay at zero, as unseen ones do.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 8
+#: Share of words left out at random each time that a text is learned from.
+DROPPED = 0.25
 #: Bounds of the labelled sample that the classifier is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 3000, 4500, 1 << 16
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 5000, 7000, 1 << 16
 EPOCHS = 14
 WORDS_AT_ONCE = 50_000
 #: Frequent function words, by which a text's language is guessed.
@@ -172,7 +174,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
             rows = fit[k : k + 32]
             ids, starts, pad = m.layout([texts[i] for i in rows])
             for a, i in zip(starts, rows):
-                pad[a : a + len(texts[i])] = ~known[i]
+                pad[a : a + len(texts[i])] = ~known[i] | (rng.random(len(texts[i])) < DROPPED)
             r = m.responses(ids, pad)
             ends = np.append(starts[1:], len(ids))
             at = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
