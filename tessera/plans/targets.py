@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import padded
@@ -105,3 +105,16 @@ def redacted(items: DataFrame) -> DataFrame:
         "rubric": F.when(~student, F.col("rubric")),
         "response_space": F.when(student, F.col("response_space")),
     })
+
+
+class _ExpandTargets:
+    def eval(self, book_id: str, lesson_numbers: list[int]):
+        for edition in EDITIONS:
+            yield book_id, "workbook", edition, None, f"{book_id}-workbook-{edition}.pdf"
+            for n in lesson_numbers or []:
+                yield book_id, "lesson", edition, n, f"{book_id}-lesson-{n:02d}-{edition}.pdf"
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``expand_targets(book_id, lesson_numbers)`` a table function in SQL, for this session."""
+    spark.udtf.register("expand_targets", F.udtf(_ExpandTargets, returnType="book_id string, scope string, edition string, lesson_number long, name string"))

@@ -135,6 +135,10 @@ def test_targets(spark):
     lessons = spark.createDataFrame([("bk", 0, 2), ("bk", 1, 12), ("bk", 2, 123)], "book_id string, position int, lesson_number long")
     disk = targets.disk_targets(books, lessons)
     assert [r.name for r in disk.where("edition = 'student'").orderBy("seq").collect()] == ["bk-workbook-student.pdf", "bk-lesson-02-student.pdf", "bk-lesson-12-student.pdf", "bk-lesson-123-student.pdf"]
+    targets.register(spark)
+    lessons.createOrReplaceTempView("book_lessons")
+    named = spark.sql("select t.name from (select book_id, collect_list(lesson_number) as n from book_lessons group by 1) b, lateral expand_targets(b.book_id, b.n) t")
+    assert targets.name_differences(disk, named).count() == 0
     one = packages.build_summary(disk, books).first()
     assert one.lessons_text == "3 lessons" and one.files.startswith("bk-workbook-student.pdf, bk-lesson-02-student.pdf")
     docs = packages.bundles(disk, books.select("book_id", F.struct("title").alias("manifest")), lessons.select("book_id", "lesson_number", F.struct("lesson_number").alias("lesson")))
