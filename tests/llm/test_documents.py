@@ -292,6 +292,22 @@ def test_calls_of_every_kind(spark):
     assert got[(2, 1)].problems == ["chars is not integer", "prompt is not string", "unknown z"] and got[(1, 7)].problems == ["unknown tool"] and got[(1, 8)].problems[0] == "missing chars"
 
 
+def test_levels_are_longest_paths(spark):
+    import json
+    import random
+
+    rng = random.Random(4)
+    uses = {0: []} | {k: [k - 1] for k in range(1, 90)}  # a chain, then a graph, then a cycle with a tail
+    uses |= {k: sorted({rng.randrange(80, k) for _ in range(rng.choice([1, 1, 2, 3]))}) for k in range(90, 140)}
+    uses |= {200: [202], 201: [200], 202: [201], 203: [202, 5], 204: [203]}
+    calls = [(1, k, f"c{k}", "reply", json.dumps({"uses": [f"c{j}" for j in v]})) for k, v in uses.items()]
+    got = {r.call_id: r.level for r in chat.levels(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")).collect()}
+    want = {}
+    for k in range(140):
+        want[f"c{k}"] = 1 + max((want[f"c{j}"] for j in uses[k]), default=-1)
+    assert got == want
+
+
 def test_odd_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, level int"
     rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "x\"\n", 1), (1, 1, "assistant", "x\"\n", 1), (None, 0, "user", "a", 1), (2, None, "user", "", 1), (3, 0, None, None, 1), (3, 1, "tool", "t", 1)]
