@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,16 @@ MARKS = r"[\x{300}-\x{36F}]"
 NEWLINE_UNITS, WIDE_UNITS, GUIDANCE_ITEM_UNITS = 60, 2, 20
 
 
+def computed(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often they are read.
+
+    ``inline`` over a single struct keeps the optimiser from writing their
+    expressions into each place that reads them.
+    """
+    made = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return df.select(*[c for c in df.columns if c not in values], F.inline(made))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 

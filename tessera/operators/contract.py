@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import is_blank, split_guidance, trimmed
+from tessera.functions.text import computed, is_blank, split_guidance, trimmed
 from tessera.operators.violations import found, together
 
 HEADER_ROW, FIRST_DATA_ROW = 4, 5
@@ -100,18 +100,23 @@ def whole_problem(cell: Column, required: bool, minimum: int = 1) -> Column:
     return F.when(kind == "blank", F.lit("is required.") if required else F.lit(None)).when(~good, f"must be a whole number of at least {minimum}.")
 
 
-def response_space(label: Column, lines: Column, pages: Column) -> Column:
-    """The decision table of response space: struct(mode, lines, pages, col, name, problem).
+def response_space(df: DataFrame, label: Column, lines: Column, pages: Column) -> DataFrame:
+    """df with ``space``, the decision table's struct(mode, lines, pages, col, name, problem).
 
     ``problem`` is null where the three cells agree, else says what is wrong with
     column ``col``; mode, lines and pages are null then or without a label.
     """
-    name = trimmed(label)
-    mode = F.create_map(*[F.lit(x) for kv in RESPONSE_MODES.items() for x in kv])[name]
+    df = computed(df, s_name=trimmed(label), s_lines=lines, s_pages=pages)
+    name, lines, pages = F.col("s_name"), F.col("s_lines"), F.col("s_pages")
+    known = F.lit(None).cast("string")
+    for text, mode in RESPONSE_MODES.items():
+        known = F.when(name == text, mode).otherwise(known)
+    df = computed(df, s_mode=known)
+    mode, label = F.col("s_mode"), F.nullif(name, F.lit(""))
     both = "Custom lines / Total response pages"
     rules = [
-        (is_blank(label) & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("must be set before entering Custom lines or Total response pages.")),
-        (~is_blank(label) & mode.isNull(), 8, "Response space", F.lit("must use one of the template dropdown choices.")),
+        (label.isNull() & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("must be set before entering Custom lines or Total response pages.")),
+        (label.isNotNull() & mode.isNull(), 8, "Response space", F.lit("must use one of the template dropdown choices.")),
         ((mode == "custom-lines") & lines.isNull(), 9, "Custom lines", F.lit("is required for Custom lines.")),
         ((mode == "custom-lines") & pages.isNotNull(), 10, "Total response pages", F.lit("must be blank for Custom lines.")),
         ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, "Total response pages", F.lit("must be a whole number of at least 2 for Multiple pages.")),
@@ -122,9 +127,10 @@ def response_space(label: Column, lines: Column, pages: Column) -> Column:
     found = F.lit(None).cast("struct<col:int,name:string,problem:string>")
     for when, k, cell, text in reversed(rules):
         found = F.when(when, F.struct(F.lit(k).alias("col"), F.lit(cell).alias("name"), text.alias("problem"))).otherwise(found)
-    col, problem = found["col"], found["problem"]
-    good = problem.isNull()
-    return F.struct(F.when(good, mode).alias("mode"), F.when(good & (mode == "custom-lines"), lines).alias("lines"), F.when(good & (mode == "multiple-pages"), pages).alias("pages"), col.alias("col"), found["name"].alias("name"), problem.alias("problem"))
+    df = computed(df, s_found=found)
+    good = F.col("s_found").isNull()
+    space = F.struct(F.when(good, mode).alias("mode"), F.when(good & (mode == "custom-lines"), lines).alias("lines"), F.when(good & (mode == "multiple-pages"), pages).alias("pages"), F.col("s_found.col").alias("col"), F.col("s_found.name").alias("name"), F.col("s_found.problem").alias("problem"))
+    return df.withColumn("space", space).drop("s_name", "s_lines", "s_pages", "s_mode", "s_found")
 
 
 def missing_tabs(cells: DataFrame, contract: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def typed_rows(rows: DataFrame, tab: str) -> tuple[DataFrame, DataFrame]:
     if tab in ITEM_TABS and tab != "Vocabulary":
         last = len(FIELDS[tab]) + 2
         label, lines, pages = F.col("c8"), F.col("c9"), F.col("c10")
-        own = own.withColumn("space", response_space(label["text"], cell_number(lines, 0), cell_number(pages, 1)))
+        own = response_space(own, label["text"], cell_number(lines, 0), cell_number(pages, 1))
         mode = F.col("space.mode")
         out.append(F.when(mode.isNotNull(), F.struct(mode.alias("mode"), F.col("space.lines").alias("lines"), F.col("space.pages").alias("pages"))).alias("response_space"))
         cells = [(8, "Response space", text_problem(label, False)), (9, "Custom lines", whole_problem(lines, False, 0)), (10, "Total response pages", whole_problem(pages, False, 1))]

@@ -105,8 +105,8 @@ def p_response_space(t):
     label = F.lit(None).cast("string")
     for x, name in names.items():
         label = F.when(k == x, name).otherwise(label)
-    space = contract.response_space(label, F.when(n % 3 != 0, n), F.when(n % 4 >= 2, n % 4))
-    rows = t("lineitem").select(space.alias("s"))
+    cells = t("lineitem").select(label.alias("label"), F.when(n % 3 != 0, n).alias("lines"), F.when(n % 4 >= 2, n % 4).alias("pages"))
+    rows = fx.computed(contract.response_space(cells, F.col("label"), F.col("lines"), F.col("pages")), s=F.col("space"))
     return rows.groupBy(F.coalesce("s.mode", F.lit("-")).alias("mode"), F.coalesce("s.col", F.lit(0)).cast("long").alias("col")).agg(
         F.count("*").alias("cells"), F.coalesce(F.sum("s.lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("s.pages"), F.lit(0)).alias("pages")
     )
