@@ -192,9 +192,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         )
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(0xFFFFFFFF))).first()
         if now == was or not now[0]:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         was = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def hex_print(fp: Column) -> Column:
