@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ LEAST_TEXTS = 8
 #: Share of words left out at random each time that a text is learned from.
 DROPPED = 0.25
 #: Bounds of the labelled sample that the classifier is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 5000, 7000, 1 << 16
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 4000, 5000, 1 << 15
 EPOCHS = 14
 WORDS_AT_ONCE = 50_000
 #: Frequent function words, by which a text's language is guessed.
@@ -241,7 +242,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
     """A bounded sample of labelled rows outside the held-out fold: text and toxic.
 
     Chosen by a hash of the id, so the same rows come out however the table is
@@ -256,13 +257,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     return (
         docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
         .join(ids, "doc_id").select("doc_id", text_bytes(F.col("text")).alias("text"), "toxic")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toPandas()
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
     )
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels)
-    return train([word_hashes(bytes(x)) for x in sample.text], sample.toxic.to_numpy(np.int64))
+    return train([word_hashes(x.as_py()) for x in sample.column("text")], sample.column("toxic").to_numpy().astype(np.int64))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
