@@ -28,13 +28,12 @@ def is_long(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "))) >= LONG_WORDS
 
 
-def chunked(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and chunks of each text: an array of (lines, text), in order.
+def cut(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, the lines of each text, their marks and the numbers (from 1) of the lines that end chunks.
 
     ``inline`` over a single struct keeps each array a computed column, so that
     the lambdas below read it instead of computing it anew for every element.
     """
-    one = lambda df, name, value: df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
     out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     out = one(out, "line", F.split("text", "\n", -1)).drop("text")
     out = one(out, "mark", F.transform("line", lambda x: F.struct(line_hash(x).alias("h"), is_long(x).alias("long"))))
@@ -49,39 +48,59 @@ def chunked(docs: DataFrame, *keep: str) -> DataFrame:
 
         return (i == n) | at(i)["long"] | at(F.least(i + 1, n))["long"] | (first_class(i) & ((i == 1) | ~first_class(i - 1)))
 
-    out = one(out, "ending", F.filter(F.sequence(F.lit(1), F.size("line")), ends))
+    return one(out, "ending", F.filter(F.sequence(F.lit(1), F.size("line")), ends))
 
-    def chunk(end: Column, k: Column) -> Column:
+
+def one(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def chunk_spans() -> Column:
+    """First and last line of each chunk of two or more lines, or of one long line."""
+
+    def span(end: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(1)).otherwise(F.element_at("ending", F.greatest(k, F.lit(1)).cast("int")) + 1)
-        part = F.slice("line", start, end - start + 1)
-        return F.struct((end - start + 1).alias("lines"), F.array_join(part, "\n").alias("text"), F.element_at("mark", end)["long"].alias("long"))
+        return F.struct(start.alias("a"), end.alias("b"))
+
+    return F.filter(F.transform("ending", span), lambda s: (s["b"] > s["a"]) | F.element_at("mark", s["b"])["long"])
+
+
+def span_text(s: Column) -> Column:
+    return F.array_join(F.slice("line", s["a"], s["b"] - s["a"] + 1), "\n")
 
-    return one(out, "chunk", F.transform("ending", chunk)).select(*keep, "chunk")
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a struct ``at`` of doc_id and a hash of the text, which tells rows with one id, or none, apart."""
+    return docs.withColumn("at", F.struct("doc_id", F.xxhash64("text").alias("h")))
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id and chunk number (from 0) of every chunk to remove.
 
-    Only chunks of two or more lines, or of one long line, count.  Of equal ones
-    the one with the smallest (doc_id, number) stays; null ids come first.
+def same_row() -> Column:
+    return F.col("at.doc_id").eqNullSafe(F.col("id.doc_id")) & (F.col("at.h") == F.col("id.h"))
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """id (doc_id and hash of the text) and the spans of lines to remove.
+
+    Of equal spans the one with the smallest (doc_id, hash, line) stays; null ids
+    come first.  Lines that a span shares with the one that stays, stay too.
     """
-    spread = chunked(docs, "doc_id").select("doc_id", F.posexplode("chunk").alias("number", "c")).where((F.col("c.lines") > 1) | F.col("c.long"))
-    keys = spread.select(F.xxhash64("c.text").alias("key"), "doc_id", "number")
+    rows = keyed(docs.select("doc_id", "text"))
+    spread = one(cut(rows, "at"), "span", chunk_spans()).select("at", "line", F.explode("span").alias("s"))
+    keys = spread.select(F.xxhash64(span_text(F.col("s"))).alias("key"), "at", "s")
     again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspect = keys.join(again, "key").groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
+    suspect = keys.join(again, "key").groupBy(F.col("at").alias("id")).agg(F.collect_set("s").alias("spans"))
     texts = (
-        docs.select("doc_id", "text").join(suspect.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-        .transform(lambda df: chunked(df, "doc_id", "numbers"))
-        .select("doc_id", F.explode("numbers").alias("number"), "chunk")
-        .select("doc_id", "number", F.element_at("chunk", F.col("number") + 1)["text"].alias("text"))
+        rows.join(suspect, same_row())
+        .select("at", "spans", F.split("text", "\n", -1).alias("line"))
+        .select("at", "line", F.explode("spans").alias("s"))
+        .select("at", "s", span_text(F.col("s")).alias("text"))
     )
-    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.xxhash64("text").alias("key"), F.col("text").alias("kept"), "first")
-    members = texts.select(F.xxhash64("text").alias("key"), "text", "doc_id", "number")
-    return members.join(first, "key").where("text = kept").where(~F.struct("doc_id", "number").eqNullSafe(F.col("first"))).select("doc_id", "number").distinct()
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    return repeated_chunks(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("number").alias("gone"))
+    first = texts.groupBy("text").agg(F.min(F.struct("at", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.xxhash64("text").alias("key"), F.col("text").alias("kept"), "first")
+    members = texts.select(F.xxhash64("text").alias("key"), "text", "at", "s")
+    others = members.join(first, "key").where("text = kept").where(~F.struct("at", "s").eqNullSafe(F.col("first")))
+    start = F.when(F.col("at").eqNullSafe(F.col("first.at")), F.greatest("s.a", F.col("first.s.b") + 1)).otherwise(F.col("s.a"))
+    spans = others.select(F.col("at").alias("id"), F.struct(start.alias("a"), F.col("s.b").alias("b")).alias("s")).where("s.a <= s.b")
+    return spans.groupBy("id").agg(F.collect_set("s").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -89,27 +108,29 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Adds no column.  A text all of whose chunks occurred before becomes empty; a
     null text stays null.  Rows that repeat a doc_id with the same text are one
-    document seen twice and share its fate.  An empty table stays empty.
+    document seen twice and share its fate; rows with one doc_id, or none, and
+    different texts are different documents.  An empty table stays empty.
     """
     rest = F.struct(*[c for c in docs.columns if c != "text"])
-    rows = docs.select(rest.alias("row"), "doc_id", "text")
-    found = rows.join(settle(removals(docs), "chunk-removals"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    hit = chunked(found.where("gone is not null"), "row", "gone").select("row", kept_text().alias("text"))
+    rows = keyed(docs.select(rest.alias("row"), "doc_id", "text"))
+    found = rows.join(settle(removals(docs), "line-removals"), same_row(), "left")
+    hit = found.where("gone is not null").select("row", "gone", F.split("text", "\n", -1).alias("line")).select("row", kept_text().alias("text"))
     both = found.where("gone is null").select("row", "text").unionByName(hit)
     return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def kept_text() -> Column:
-    left = F.array_except(F.sequence(F.lit(0), F.size("chunk") - 1), "gone")
-    return F.array_join(F.transform(left, lambda k: F.element_at("chunk", (k + 1).cast("int"))["text"]), "\n")
+    numbers = F.flatten(F.transform("gone", lambda s: F.sequence(s["a"], s["b"])))
+    left = F.array_except(F.sequence(F.lit(1), F.size("line")), numbers)
+    return F.array_join(F.transform(left, lambda k: F.element_at("line", k.cast("int"))), "\n")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, chunks, removed_chunks, kept_chars and kept_md5 of each document."""
-    gone = removals(docs)
-    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    return chunked(rows, "doc_id", "gone").withColumn("kept", kept_text()).select(
-        "doc_id", F.size("chunk").cast("long").alias("chunks"), F.size("gone").cast("long").alias("removed_chunks"),
+    rows = keyed(docs.select("doc_id", "text")).join(removals(docs), same_row(), "left")
+    gone = F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>"))
+    return cut(rows.withColumn("gone", gone), "doc_id", "gone").withColumn("kept", kept_text()).select(
+        "doc_id", F.size("ending").cast("long").alias("chunks"), F.size("gone").cast("long").alias("removed_chunks"),
         F.length("kept").cast("long").alias("kept_chars"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"),
     )
 

@@ -219,9 +219,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each near-duplicate component kept.
 
-    Kept is the row with the smallest doc_id; of repeated rows with that id, one.
+    Kept is the row with the smallest doc_id; of rows with that id, one of each text.
     Rows with a null id can't be named and stay.
     """
     found = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -166,6 +166,18 @@ def test_line_dedup_on_odd_rows(spark):
     assert line_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_rows_with_one_id_or_none_keep_their_own_lines(spark):
+    passage = "\n".join(f"shared line {k} of a passage" for k in range(12))
+    own = ["\n".join(f"own line {k} of text {n}" for k in range(30)) for n in range(4)]
+    rows = [(1, passage), (None, f"{own[0]}\n{passage}"), (None, own[1]), (None, "short\nrow"), (30, f"{own[2]}\n{passage}"), (30, own[3]), (30, own[3])]
+    found = [(r.doc_id, r.text) for r in line_dedup.dedup(docs(spark, rows)).collect()]
+    assert len(found) == len(rows)
+    for row in (rows[2], rows[3], rows[5]):
+        assert found.count(row) == rows.count(row)
+    assert all(any(i == j and set(text.split("\n")) <= set(other.split("\n")) for j, other in found) for i, text in ((None, own[0]), (30, own[2])))
+    assert line_dedup.report(docs(spark, rows)).count() == len(rows)
+
+
 # mixing
 
 
