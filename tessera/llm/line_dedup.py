@@ -5,11 +5,15 @@ hash over the hashes of the last two lines falls into the first of ``CLASSES``
 classes and did not one line before.  That depends on three lines alone, so equal
 passages are cut alike wherever they stand, and chunks have two lines at least.  Chunks whose hash occurs
 more than once are compared byte by byte, and all but the first are removed.
+``dedup`` also compares the shortest runs of lines of over ``LONG_WORDS`` words, which
+are found at any line, so that a repeated passage of as many words goes whole.
 Everything here is a DataFrame expression; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +69,38 @@ def chunk_spans() -> Column:
     return F.filter(F.transform("ending", span), lambda s: (s["b"] > s["a"]) | F.element_at("mark", s["b"])["long"])
 
 
+def run_spans() -> Column:
+    """First and last line of the shortest runs of over LONG_WORDS words from each line on, and up to each line.
+
+    Together they cover every passage of over LONG_WORDS words, wherever it lies.
+    Runs start and end with lines that have words, so each has at most LONG_WORDS + 1 of those.
+    """
+    def runs(words: Column, filled: Column, back: bool) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            # words and lines so far, as one number
+            step = lambda so_far, n: F.when(so_far > (LONG_WORDS << 6 | 63), so_far).otherwise(so_far + n.cast("long") * 64 + 1)
+            sums = F.aggregate(F.slice(words, k + 1, LONG_WORDS + 1), F.lit(0).cast("long"), step)
+            end = F.element_at(filled, (k + F.greatest(F.pmod(sums, F.lit(64)), F.lit(1))).cast("int"))
+            return F.when(sums > (LONG_WORDS << 6 | 63), F.struct((end if back else start).alias("a"), (start if back else end).alias("b")))
+
+        return F.transform(filled, run)
+
+    back = F.reverse("filled")
+    return F.array_compact(F.concat(runs(F.col("filled_words"), F.col("filled"), False), runs(F.reverse("filled_words"), back, True)))
+
+
+def all_spans(cuts: DataFrame) -> DataFrame:
+    """``cuts`` with its chunks and runs, each once, as ``span``."""
+    out = one(cuts, "words", F.transform("line", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    out = one(out, "filled", F.filter(F.sequence(F.lit(1), F.size("line")), lambda i: F.element_at("words", i) > 0))
+    out = one(out, "filled_words", F.filter("words", lambda n: n > 0)).drop("words")
+    return one(out, "span", F.array_distinct(F.concat(chunk_spans(), run_spans())))
+
+
+def only_chunks(cuts: DataFrame) -> DataFrame:
+    return one(cuts, "span", chunk_spans())
+
+
 def span_text(s: Column) -> Column:
     return F.array_join(F.slice("line", s["a"], s["b"] - s["a"] + 1), "\n")
 
@@ -78,14 +114,14 @@ def same_row() -> Column:
     return F.col("at.doc_id").eqNullSafe(F.col("id.doc_id")) & (F.col("at.h") == F.col("id.h"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, spans: Callable[[DataFrame], DataFrame] = only_chunks) -> DataFrame:
     """id (doc_id and hash of the text) and the spans of lines to remove.
 
     Of equal spans the one with the smallest (doc_id, hash, line) stays; null ids
     come first.  Lines that a span shares with the one that stays, stay too.
     """
     rows = keyed(docs.select("doc_id", "text"))
-    spread = one(cut(rows, "at"), "span", chunk_spans()).select("at", "line", F.explode("span").alias("s"))
+    spread = spans(cut(rows, "at")).select("at", "line", F.explode("span").alias("s"))
     keys = spread.select(F.xxhash64(span_text(F.col("s"))).alias("key"), "at", "s")
     again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     suspect = keys.join(again, "key").groupBy(F.col("at").alias("id")).agg(F.collect_set("s").alias("spans"))
@@ -99,21 +135,22 @@ def removals(docs: DataFrame) -> DataFrame:
     members = texts.select(F.xxhash64("text").alias("key"), "text", "at", "s")
     others = members.join(first, "key").where("text = kept").where(~F.struct("at", "s").eqNullSafe(F.col("first")))
     start = F.when(F.col("at").eqNullSafe(F.col("first.at")), F.greatest("s.a", F.col("first.s.b") + 1)).otherwise(F.col("s.a"))
-    spans = others.select(F.col("at").alias("id"), F.struct(start.alias("a"), F.col("s.b").alias("b")).alias("s")).where("s.a <= s.b")
-    return spans.groupBy("id").agg(F.collect_set("s").alias("gone"))
+    again = others.select(F.col("at").alias("id"), F.struct(start.alias("a"), F.col("s.b").alias("b")).alias("s")).where("s.a <= s.b")
+    return again.groupBy("id").agg(F.collect_set("s").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with repeated chunks removed from their texts; all rows stay.
+    """The documents with repeated passages removed from their texts; all rows stay.
 
-    Adds no column.  A text all of whose chunks occurred before becomes empty; a
+    Removed are repeated chunks and the lines of every repeated run of over
+    LONG_WORDS words; each line's first place stays.  Adds no column.  A text all of whose chunks occurred before becomes empty; a
     null text stays null.  Rows that repeat a doc_id with the same text are one
     document seen twice and share its fate; rows with one doc_id, or none, and
     different texts are different documents.  An empty table stays empty.
     """
     rest = F.struct(*[c for c in docs.columns if c != "text"])
     rows = keyed(docs.select(rest.alias("row"), "doc_id", "text"))
-    found = rows.join(settle(removals(docs), "line-removals"), same_row(), "left")
+    found = rows.join(settle(removals(docs, all_spans), "line-removals"), same_row(), "left")
     hit = found.where("gone is not null").select("row", "gone", F.split("text", "\n", -1).alias("line")).select("row", kept_text().alias("text"))
     both = found.where("gone is null").select("row", "text").unionByName(hit)
     return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -178,6 +178,32 @@ def test_rows_with_one_id_or_none_keep_their_own_lines(spark):
     assert line_dedup.report(docs(spark, rows)).count() == len(rows)
 
 
+def test_passages_of_few_lines_go_whole(spark):
+    import random
+
+    rng = random.Random(11)
+    line = lambda least, most: " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(least, most)))
+    rows, want = [], {}
+    for k in range(210):
+        passage = [line(26, 45) if k % 7 < 1 else line(12, 45) for _ in range(2 + k % 7)]
+        while sum(len(x.split()) for x in passage) <= 50:
+            passage[0] = line(26, 45)
+        for i in (2 * k, 2 * k + 1):
+            own = [line(1, 45) for _ in range(rng.randint(1, 12))]
+            at = rng.randint(0, len(own))
+            rows.append((i, "\n".join(own[:at] + ([""] if k % 5 == 0 else []) + passage + own[at:])))
+            want[i] = "\n".join(own if i % 2 else rows[-1][1].split("\n")).replace("\n\n", "\n").strip("\n")
+    found = {r.doc_id: r.text.replace("\n\n", "\n").strip("\n") for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert found == want
+
+
+def test_a_line_repeated_in_a_row_keeps_its_first_run(spark):
+    row = " ".join(["word"] * 26)
+    text = "\n".join(["first line", *[row] * 7, "last line"])
+    found = line_dedup.dedup(docs(spark, [(1, text)])).first().text.split("\n")
+    assert found[0] == "first line" and found[-1] == "last line" and 2 <= found.count(row) <= 4
+
+
 # mixing
 
 
