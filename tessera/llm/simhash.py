@@ -216,12 +216,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with one row of each near-duplicate component kept.
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The documents with one row of each component of near copies kept; see ``near_copies``."""
+    from tessera.llm import near_copies
 
-    Kept is the row with the smallest doc_id; of rows with that id, one of each text.
-    Rows with a null id can't be named and stay.
-    """
-    found = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return near_copies.keep_first(docs)

@@ -5,7 +5,7 @@ import pytest
 from compare import SF, duck, normal
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, lm_scoring, mixing, packing, queries, sharding, simhash
+from tessera.llm import chat, line_dedup, lm_scoring, mixing, near_copies, packing, queries, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bin long, rank int, gone int"
 LONG = "word " * 30_000
@@ -149,6 +149,46 @@ def test_components_of_a_chain(spark):
     assert found == {**{k: 0 for k in range(1, 61)}, 101: 100}
 
 
+def jaccard(a, b):
+    one, two = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_are_held_to_their_similarity(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 200, 600]))]
+        rows.append((3 * k, " ".join(words)))
+        for c in (1, 2):
+            for _ in range(max(1, len(words) // rng.choice([45, 55, 70, 140]))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((3 * k + c, " ".join(words)))
+    label = {i: i for i, _ in rows}
+    for k in range(120):
+        own, near = rows[3 * k : 3 * k + 3], lambda a, b: jaccard(a[1], b[1]) >= 0.8
+        for _ in range(3):
+            for a in own:
+                label[a[0]] = min(label[b[0]] for b in own if near(a, b))
+    far = sum((simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() > 4 for (i, a), (j, b) in zip(rows, rows[1:]) if label[i] == label[j])
+    assert far > 40 and len(set(label.values())) > 150
+    for table in (rows, [(i, t) for i, t in rows] + rows[:5] + [(0, "other text " * 9)]):
+        kept = sorted((r.doc_id, r.text) for r in near_copies.keep_first(docs(spark, table)).collect())
+        assert kept == sorted([r for r in rows if label[r[0]] == r[0]] + table[len(rows) + 5 :])
+
+
+def test_large_groups_of_near_copies_are_split(spark):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(100)] + [(200, "a text of its own")]
+    table = docs(spark, rows)
+    hashed = near_copies._hashed(table)
+    nodes = hashed.select("node", "doc_id", "h", "size", "bands")
+    found = near_copies.components(near_copies.links(table, nodes, tile_rows=16)).collect()
+    assert len(found) == 99 and len({r.root for r in found}) == 1
+
+
 # line dedup
 
 
