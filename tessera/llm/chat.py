@@ -18,7 +18,6 @@ from tessera.llm.common import settle
 #: Tools by name; fields with their kind and whether they must be there.
 SCHEMAS = {"reply": {"chars": ("integer", True), "prompt": ("string", True), "uses": ("array", False)}}
 _KINDS = {"integer": "BIGINT|INT|SMALLINT|TINYINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
-ROUNDS = 1_000
 
 
 def problems(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
@@ -49,7 +48,7 @@ def levels(calls: DataFrame) -> DataFrame:
     used = calls.select(*key, F.explode(F.coalesce(F.from_json(F.get_json_object("arguments", "$.uses"), "array<string>"), F.array().cast("array<string>"))).alias("need")).distinct()
     edges = settle(used.join(ids.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select(*key, "need", F.lit(1).cast("long").alias("steps")), "call-needs")
     done = settle(ids.join(edges, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "call-levels")
-    for _ in range(ROUNDS):
+    while True:  # each round settles a call, or is the last
         by_node = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("next"), F.min("steps").alias("more"))
         over = by_node.where("n = 1").select("conv_id", F.col("call_id").alias("need"), "next", "more")
         met = done.select("conv_id", F.col("call_id").alias("need"), "level")

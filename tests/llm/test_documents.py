@@ -386,6 +386,16 @@ def test_levels_are_longest_paths(spark):
     assert got == want
 
 
+def test_levels_have_no_most_rounds(spark, monkeypatch):
+    import json
+
+    monkeypatch.setattr(chat, "ROUNDS", 3, raising=False)
+    calls = [(1, k, f"c{k}", "reply", json.dumps({"uses": [f"c{j}" for j in (k - 1, k - 2) if j >= 0]})) for k in range(9)]
+    calls += [(1, 10, "x", "reply", '{"uses":["y"]}'), (1, 11, "y", "reply", '{"uses":["x"]}')]
+    got = chat.levels(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")).collect()
+    assert {r.call_id: r.level for r in got} == {f"c{k}": k for k in range(9)}
+
+
 def test_odd_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, level int"
     rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "x\"\n", 1), (1, 1, "assistant", "x\"\n", 1), (None, 0, "user", "a", 1), (2, None, "user", "", 1), (3, 0, None, None, 1), (3, 1, "tool", "t", 1)]
