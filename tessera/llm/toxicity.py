@@ -1,38 +1,45 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
-Words hash into two embedding tables; filters of several widths slide over the
-embeddings; the strongest response of each filter in the whole text feeds a
+Words, and their first four and six bytes, hash into one table of embeddings, so
+that inflected forms share what is learned; filters of several widths slide over
+the embeddings; the strongest response of each filter in the whole text feeds a
 logistic output.  A threshold for each language, which is guessed from the text
-itself by its function words, is calibrated on rows kept out of the training and
-folded into the score, so that 0.5 is the line everywhere.
+itself by its function words, is calibrated by cross-validation and folded into
+the score, so that 0.5 is the line everywhere.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_bytes
+from tessera.llm.common import settle, text_bytes
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIMS = 8
 BITS = 18
 BUCKETS = 1 << BITS
-#: Words of fewer texts of the sample teach nothing and stay at zero, as unseen ones do.
+#: Bytes of the beginnings that a longer word is also known by.
+STEMS = (4, 6)
+#: Words and beginnings of fewer texts of the sample teach nothing and count as unseen.
 LEAST_TEXTS = 8
 #: Share of words left out at random each time that a text is learned from.
 DROPPED = 0.25
-#: Bounds of the labelled sample that the classifier is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 4000, 5000, 1 << 15
-EPOCHS = 14
+#: Bounds of the labelled sample that the classifier is fitted on, in rows; texts are whole.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 5000
+EPOCHS, FOLDS = 14, 4
+#: A false alarm's share weighs so many times a miss's; a language's own toxic rows
+#: weigh against so many of all languages together; logit of texts without words.
+ALARM_WEIGHT, POOLED_ROWS, NO_WORDS = 4.0, 20, -3.0
 WORDS_AT_ONCE = 50_000
 #: Frequent function words, by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -44,48 +51,58 @@ FUNCTION_WORDS = {
 #: ASCII letters in lower case; other ASCII becomes a space; bytes of longer characters stay.
 _TO_WORDS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
+_REACH = max(WIDTHS) - 1
+_IDS = 1 + len(STEMS)
+_LANGUAGE = {zlib.crc32(w.encode()): k for k, words in enumerate(FUNCTION_WORDS.values(), 1) for w in words.split()}
+_LANGUAGE_IDS = np.array(sorted(_LANGUAGE), np.uint32)
+_LANGUAGE_OF = np.array([_LANGUAGE[h] for h in sorted(_LANGUAGE)], np.int64)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
+    """One row a word: hashes of the word and of its beginnings (of a shorter word: the word's own)."""
     words = text.translate(_TO_WORDS).split()
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-
-
-def _language_table() -> np.ndarray:
-    table = np.zeros(BUCKETS, np.uint8)
-    for k, words in enumerate(FUNCTION_WORDS.values(), 1):
-        for w in words.split():
-            table[zlib.crc32(w.encode()) & (BUCKETS - 1)] = k
-    return table
+    n = len(words)
+    out = np.empty((n, _IDS), np.uint32)
+    if not n:
+        return out
+    out[:, 0] = np.fromiter(map(zlib.crc32, words), np.uint32, n)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    flat = np.frombuffer(b"".join(words) + b"\0" * max(STEMS), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    for k, stem in enumerate(STEMS, 1):
+        h = np.full(n, stem, np.uint64)
+        for j in range(stem):
+            h = (h ^ flat[starts + j]) * np.uint64(0x100000001B3)
+        out[:, k] = np.where(lengths > stem, (h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF), out[:, 0])
+    return out
 
 
 @dataclass
 class Model:
-    """Weights; ``thresholds`` are logits for no language and each known one."""
+    """Weights; ``thresholds`` are logits for no language and each known one.
+
+    ``slot`` gives a bucket's row of ``table`` and ``tag`` the rest of the hash that
+    owns the bucket, so that an unseen word does not pass for a known one.  Row 0 is
+    the unknown word and stays zero.
+    """
 
-    low: np.ndarray
-    high: np.ndarray
+    slot: np.ndarray
+    tag: np.ndarray
+    table: np.ndarray
     conv: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     base: float
     thresholds: np.ndarray
 
-    def layout(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of all texts in a row, each followed by pads; where each starts; what is a pad."""
-        gap = max(WIDTHS) - 1
-        lengths = np.array([len(x) + gap for x in texts])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        ids = np.zeros(int(lengths.sum()), np.uint32)
-        pad = np.ones(len(ids), bool)
-        for s, x in zip(starts, texts):
-            ids[s : s + len(x)] = x
-            pad[s : s + len(x)] = False
-        return ids, starts, pad
-
-    def responses(self, ids: np.ndarray, pad: np.ndarray) -> np.ndarray:
-        x = self.low[ids & (BUCKETS - 1)] + self.high[ids >> (32 - BITS)]
-        x[pad] = 0
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = hashes & (BUCKETS - 1)
+        return np.where(self.tag[bucket] == hashes >> BITS, self.slot[bucket], 0)
+
+    def responses(self, rows: np.ndarray, pad: np.ndarray) -> np.ndarray:
+        x = self.table[rows[:, 0]]
+        for k in range(1, _IDS):
+            x += self.table[rows[:, k]]
         y = x @ self.conv
         parts = []
         for k, w in enumerate(WIDTHS):
@@ -98,69 +115,85 @@ class Model:
         r[pad] = 0
         return r
 
-    def logits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and guessed language (0: none) of each text, about WORDS_AT_ONCE words at a time."""
-        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))]
+    def strongest(self, texts: list[np.ndarray], hits: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The best response of each filter in each text of rows; with ``hits`` also the rows of the words there.
+
+        Texts are laid out WORDS_AT_ONCE words at a time; longer ones are cut into
+        pieces that overlap by a filter's reach, and the best piece counts.
+        """
+        wide = FILTERS * len(WIDTHS)
+        best = np.zeros((len(texts), wide), np.float32)
+        hit = np.zeros((len(texts), wide, max(WIDTHS), _IDS), np.int32) if hits else None
+        pieces = [(i, x[a : a + WORDS_AT_ONCE + _REACH]) for i, x in enumerate(texts) for a in range(0, max(len(x), 1), WORDS_AT_ONCE)]
         k = 0
-        while k < len(texts):
-            n, words = k + 1, len(texts[k])
-            while n < len(texts) and words + len(texts[n]) <= WORDS_AT_ONCE:
-                words += len(texts[n])
+        while k < len(pieces):
+            n, words = k + 1, len(pieces[k][1])
+            while n < len(pieces) and words + len(pieces[n][1]) <= WORDS_AT_ONCE:
+                words += len(pieces[n][1])
                 n += 1
-            found.append(self._logits(texts[k:n]))
+            lengths = np.array([len(x) + _REACH for _, x in pieces[k:n]])
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            rows, pad = np.zeros((int(lengths.sum()), _IDS), np.int32), np.ones(int(lengths.sum()), bool)
+            for s, (_, x) in zip(starts, pieces[k:n]):
+                rows[s : s + len(x)] = x
+                pad[s : s + len(x)] = False
+            r = self.responses(rows, pad)
+            own = np.maximum.reduceat(r, starts, axis=0)
+            for (i, _), s, length, found in zip(pieces[k:n], starts, lengths, own):
+                better = np.flatnonzero(found > best[i])
+                best[i, better] = found[better]
+                if hit is not None and len(better):
+                    at = s + r[s : s + length].argmax(axis=0)[better]
+                    hit[i, better] = rows[np.minimum(at[:, None] + np.arange(max(WIDTHS)), s + length - 1)]
             k = n
-        return np.concatenate([z for z, _ in found]), np.concatenate([y for _, y in found])
+        return best, hit
 
-    def _logits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids, starts, pad = self.layout(texts)
-        best = np.maximum.reduceat(self.responses(ids, pad), starts, axis=0)
-        found = np.where(pad, 0, _LANGUAGES[ids & (BUCKETS - 1)])
-        counts = np.stack([np.add.reduceat((found == k).astype(np.int64), starts) for k in range(1, len(FUNCTION_WORDS) + 1)])
-        language = np.where(counts.max(axis=0) > 0, counts.argmax(axis=0) + 1, 0)
-        return best.astype(np.float64) @ self.out + self.base, language
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        best, _ = self.strongest([self.rows(x) for x in texts])
+        return best.astype(np.float64) @ self.out + self.base
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        z, language = self.logits(texts)
-        return 1 / (1 + np.exp(-np.clip(z - self.thresholds[language], -30, 30)))
-
-
-_LANGUAGES = _language_table()
+        """Between 0 and 1; texts without words have the score of NO_WORDS."""
+        z = self.logits(texts) - self.thresholds[languages(texts)]
+        z[[len(x) == 0 for x in texts]] = NO_WORDS
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def languages(texts: list[np.ndarray]) -> np.ndarray:
+    """The language whose function words a text has most of, as a number from 1; 0 without any."""
+    out = np.zeros(len(texts), np.int64)
+    for i, x in enumerate(texts):
+        own = x[:, 0]
+        at = np.minimum(np.searchsorted(_LANGUAGE_IDS, own), len(_LANGUAGE_IDS) - 1)
+        counts = np.bincount(_LANGUAGE_OF[at[_LANGUAGE_IDS[at] == own]], minlength=len(FUNCTION_WORDS) + 1)
+        out[i] = counts.argmax() if counts.any() else 0
+    return out
+
+
+def vocabulary(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """slot, tag and number of rows of the hashes of at least LEAST_TEXTS texts; the most frequent owns a bucket."""
+    found = np.sort(np.concatenate([np.zeros(0, np.uint32), *[np.unique(x) for x in texts]]).astype(np.uint32))
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(found)))
+    known = found[first[counts >= LEAST_TEXTS]]
+    known = known[np.argsort(counts[counts >= LEAST_TEXTS], kind="stable")]  # the last one written owns the bucket
+    slot, tag = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.uint32)
+    slot[known & (BUCKETS - 1)], tag[known & (BUCKETS - 1)] = np.arange(1, len(known) + 1), known >> BITS
+    return slot, tag, len(known) + 1
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Fit the classifier by stochastic gradients, then calibrate its thresholds."""
+    """Fit the classifier by stochastic gradients; its thresholds stay zero."""
     rng = np.random.default_rng(seed)
     wide = FILTERS * len(WIDTHS)
     draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
-    m = Model(draw(BUCKETS, DIMS) * 0.03, draw(BUCKETS, DIMS) * 0.03, draw(DIMS, FILTERS * len(_SLOTS)) * 0.5, np.full(wide, 0.02, np.float32), draw(wide).astype(np.float64) * 0.5, 0.0, np.zeros(len(FUNCTION_WORDS) + 1))
+    slot, tag, n = vocabulary(texts)
+    m = Model(slot, tag, draw(n, DIMS) * 0.03, draw(DIMS, FILTERS * len(_SLOTS)) * 0.5, np.full(wide, 0.02, np.float32), draw(wide).astype(np.float64) * 0.5, 0.0, np.zeros(len(FUNCTION_WORDS) + 1))
+    m.table[0] = 0
     if not len(labels) or labels.min() == labels.max():
-        m.low[:], m.high[:], m.out[:], m.base = 0, 0, 0, -30.0
+        m.table[:], m.out[:], m.base = 0, 0, -30.0
         return m
-    words = _repeated(np.concatenate([_repeated(x, 1) for x in texts]), LEAST_TEXTS)
-    for table, rows in ((m.low, words & (BUCKETS - 1)), (m.high, words >> (32 - BITS))):
-        unseen = np.ones(BUCKETS, bool)
-        unseen[rows] = False
-        table[unseen] = 0
-    known = [words[np.minimum(np.searchsorted(words, x), len(words) - 1)] == x if len(words) else np.zeros(len(x), bool) for x in texts]
-    order = rng.permutation(len(texts))
-    held, fit = order[: len(order) // 5], order[len(order) // 5 :]
-    seen = {k: np.full(v.shape, 1e-4, v.dtype) for k, v in (("low", m.low), ("high", m.high), ("conv", m.conv), ("bias", m.bias), ("out", m.out))}
-    base_seen = 1e-4
-
-    def step(name: str, at, grad: np.ndarray, rate: float) -> None:
-        value, total = getattr(m, name), seen[name]
-        if at is None:
-            total += grad * grad
-            value -= (rate * grad / np.sqrt(total)).astype(value.dtype)
-        else:
-            rows = _repeated(at, 1)
-            where = np.searchsorted(rows, at)
-            g = np.zeros((len(rows), DIMS), np.float32)
-            np.add.at(g, where, grad)
-            total[rows] += g * g
-            value[rows] -= rate * g / np.sqrt(total[rows])
-
-    language = m.logits(texts)[1]
+    rows, language = [m.rows(x) for x in texts], languages(texts)
     weight = np.ones(len(texts))
     for k in range(len(m.thresholds)):  # a language's two classes weigh alike, and small languages weigh more than their share
         for y in (0, 1):
@@ -168,73 +201,78 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
             if own.any():
                 weight[own] = ((language == k).sum() * len(texts)) ** 0.5 / own.sum()
     weight /= weight.mean()
+    seen = {k: np.full(v.shape, 1e-4, v.dtype) for k, v in (("table", m.table), ("conv", m.conv), ("bias", m.bias), ("out", m.out))}
+    base_seen = 1e-4
+
+    def step(name: str, grad: np.ndarray, rate: float) -> None:
+        value, total = getattr(m, name), seen[name]
+        total += grad * grad
+        value -= (rate * grad / np.sqrt(total)).astype(value.dtype)
+
+    order = np.arange(len(texts))
     for epoch in range(epochs):
         rate = 0.1 / (1 + 0.15 * epoch)
-        rng.shuffle(fit)
-        for k in range(0, len(fit), 32):
-            rows = fit[k : k + 32]
-            ids, starts, pad = m.layout([texts[i] for i in rows])
-            for a, i in zip(starts, rows):
-                pad[a : a + len(texts[i])] = ~known[i] | (rng.random(len(texts[i])) < DROPPED)
-            r = m.responses(ids, pad)
-            ends = np.append(starts[1:], len(ids))
-            at = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
-            best = r[at, np.arange(wide)]
+        rng.shuffle(order)
+        for k in range(0, len(order), 32):
+            own = order[k : k + 32]
+            kept = [np.where(rng.random(len(rows[i]))[:, None] < DROPPED, 0, rows[i]) for i in own]
+            best, hit = m.strongest(kept, hits=True)
             p = 1 / (1 + np.exp(-np.clip(best @ m.out + m.base, -30, 30)))
-            d = (p - labels[rows]) * weight[rows] / len(rows)
-            to = (d[:, None] * m.out[None, :]) * (best > 0)
+            d = (p - labels[own]) * weight[own] / len(own)
+            to = ((d[:, None] * m.out[None, :]) * (best > 0)).astype(np.float32)
             conv_grad, places, grads = np.zeros_like(m.conv), [], []
-            for f in range(wide):
-                w = WIDTHS[f // FILTERS]
-                first = sum(WIDTHS[: f // FILTERS]) * FILTERS + f % FILTERS
-                live = np.flatnonzero(to[:, f])
-                for j in range(w):
-                    word = at[live, f] + j
-                    live_j, word = live[~pad[word]], word[~pad[word]]
-                    if not len(word):
-                        continue
-                    g = to[live_j, f].astype(np.float32)
-                    x = m.low[ids[word] & (BUCKETS - 1)] + m.high[ids[word] >> (32 - BITS)]
-                    conv_grad[:, first + j * FILTERS] += g @ x
-                    places.append(ids[word])
-                    grads.append(g[:, None] * m.conv[:, first + j * FILTERS][None, :])
-            step("out", None, best.T @ d, rate)
-            step("bias", None, to.sum(axis=0).astype(np.float32), rate / 4)
+            for s, (w, j) in enumerate(_SLOTS):
+                f = slice(WIDTHS.index(w) * FILTERS, (WIDTHS.index(w) + 1) * FILTERS)
+                c = slice(s * FILTERS, (s + 1) * FILTERS)
+                word = hit[:, f, j]  # texts, filters, ids
+                x = m.table[word].sum(axis=2)
+                conv_grad[:, c] = np.einsum("tf,tfd->df", to[:, f], x)
+                g = to[:, f, None] * m.conv[:, c].T[None, :, :]
+                places.append(word.reshape(-1))
+                grads.append(np.repeat(g.reshape(-1, DIMS), _IDS, axis=0))
+            step("out", best.T @ d, rate)
+            step("bias", to.sum(axis=0), rate / 4)
             base_seen += d.sum() ** 2
             m.base -= rate * d.sum() / np.sqrt(base_seen)
-            step("conv", None, conv_grad, rate / 2)
-            if places:
-                where, g = np.concatenate(places), np.concatenate(grads)
-                step("low", where & (BUCKETS - 1), g, rate)
-                step("high", where >> (32 - BITS), g, rate)
-    z, language = m.logits([texts[i] for i in held])
-    overall = _threshold(z, labels[held], 0.0)
-    m.thresholds[:] = overall
-    for k in range(1, len(m.thresholds)):
-        own = language == k
-        m.thresholds[k] = _threshold(z[own], labels[held][own], overall)
+            step("conv", conv_grad, rate / 2)
+            where, g = np.concatenate(places), np.concatenate(grads)
+            live = (where > 0) & g.any(axis=1)
+            touched, at = np.unique(where[live], return_inverse=True)
+            summed = np.zeros((len(touched), DIMS), np.float32)
+            np.add.at(summed, at, g[live])
+            seen["table"][touched] += summed * summed
+            m.table[touched] -= rate * summed / np.sqrt(seen["table"][touched])
     return m
 
 
-def _repeated(x: np.ndarray, least: int) -> np.ndarray:
-    """The sorted distinct values that occur at least so often."""
-    x = np.sort(x)
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[first[np.diff(np.append(first, len(x))) >= least]]
-
+def thresholds(z: np.ndarray, y: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """The logit of each language at which held-out rows err least.
 
-def _threshold(z: np.ndarray, y: np.ndarray, otherwise: float) -> float:
-    """The middle of the cut that errs least on each class, or the fallback without both classes."""
-    if min((y == 1).sum(), (y == 0).sum()) < 5:
-        return otherwise
-    cuts = np.unique(z)
-    mid = (cuts[1:] + cuts[:-1]) / 2
-    if not len(mid):
-        return otherwise
-    wrong = np.array([(z[y == 1] < c).mean() + (z[y == 0] >= c).mean() for c in mid])
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    gap = (cuts[1:] - cuts[:-1])[best]
-    return float(mid[best[gap.argmax()]])
+    A cut's error is the share of toxic rows below it plus ALARM_WEIGHT times the
+    share of clean rows above.  A language's own error counts by its toxic rows,
+    that of all languages by POOLED_ROWS, so that few rows of a language can't
+    move its cut far.  Of equal cuts the middle of the widest gap is taken.
+    """
+    out = np.zeros(len(FUNCTION_WORDS) + 1)
+    if not len(y) or y.min() == y.max():
+        return out
+    values = np.unique(z)
+    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    widths = np.concatenate([[1.0], values[1:] - values[:-1], [1.0]])
+
+    def error(own: np.ndarray) -> np.ndarray:
+        high, low = np.sort(z[own & (y == 1)]), np.sort(z[own & (y == 0)])
+        misses, alarms = np.searchsorted(high, cuts), len(low) - np.searchsorted(low, cuts)
+        return misses / max(len(high), 1) + ALARM_WEIGHT * alarms / max(len(low), 1)
+
+    pooled = error(np.ones(len(y), bool))
+    for k in range(len(out)):
+        own = language == k
+        n = (own & (y == 1)).sum() if (own & (y == 0)).any() else 0
+        wrong = (n * error(own) + POOLED_ROWS * pooled) / (n + POOLED_ROWS)
+        best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+        out[k] = cuts[best[widths[best].argmax()]]
+    return out
 
 
 def held_out(doc_id):
@@ -242,43 +280,71 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """A bounded sample of labelled rows outside the held-out fold: text and toxic.
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A bounded sample of labelled rows outside the held-out fold: doc_id, text and toxic.
 
     Chosen by a hash of the id, so the same rows come out however the table is
-    dealt.  At most SAMPLE_TOXIC and SAMPLE_CLEAN rows, of texts of at most
-    SAMPLE_TEXT_BYTES each, are fetched; the id list is bounded likewise and is
-    all that is broadcast.
+    dealt.  At most SAMPLE_TOXIC and SAMPLE_CLEAN labels are chosen, and the list
+    of ids is all that is broadcast.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     order = F.xxhash64("doc_id", "toxic")
     chosen = [usable.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return (
-        docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
-        .join(ids, "doc_id").select("doc_id", text_bytes(F.col("text")).alias("text"), "toxic")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
-    )
+    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("text")).join(ids, "doc_id")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(SAMPLE_TOXIC + SAMPLE_CLEAN)
+
 
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
+    """Train on the whole sample, and calibrate on folds that models of the other folds score.
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled_sample(docs, labels)
-    return train([word_hashes(x.as_py()) for x in sample.column("text")], sample.column("toxic").to_numpy().astype(np.int64))
+    Each model is trained in a task of its own, which reads the bounded sample; the
+    driver gets the last model and the folds' logits.
+    """
+    sample = settle(labelled_sample(docs, labels), "toxic-sample")
+    dealt = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(folds)))).repartitionById(folds + 1, F.col("part"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(part, fold, doc_id, word_hashes(text), toxic) for pdf in frames for part, fold, doc_id, text, toxic in zip(pdf.part, pdf.fold, pdf.doc_id, pdf.text, pdf.toxic)]
+        rows.sort(key=lambda r: (zlib.crc32(r[3].tobytes()), r[2], r[4]))  # the rows' order sets the order of the steps
+        for part in sorted({r[0] for r in rows}):
+            own = [r for r in rows if r[0] == part and r[1] != part]
+            model = train([x for *_, x, _ in own], np.array([y for *_, y in own], np.int64))
+            rest = [r for r in rows if r[0] == part and r[1] == part]
+            if part == folds:
+                yield pd.DataFrame({"model": [pickle.dumps(model)], "z": [0.0], "toxic": [0], "language": [0]})
+            elif rest:
+                texts = [x for *_, x, _ in rest]
+                yield pd.DataFrame({"model": None, "z": model.logits(texts), "toxic": [y for *_, y in rest], "language": languages(texts)})
+
+    found = dealt.select("part", "fold", "doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(run, "model binary, z double, toxic int, language int").toArrow()
+    models = [x.as_py() for x in found.column("model") if x.is_valid]
+    if not models:
+        return train([], np.zeros(0, np.int64))
+    scored = found.filter(found.column("model").is_null())
+    model = pickle.loads(models[0])
+    model.thresholds = thresholds(*(scored.column(c).to_numpy() for c in ("z", "toxic", "language")))
+    return model
+
+
+def _scores(model: Broadcast, texts: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.value.scores([word_hashes(x) for x in texts[k : k + 64]]) for k in range(0, len(texts), 64))])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from its whole text alone.
 
-    Null and empty texts are texts without words and get the score of no evidence.
-    Rows with a null id count as held out.  Repeated rows get equal scores.
-    Without labels of both classes nothing can be learned and every score is 0.
-    An empty table gives no rows.
+    Null and empty texts, and texts without words, have the score of NO_WORDS, about
+    0.05.  Rows with a null id count as held out.  Repeated rows get equal scores.
+    Without labels of both classes nothing can be learned and texts with words
+    score about 0.  An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = np.concatenate([np.zeros(0), *(model.value.scores([word_hashes(x) for x in pdf.text[k : k + 64]]) for k in range(0, len(pdf), 64))])
+            found = _scores(model, pdf.text)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "score": found, "predicted": (found >= 0.5).astype(np.int32)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_bytes(F.col("text")).alias("text"))
@@ -294,9 +360,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for k in range(0, len(texts), 64):
-            out.append(model.value.scores([word_hashes(x) for x in texts[k : k + 64]]))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(_scores(model, texts))
 
     return docs.where(score(text_bytes(F.col("text"))) < 0.5)
