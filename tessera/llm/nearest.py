@@ -26,6 +26,10 @@ class Codes:
     """Rows as int8 codes of one scale, with norms and norms of what the codes miss."""
 
     def __init__(self, rows: np.ndarray):
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._fill(rows)
+
+    def _fill(self, rows: np.ndarray) -> None:
         largest = np.abs(rows).max(initial=0.0)
         self.scale = largest / 127 if largest > 0 else 1.0
         if not np.isfinite(self.scale) or self.scale == 0:
@@ -42,21 +46,43 @@ def bounds(q: Codes, c: Codes) -> tuple[np.ndarray, np.ndarray]:
     The int8 product is exact: its sums stay below 2**24 in single precision up
     to 1,040 dimensions, and are taken in double precision beyond.
     """
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _bounds(q, c)
+
+
+def _bounds(q: Codes, c: Codes) -> tuple[np.ndarray, np.ndarray]:
     kind = np.float32 if q.codes.shape[1] <= 1040 else np.float64
     product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64) * (q.scale * c.scale)
     about = q.square[:, None] + c.square[None, :] - 2 * product
     error = 2 * (q.miss[:, None] * c.norm[None, :] + q.near[:, None] * c.miss[None, :])
-    error += 1e-9 * (q.square[:, None] + c.square[None, :])  # rounding of the sums themselves
-    return about - error, about + error
+    error += 1e-9 * (q.square[:, None] + c.square[None, :]) + 1e-300  # rounding of the sums themselves
+    low, high = about - error, about + error
+    unknown = ~np.isfinite(low) | ~np.isfinite(high)  # squares beyond a double tell nothing
+    low[unknown], high[unknown] = -np.inf, np.inf
+    return low, high
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows; components are summed in their order."""
-    total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        d = a[:, k] - b[:, k]
-        total += d * d
-    return np.sqrt(total)
+    """Euclidean distances of paired rows; components are summed in their order.
+
+    Where squares leave the range of a double the differences are scaled first.
+    """
+    def summed(a: np.ndarray, b: np.ndarray, by: np.ndarray | float = 1.0) -> np.ndarray:
+        total = np.zeros(len(a))
+        for k in range(a.shape[1]):
+            d = (a[:, k] - b[:, k]) / by
+            total += d * d
+        return np.sqrt(total)
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = summed(a, b)
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        if len(odd):
+            most = np.abs(a[odd] - b[odd]).max(axis=1, initial=0)
+            fit = (most > 0) & np.isfinite(most)
+            odd, most = odd[fit], most[fit]
+            out[odd] = summed(a[odd], b[odd], most) * most
+    return out
 
 
 def _run(k: int):
@@ -68,7 +94,7 @@ def _run(k: int):
             own = ids[s : s + _STRIP, None] == found[None, :]
             low[own], high[own] = np.inf, np.inf
             limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(part), np.inf)
-            held = np.array([h[0][2] ** 2 * (1 + 1e-9) if len(h) == k else np.inf for h in heaps[s : s + _STRIP]])
+            held = np.array([h[0][2] * h[0][2] * (1 + 1e-9) + 1e-300 if len(h) == k else np.inf for h in heaps[s : s + _STRIP]])
             i, j = np.nonzero((low <= np.minimum(limit, held)[:, None]) & ~own)
             for a in range(0, len(i), 200_000):
                 ii, jj = i[a : a + 200_000], j[a : a + 200_000]
@@ -108,7 +134,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest other vectors.
 
     Score: Euclidean distance in double precision on the original vectors; the
-    nearest come first, ties go to the smaller vec_id.  Null, zero and non-finite
+    nearest come first, ties go to the smaller vec_id.  A distance beyond a double is
+    infinite.  Null, zero and non-finite
     vectors and null ids take no part; repeated ids are one row (the smallest
     vector); a query with fewer candidates gets all.  An empty table gives none.
     """

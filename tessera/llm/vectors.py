@@ -16,14 +16,16 @@ MATCHES = "query_id long, vec_id long, score {kind}"
 
 
 def usable(embeddings: DataFrame, nonzero: bool) -> DataFrame:
-    """vec_id, vector (doubles) and dim of the rows that take part.
+    """vec_id, vector and dim of the rows that take part.
 
+    Vectors stay in single precision if the table has them so, and are doubles else.
     Left out are null ids, and vectors that are null or hold null or non-finite
     components; with ``nonzero`` also vectors without a component other than zero.
     A vec_id names a row: of repeated ids the smallest vector stays.  Vectors of
     different lengths never meet.
     """
-    vector = F.col("embedding").cast("array<double>")
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where("vec_id is not null and vector is not null")
     rows = rows.where(~F.exists("vector", odd))
@@ -63,7 +65,7 @@ def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             if a == b:
                 continue
             tile = tuple(keys[a][:3])
-            flat = vectors.slice(a, b - a).flatten().to_numpy()
+            flat = vectors.slice(a, b - a).flatten().to_numpy().astype(np.float64)
             yield int(kind[a]), ids[a:b], flat.reshape(b - a, int(dim[a])), tile != last
             last = tile
 
@@ -71,8 +73,9 @@ def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 def best(matches: DataFrame, k: int, order: Column) -> DataFrame:
     """The first k matches of each query over all lanes, with ranks from 1."""
     own = Window.partitionBy("query_id").orderBy(order, "vec_id")
-    return matches.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return matches.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", *[c for c in matches.columns if c != "query_id"])
 
 
-def search(tiles: DataFrame, run: Callable, kind: str) -> DataFrame:
-    return tiles.mapInArrow(run, MATCHES.format(kind=kind))
+def search(tiles: DataFrame, run: Callable, *kinds: str) -> DataFrame:
+    """The tiles' matches; ``kinds`` are the kind of the score and further columns."""
+    return tiles.mapInArrow(run, ", ".join([MATCHES.format(kind=kinds[0]), *kinds[1:]]))
