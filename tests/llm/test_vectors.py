@@ -26,7 +26,8 @@ def small_tiles(monkeypatch):
     for module in (nearest, topk):
         monkeypatch.setattr(module, "BAND_ROWS", 4)
         monkeypatch.setattr(module, "LANE_ROWS", 16)
-    monkeypatch.setattr(topk, "FIRST_DEPTH", 2)
+    monkeypatch.setattr(topk, "FIRST_STRETCH", 2)
+    monkeypatch.setattr(topk, "LISTS_AT_ONCE", 2)
 
 
 def brute(rows, asks, k, score, best_first, zero_out):
@@ -64,7 +65,7 @@ def test_nearest_is_brute_force(spark, odd_rows, monkeypatch):
 def test_top_k_is_brute_force(spark, odd_rows, monkeypatch):
     small_tiles(monkeypatch)
     got = topk.exact_top_k(table(spark, odd_rows), F.col("vec_id") % 5 == 0, 20).orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in got] == brute(odd_rows, lambda i: i % 5 == 0, 20, product, -1, False)
+    assert [tuple(r)[:4] for r in got] == brute(odd_rows, lambda i: i % 5 == 0, 20, product, -1, False)
 
 
 def test_empty_tables(spark):
@@ -89,7 +90,47 @@ def test_threshold_stops_early_when_it_may():
     assert score.tolist() == [3000 - 3 * k for k in range(5)] and scored < 200
 
 
+def test_the_share_scored_falls_with_skew():
+    """Where few dimensions carry the weight, few vectors are scored; in like dimensions nearly all are."""
+    rng = np.random.default_rng(8)
+    shares = []
+    for power in (0.0, 1.0, 2.0):
+        rows = np.floor(200 * rng.normal(0, 1, (4000, 16)) * (np.arange(16) + 1.0) ** -power).astype(np.int64)
+        lists, seen = topk.Lists(np.arange(4000), rows), []
+        for q in range(0, 4000, 200):
+            at, score, scored = lists.search(q, rows[q], 10)
+            scores = rows @ rows[q]
+            scores[q] = -(1 << 40)
+            order = np.lexsort((np.arange(4000), -scores))[:10]
+            assert at.tolist() == order.tolist() and score.tolist() == scores[order].tolist()
+            seen.append(scored / 4000)
+        shares.append(np.mean(seen))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.2
+
+
+def test_zero_and_tied_queries():
+    rows = np.array([[0, 0], [1, 1], [1, 1], [-1, 5]])
+    lists = topk.Lists(np.array([7, 3, 9, 1]), rows)
+    at, score, _ = lists.search(7, np.array([0, 0]), 2)
+    assert lists.ids[at].tolist() == [1, 3] and score.tolist() == [0, 0]
+    at, score, _ = lists.search(1, np.array([1, 0]), 2)
+    assert lists.ids[at].tolist() == [3, 9] and score.tolist() == [1, 1]
+
+
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3e38, -3e38]), (1, [1.0, 2.0]), (2, [1e6, 1e6])]
+    rows = [(1, [1.0, 2.0]), (2, [3e6, 1e6]), (3, [2.0**28, -(2.0**28)]), (4, [2.0**21 + 0.5, 1.0])]
     got = topk.exact_top_k(table(spark, rows), F.col("vec_id") == 2, 5).orderBy("rank").collect()
-    assert [r.vec_id for r in got] == [1, 0] and got[0].score == 64_000_000 * (64 + 128)
+    want = sorted(((product(dict(rows)[2], v), i) for i, v in rows if i != 2), key=lambda x: (-x[0], x[1]))
+    assert [(r.score, r.vec_id) for r in got] == want
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.exact_top_k(table(spark, [(2, [3e38, 1.0]), (5, [3e38, 1.0])]), F.col("vec_id") == 2, 5).collect()
+
+
+def test_distances_of_any_size(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 3e180]), (2, [-1e200, 1e200]), (3, [1e-200, 2e-200]), (4, [1e-200, 5e-200]), (5, [1.0, 1.0]), (6, [1e308, 0.0]), (7, [-1e308, 0.0])]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(made, F.lit(True), 10).orderBy("query_id", "rank").collect()
+    assert len(got) == 8 * 7
+    first = {r.query_id: (r.vec_id, r.score) for r in got if r.rank == 1}
+    assert first[0] == (1, 3e180) and first[3][0] == 4 and abs(first[3][1] / 3e-200 - 1) < 1e-12
+    assert [r.score for r in got if r.query_id == 6 and r.vec_id == 7] == [float("inf")] and not any(np.isnan(r.score) for r in got)
