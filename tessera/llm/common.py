@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in local tests, a temporary folder is made and set for the session.
+    Only on a local master, where that may be unset, a temporary folder is made and
+    set for the session; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; ``clear`` deletes it."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -29,9 +36,47 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     keeps the columnar form, so that later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    _delete(settled.sparkSession, settled.settled_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all settled tables of this application; results that read them must have been written."""
+    _delete(spark, session_dir(spark))
+
+
+#: A key of more than one in so many rows, and of so many rows at least, is split.
+HOT_SHARE, HOT_ROWS = 1000, 10_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, salt: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``left`` joined on ``keys`` to ``right``, which has a row a key and in ``n`` its number of left rows.
+
+    The rows of a hot key are dealt over several tasks by a hash of ``salt``, and
+    its right row goes to each.  At most HOT_SHARE keys can be hot, so their list is
+    bounded and broadcast.  Null keys never match.
+    """
+    if total is None:
+        total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    most = max(total // HOT_SHARE, HOT_ROWS)
+    copies = F.when(F.col(n) > most, F.ceil(F.col(n) / most)).otherwise(1).cast("int")
+    hot = F.broadcast(right.where(F.col(n) > most).select(*keys, copies.alias("_copies")))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*salt), F.col("_copies")).cast("int")).otherwise(0)).drop("_copies")
+    met = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(met, [*keys, "_salt"], how).drop("_salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
