@@ -23,8 +23,13 @@ MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long, slot_rows long
 
 
 def virtual_slot(slots: int = VIRTUAL_SLOTS) -> Column:
-    """Slot of a record, from its id and text, so that repeated ids spread too."""
-    return F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int")
+    """Slot of a record, from its id and text, so that repeated ids spread too.
+
+    Records without an id have nothing that tells copies apart: they are spread by
+    their place in the table, which holds for the one table that is measured.
+    """
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64("doc_id", "text_crc32", "size", apart), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -101,6 +106,28 @@ def rebalanced_map(spark: SparkSession, old: DataFrame, weights: DataFrame, shar
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Append a version to the maps stored at ``path``; a version that is there already is an error."""
+    spark = slot_map.sparkSession
+    stored, version = load_map(spark, path), slot_map.agg(F.max("version")).first()[0]
+    if version is None:
+        return
+    if stored is not None and stored.agg(F.max("version")).first()[0] >= version:
+        raise ValueError(f"version {version} of the slot map is stored already at {path}")
+    slot_map.coalesce(1).write.mode("append").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest version of the map stored at ``path``, or the one asked for; None if nothing is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    if version is None:
+        version = stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == version)
+
+
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and place in the shard (``slot``, gapless from 0) of each row.
 
@@ -117,18 +144,48 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    return assign(rows, slot_map).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast(T.IntegerType()).alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"),
+    )
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Spread documents over shards of near-equal bytes; gives rows and the map.
 
     Law ``bytes``: size is the UTF-8 length plus 1 (null text: 1).  Repeated rows
-    each get a place.  Null ids hash like any value.  An empty table gives an
-    empty result and an empty map.  Extra columns are not read.
+    each get a place.  Null ids are spread by their place in the table.  An empty
+    table gives an empty result and an empty map.  Extra columns are not read.
+
+    With ``map_path`` the newest map stored there says where slots go, so documents
+    of a later table stay with those of an earlier one; slots that it lacks are
+    added as its next version.  Without a stored map the first one is made and
+    stored.
     """
     spark = docs.sparkSession
     rows = settle(measured(docs, slots), "shard-rows")
-    slot_map = settle(first_map(spark, slot_weights(rows), shards), "shard-map-v1")
-    out = assign(rows, slot_map).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast(T.IntegerType()).alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"),
-    )
-    return out, slot_map
+    weights = slot_weights(rows)
+    stored = load_map(spark, map_path) if map_path else None
+    if stored is None:
+        slot_map = first_map(spark, weights, shards)
+    elif weights.join(stored.select("vslot"), "vslot", "left_anti").isEmpty():
+        slot_map = stored.drop("slot_bytes", "slot_rows").join(weights, "vslot").select("version", "vslot", "shard", "slot_bytes", "slot_rows")
+    else:
+        slot_map = rebalanced_map(spark, stored, weights, shards, tolerance=float("inf"))
+    slot_map = settle(slot_map, "shard-map")
+    if map_path and (stored is None or slot_map.agg(F.max("version")).first()[0] != stored.agg(F.max("version")).first()[0]):
+        save_map(slot_map, map_path)
+    return _placed(rows, slot_map), slot_map
+
+
+def rebalance_documents(docs: DataFrame, map_path: str, shards: int, slots: int = VIRTUAL_SLOTS, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Rows and map after the newest map stored at ``map_path`` is edited for ``shards`` and stored as the next version."""
+    spark = docs.sparkSession
+    rows = settle(measured(docs, slots), "shard-rows")
+    stored = load_map(spark, map_path)
+    if stored is None:
+        raise ValueError(f"no slot map is stored at {map_path}")
+    slot_map = settle(rebalanced_map(spark, stored, slot_weights(rows), shards, tolerance), "shard-map")
+    save_map(slot_map, map_path)
+    return _placed(rows, slot_map), slot_map
