@@ -25,6 +25,8 @@ from tessera.llm.common import settle
 
 CAPACITY = 1024
 END_ID = 2
+#: Fixed value: the tokenizer's special string, whose id follows those of the ranks.
+END_OF_TEXT = "<|endoftext|>"
 GROUP_ITEMS = 20_000
 ROUNDS = 4
 
@@ -33,7 +35,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 @lru_cache(maxsize=2)
 def _encoder(name: str):
-    """The vocabulary's encoder, loaded once a worker; special strings in a text are ordinary text."""
+    """The vocabulary's encoder, loaded once a worker; END_OF_TEXT in a text is one id, as the tokenizer's file has it."""
     import public_tokenizers
     import tiktoken
 
@@ -42,11 +44,12 @@ def _encoder(name: str):
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+    return lambda text: encoding.encode(text, allowed_special="all") if END_OF_TEXT in text else encoding.encode_ordinary(text)
 
 
 def token_bytes(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """Ids of one text, without special tokens, as little-endian uint32 bytes.
+    """Ids of one text, with no special tokens added, as little-endian uint32 bytes.
 
     The vocabulary is the one of ``byte_bpe_50k.json`` in the form of ranks, which
     give the same ids several times faster; a test holds the two together.
