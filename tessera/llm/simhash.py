@@ -1,11 +1,13 @@
 """SimHash near-dedup by pivot distance tables.
 
-Every text gets a 64-bit fingerprint.  Two fingerprints within ``radius`` bits of
-each other agree in full on at least two of ``radius + 2`` segments, so each pair
-meets under some choice of two segments.  Where fingerprints meet, their Hamming
-distances to many fixed reference fingerprints (the pivots) are laid out as a
-table; by the triangle inequality a pair whose coordinates differ anywhere by more
-than the radius can't be near, and only the survivors are compared bit by bit.
+Every text gets a 64-bit fingerprint.  Its Hamming distances to fixed reference
+fingerprints (the pivots) are computed once and kept beside it.  Two fingerprints
+within ``radius`` bits of each other agree in full on at least ``agree`` of
+``radius + agree`` segments, so each pair meets under some choice of segments; the
+more fingerprints, the more segments must agree, so that groups stay small.  Where
+fingerprints meet, by the triangle inequality a pair whose coordinates differ
+anywhere by more than the radius can't be near, and only the survivors are compared
+bit by bit.
 Groups give a spanning forest of their links, never all pairs, and the forests
 meet in a distributed connected-components job.
 """
@@ -21,12 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle, text_bytes
+from tessera.llm.common import discard, settle, split_join, text_bytes
 
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-PIVOTS = 32
+PIVOTS = 8
+#: Fingerprints that share a group by chance, at most, in the mean.
+GROUP_ROWS = 64
 TILE_ROWS = 4096
 _ROWS_A_BLOCK = 1 << 14
 
@@ -66,6 +70,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def coordinates(fp: Column) -> Column:
+    """The distances to the pivots, a byte each, as one long."""
+    out = F.lit(0).cast("long")
+    for k, p in enumerate(pivots().tolist()):
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * k))
+    return out
+
+
+def agreeing(count: int, radius: int = RADIUS) -> int:
+    """The fewest segments to agree on, from two on, whose groups hold about GROUP_ROWS of so many fingerprints."""
+    agree = 2
+    while agree < 6 and count >> (64 * agree // (radius + agree)) > GROUP_ROWS:
+        agree += 1
+    return agree
+
+
 def segment_masks(radius: int = RADIUS, agree: int = 2, bits: int = 64) -> list[int]:
     """Bit masks of every choice of ``agree`` out of ``radius + agree`` segments."""
     n = radius + agree
@@ -78,17 +98,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(groups: np.ndarray, prints: np.ndarray, reference: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def near_pairs(groups: np.ndarray, prints: np.ndarray, coords: np.ndarray, radius: int = RADIUS, seen: dict[str, int] | None = None) -> np.ndarray:
     """Smallest row of the same group that each row reaches by links of its group.
 
-    Rows come sorted by group.  Row i is held against row i + d for d = 1, 2, ...
-    as long as any two such rows share a group.  A pair goes on to the exact
-    comparison only if the pivot table leaves it.
+    Rows come sorted by group; ``coords`` holds their packed coordinates.  Row i is
+    held against row i + d for d = 1, 2, ... as long as any two such rows share a
+    group.  A pair goes on to the exact comparison only if the pivot table leaves
+    it.  ``seen`` counts the pairs that met and those compared.
     """
-    table = np.bitwise_count(prints[:, None] ^ reference[None, :]).astype(np.int8)
+    table = coords.astype("<i8").view(np.int8).reshape(-1, PIVOTS)
     order = np.lexsort((table[:, 0], groups))
     groups, prints, table = groups[order], prints[order], table[order]
     n = len(prints)
+    if seen is not None:
+        _, sizes = np.unique(groups, return_counts=True)
+        seen["met"] = seen.get("met", 0) + int((sizes * (sizes - 1) // 2).sum())
     root = np.arange(n)
     at = np.arange(n - 1)
     d = 1
@@ -101,6 +125,8 @@ def near_pairs(groups: np.ndarray, prints: np.ndarray, reference: np.ndarray, ra
             if not len(left):
                 break
             left = left[np.abs(table[left + d, k] - table[left, k]) <= radius]
+        if seen is not None:
+            seen["compared"] = seen.get("compared", 0) + len(left)
         left = left[np.bitwise_count(prints[left] ^ prints[left + d]) <= radius]
         if len(left):
             a, b = left, left + d
@@ -118,14 +144,14 @@ def near_pairs(groups: np.ndarray, prints: np.ndarray, reference: np.ndarray, ra
     return out
 
 
-def _forest(reference: np.ndarray, radius: int):
+def _forest(radius: int):
     """A function over sorted Arrow batches that yields links (a, b) of their groups."""
 
     def links(rows: pa.Table) -> pa.RecordBatch | None:
         keys = np.column_stack([rows.column(c).to_numpy() for c in ("combo", "key", "tile")])
         new = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
         reps = rows.column("rep").to_numpy()
-        to = near_pairs(new, rows.column("fp").to_numpy().view(np.uint64), reference, radius)
+        to = near_pairs(new, rows.column("fp").to_numpy().view(np.uint64), rows.column("coords").to_numpy(), radius)
         own = to != np.arange(len(to))
         if not own.any():
             return None
@@ -148,16 +174,16 @@ def _forest(reference: np.ndarray, radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, agree: int = 2) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, agree: int | None = None) -> DataFrame:
     """Links (a, b) between representatives: a spanning forest of each group's links.
 
-    ``distinct`` has one row a fingerprint: fp and rep.  A group of over
+    ``distinct`` has one row a fingerprint: fp, coords and rep.  A group of over
     ``tile_rows`` rows is cut into blocks; each two blocks meet in a task of their
     own, so that no task holds a whole large group.
     """
-    masks = segment_masks(radius, agree)
+    masks = segment_masks(radius, agree or agreeing(distinct.count(), radius))
     keyed = distinct.select(
-        "fp", "rep",
+        "fp", "coords", "rep",
         F.inline(F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])),
     )
     large = keyed.groupBy("combo", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -167,33 +193,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
         keyed.join(large, ["combo", "key"])
         .withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select("combo", "key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("tile"), "fp", "rep")
+        .select("combo", "key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("tile"), "fp", "coords", "rep")
     )
-    return dealt.repartition("combo", "key", "tile").sortWithinPartitions("combo", "key", "tile").mapInArrow(_forest(pivots(), radius), "a long, b long")
+    return dealt.repartition("combo", "key", "tile").sortWithinPartitions("combo", "key", "tile").mapInArrow(_forest(radius), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
     Alternating large-star and small-star rounds; each groups by node with a
-    pre-aggregated minimum, and rounds stop when the edges no longer change.
+    pre-aggregated minimum, the edges of a node with very many are dealt over
+    several tasks, and rounds stop when the edges no longer change.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    was = None
+    was, count = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = star.groupBy("a").agg(F.min("b").alias("m"))
-        edges = settle(
-            star.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        star = split_join(both, low, ["a"], "n", ["b"], total=2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        old, edges = edges, settle(
+            split_join(star, low, ["a"], "n", ["b"], total=2 * count).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").where("a <> b").distinct(),
             "edges",
         )
+        discard(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(0xFFFFFFFF))).first()
         if now == was or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        was = now
+        was, count = now, now[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -210,10 +238,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     an id has that fingerprint.  An empty table gives no rows.
     """
     prints = settle(fingerprints(docs), "fingerprints")
-    distinct = settle(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-prints")
+    distinct = settle(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("coords", coordinates(F.col("fp"))), "distinct-prints")
     roots = components(links(distinct, radius))
-    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+    named = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    return split_join(prints, named, ["fp"], "n", ["doc_id"], "left").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
