@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import settle
 
@@ -72,13 +71,26 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     Takes calls (conv_id, turn, call_id, name, arguments) and results (conv_id,
     turn, call_id, content).  Status: ``linked``, ``pending`` (no result),
     ``orphan`` (a result without a call), ``duplicate`` (a later call or result
-    of a taken identifier; the first by turn and content stays) or ``cycle``.
-    Null identifiers never link.
+    of a taken identifier; the first by turn and a hash of its content stays) or
+    ``cycle``.  Null identifiers never link.  Arguments that are no JSON, or repeat
+    a key, are kept as a JSON text.
     """
-    first = lambda *by: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", *by))
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    calls = calls.withColumn("nth", F.when(known, first("name", "arguments")).otherwise(1))
-    results = results.withColumn("nth", F.when(known, first("content")).otherwise(1))
+
+    def counted(rows: DataFrame, *by: str) -> DataFrame:
+        """rows with ``nth``: 1 for the first of an identifier and for rows without one, else 2."""
+        order = F.struct("turn", F.xxhash64(*by).alias("h"))
+        named = rows.where(known).withColumn("_at", order)
+        first = named.groupBy("conv_id", "call_id").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        found = named.join(first, ["conv_id", "call_id"], "left")
+        once = found.where("_n is null").withColumn("nth", F.lit(1)).select(*rows.columns, "nth")
+        again = found.where("_n is not null and _at <> _first").withColumn("nth", F.lit(2)).select(*rows.columns, "nth")
+        # copies of the first row itself: one of them is the first
+        same = found.where("_n is not null and _at = _first").groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_n"))
+        same = same.select(*rows.columns, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: F.least(k, F.lit(2)))).alias("nth"))
+        return once.unionByName(again).unionByName(same).unionByName(rows.where(~known).withColumn("nth", F.lit(1)))
+
+    calls, results = counted(calls, "name", "arguments"), counted(results, "content")
     left = calls.where("nth = 1").join(levels(calls.where(known & (F.col("nth") == 1))), ["conv_id", "call_id"], "left")
     right = results.where("nth = 1").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"))
     joined = left.hint("shuffle_hash").join(right, ["conv_id", "call_id"], "left")
@@ -89,7 +101,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
 
     def call_json(df: DataFrame) -> Column:
         rest = F.to_json(F.struct(F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result")))
-        return F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null")), F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(rest, 2, 2_000_000_000))))
+        as_text = F.to_json(F.struct(F.col("arguments").alias("a")))  # {"a":"..."}: what does not parse stays, as a text
+        as_text = F.when(F.col("arguments").isNotNull(), F.substring(as_text, F.lit(6), F.length(as_text) - 6))
+        return F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json("arguments")), as_text, F.lit("null")), F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(rest, 2, 2_000_000_000))))
 
     columns = ["conv_id", "turn", "kind", "call_id", "level", "status", "problems", "json"]
     again = again.withColumns({"level": F.lit(None).cast("int"), "content": F.lit(None).cast("string")})
