@@ -31,8 +31,7 @@ def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for _, text in ODD:
+    for _, text in [*ODD, (0, "a<|endoftext|>\n <|endoftext|><|endoftext|> b"), (0, "<|endoftext|>"), (0, " <|endoftext"), (0, "\u3000x\u00a0 1 2\r\n\t🙂 'S")]:
         assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -67,6 +66,28 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_by_brute_force(spark):
+    """Every piece against the tokenizer itself, on whole test documents."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = sf_docs(spark)
+    want = set()
+    for r in table.collect():
+        ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want |= {(r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = packing.pack_documents(table).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    filled = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in filled.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+
+
 def test_packing_is_near_the_bound(spark):
     rows = packing.pack(packing.pieces(sf_docs(spark)), group_items=40).collect()
     seqs = {r.sequence_id for r in rows}
@@ -121,7 +142,7 @@ def test_near_duplicates_on_odd_rows(spark):
     assert simhash.keep_first(docs(spark, [])).columns == docs(spark).columns and simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_links_of_large_groups_are_split(spark):
+def test_links_of_large_groups_are_split(spark, monkeypatch):
     rng = np.random.default_rng(5)
     center = int(rng.integers(0, 1 << 62))
     prints = {center}
@@ -132,8 +153,11 @@ def test_links_of_large_groups_are_split(spark):
         prints.add(x)
     prints |= {int(x) for x in rng.integers(0, 1 << 62, 300)}
     rows = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(sorted(prints))]
-    distinct = spark.createDataFrame(rows, "fp long, rep long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(distinct, tile_rows=32)).collect()}
+    distinct = spark.createDataFrame(rows, "fp long, rep long").withColumn("coords", simhash.coordinates(F.col("fp")))
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 20)
+    found = [{r.node: r.root for r in simhash.components(simhash.links(distinct, tile_rows=32, agree=k)).collect()} for k in (None, 3, 4)]
+    roots = found[0]
+    assert found[1] == found[2] == roots
     want = {k: k for _, k in rows}
     values = np.array([x for x, _ in rows], np.int64).view(np.uint64)
     for _ in range(8):
@@ -143,6 +167,34 @@ def test_links_of_large_groups_are_split(spark):
     assert all(roots.get(k, k) == want[k] for k in want)
 
 
+def test_segments_follow_the_count():
+    assert simhash.agreeing(10**6) == 2 and simhash.agreeing(10**9) == 3 and simhash.agreeing(10**11) == 4
+    rng = np.random.default_rng(6)
+    for agree in (2, 3, 4):
+        masks = simhash.segment_masks(4, agree)
+        for _ in range(200):
+            flipped = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not flipped & m for m in masks)
+
+
+def test_coordinates_are_computed_once_and_discard_pairs(spark):
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 1 << 63, 300)
+    got = spark.createDataFrame([(int(x),) for x in prints], "fp long").select("fp", simhash.coordinates(F.col("fp")).alias("c")).collect()
+    for r in got:
+        assert [(r.fp ^ p).bit_count() for p in simhash.pivots().tolist()] == [int(x) for x in np.array([r.c]).view(np.int8)]
+    seen = {}
+    simhash.near_pairs(np.zeros(300, np.int64), np.array([r.fp for r in got]).view(np.uint64), np.array([r.c for r in got]), seen=seen)
+    assert seen["met"] == 300 * 299 // 2 and seen["compared"] < seen["met"] / 20
+
+
+def test_a_hot_fingerprint_keeps_all_its_rows(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 5)
+    rows = [(k, "" if k % 3 else f"text number {k} of its own words") for k in range(100)] + [(None, "")] * 3
+    got = simhash.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == 103 and all(r.component_id == 1 for r in got if r.doc_id is None or r.doc_id % 3)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -199,18 +251,39 @@ def test_line_dedup_agrees_with_sql(spark):
 def test_line_dedup_on_odd_rows(spark):
     passage = "\n".join(f"shared line {k} of a passage" for k in range(12))
     rows = [*[x for x in ODD if x[0] not in (6, 7)], (20, "own start\n" + passage + "\nown end"), (21, "another start here\nand more\n" + passage), (22, "x y\nz"), (6, LONG), (7, LONG)]
-    found = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
-    assert len(found) == len({i for i, _ in rows}) and line_dedup.dedup(docs(spark, rows)).columns == docs(spark).columns
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows), passage_words=50).collect()}
+    assert len(found) == len({i for i, _ in rows}) and line_dedup.dedup(docs(spark, rows), passage_words=50).columns == docs(spark).columns
     assert found[20] == dict(rows)[20] and found[22] == "x y\nz" and found[2] is None and found[6] == LONG and found[7] == ""
     assert found[21].startswith("another start here") and len(found[21].split("\n")) < 8
     assert line_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_chunks_alone_leave_single_lines(spark):
+    rows = [(1, "a line\n" + LONG), (2, LONG), (3, LONG)]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()} == dict(rows)
+    assert [r.text for r in line_dedup.dedup(docs(spark, rows), passage_words=50).orderBy("doc_id").collect()] == [rows[0][1], "", ""]
+
+
+def test_hot_chunks_are_split(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 5)
+    passage = "\n".join(f"shared line {k} of a passage" for k in range(12))
+    rows = [(k, f"{passage}\nown line {k}" if k % 3 else f"other {k}\n\nend {k}") for k in range(90)]
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows), passage_words=50).collect()}
+    assert found == {k: t if k < 2 or k % 3 == 0 else f"own line {k}" for k, t in rows}
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and "array_join" in str(c[0]) else F.hash(*c).cast("long"))
+    rows = [(k, "\n".join(f"text {k % 4} line {j} of it" for j in range(9))) for k in range(12)]
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert all(found[k] == rows[k][1] for k in range(4)) and all(len(found[k]) < len(rows[k][1]) for k in range(4, 12))
+
+
 def test_rows_with_one_id_or_none_keep_their_own_lines(spark):
     passage = "\n".join(f"shared line {k} of a passage" for k in range(12))
     own = ["\n".join(f"own line {k} of text {n}" for k in range(30)) for n in range(4)]
     rows = [(1, passage), (None, f"{own[0]}\n{passage}"), (None, own[1]), (None, "short\nrow"), (30, f"{own[2]}\n{passage}"), (30, own[3]), (30, own[3])]
-    found = [(r.doc_id, r.text) for r in line_dedup.dedup(docs(spark, rows)).collect()]
+    found = [(r.doc_id, r.text) for r in line_dedup.dedup(docs(spark, rows), passage_words=50).collect()]
     assert len(found) == len(rows)
     for row in (rows[2], rows[3], rows[5]):
         assert found.count(row) == rows.count(row)
@@ -233,14 +306,14 @@ def test_passages_of_few_lines_go_whole(spark):
             at = rng.randint(0, len(own))
             rows.append((i, "\n".join(own[:at] + ([""] if k % 5 == 0 else []) + passage + own[at:])))
             want[i] = "\n".join(own if i % 2 else rows[-1][1].split("\n")).replace("\n\n", "\n").strip("\n")
-    found = {r.doc_id: r.text.replace("\n\n", "\n").strip("\n") for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    found = {r.doc_id: r.text.replace("\n\n", "\n").strip("\n") for r in line_dedup.dedup(docs(spark, rows), passage_words=50).collect()}
     assert found == want
 
 
 def test_a_line_repeated_in_a_row_keeps_its_first_run(spark):
     row = " ".join(["word"] * 26)
     text = "\n".join(["first line", *[row] * 7, "last line"])
-    found = line_dedup.dedup(docs(spark, [(1, text)])).first().text.split("\n")
+    found = line_dedup.dedup(docs(spark, [(1, text)]), passage_words=50).first().text.split("\n")
     assert found[0] == "first line" and found[-1] == "last line" and 2 <= found.count(row) <= 4
 
 
@@ -267,6 +340,52 @@ def test_mixing(spark):
     assert mixing.mix(table.limit(0)).count() == 0
 
 
+def test_mixing_by_brute_force(spark):
+    """The plan and every shown row replayed one document at a time; Spark gives the hashes alone."""
+    import math
+    from collections import defaultdict
+
+    names = {"s0": 40, "s1": 90, "hot": 400, "big": 200}
+    rows = [(k, "w " * (1 + k * 7 % 30), name) for name, n in names.items() for k in range(1000 * len(name), 1000 * len(name) + n)] + [(9, "w " * 50_000, "long"), (8, "", "hot")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for repetition, budget in ((2.0, None), (1.3, 20_000)):
+        seed, blocks = mixing.SEED, mixing.BLOCKS
+        made = table.select(
+            "doc_id", "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("place"),
+        ).withColumn("turn", F.xxhash64("block", "source", F.lit(seed + 1))).collect()
+        size = {(i, s): len(t.split()) for i, t, s in rows}
+        total = defaultdict(int)
+        for (_, s), n in size.items():
+            total[s] += n
+        share = {s: n / sum(total.values()) for s, n in total.items()}
+        spread = math.log(max(share.values()) / min(share.values()))
+        power = max(0.0, 1 - math.log(repetition) / spread)
+        raw = {s: x**power for s, x in share.items()}
+        least = min(raw[s] / total[s] for s in raw)
+        target = {s: raw[s] / least if budget is None else budget * raw[s] / sum(raw.values()) for s in raw}
+        found = mixing.mix(table, repetition=repetition, budget=budget)
+        plan = {s: n for s, n in target.items()}
+        shown = defaultdict(int)
+        for r in found.collect():
+            shown[r.doc_id, r.source] += 1
+        for s in total:
+            spent = sum(size[k] * n for k, n in shown.items() if k[1] == s)
+            most = max(n for k, n in size.items() if k[1] == s)
+            assert plan[s] * 0.999 - 2 <= spent <= plan[s] * 1.001 + most, (s, spent, plan[s])
+            whole = int((spent - most) // total[s]) if spent > most else 0
+            order = sorted((r for r in made if r.source == s), key=lambda r: (r.turn, r.block, r.place, r.doc_id))
+            times = [shown[r.doc_id, s] for r in order]
+            assert max(times) - min(times) <= 1 and min(times) >= whole and times == sorted(times, reverse=True), s  # a prefix of the permuted blocks once more
+    assert sum(shown.values()) > 0
+
+
+def test_columns_of_the_mix_may_clash(spark):
+    table = spark.createDataFrame([(k, "a b", f"s{k % 2}", 1, 2, 3, 4, 5) for k in range(20)], "doc_id long, text string, source string, times int, row int, mix_id int, tokens int, block int")
+    made = mixing.mixed_documents(table)
+    assert made.columns == table.columns and {tuple(r)[3:] for r in made.collect()} == {(1, 2, 3, 4, 5)} and made.select("doc_id").distinct().count() == 20
+    assert mixing.mix(table).count() == made.count()
+
+
 def test_tokens(spark):
     texts = ["", None, " a\tb\x0bc ", "é x y", "a\n\nb"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.tokens(F.col("text")).alias("n")).collect()
@@ -276,44 +395,60 @@ def test_tokens(spark):
 # language-model scores
 
 
-def test_lm_scores(spark):
+def brute_losses(rows, targets, backoff=1.0):
+    """(id, tokens, target loss, background loss) of each row, one token at a time."""
     import math
     from collections import Counter
 
-    rows = [(i, t) for i, t in ODD if i not in (6, 7)]
-    target = spark.createDataFrame([(1, 1), (8, 1), (None, 1)], "doc_id long, x int")
-    got = lm_scoring.score_documents(docs(spark, rows), target).collect()
-    sliced = lm_scoring.score_documents(docs(spark, rows), target, slice_rows=20).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id, r.tokens)
-    assert np.allclose([r.score for r in sorted(got, key=key)], [r.score for r in sorted(sliced, key=key)], atol=1e-9)
-    counts = {m: [Counter() for _ in range(5)] for m in "tb"}
-    texts = [(i, b"\0\0\0" + (t or "").encode()) for i, t in rows]
-    for i, x in texts:
-        for m in "tb" if i in (1, 8) else "b":
-            for e in range(3, len(x)):
-                for n in range(1, 5):
-                    counts[m][n][x[e - n + 1 : e + 1]] += 1
-    context = {m: [Counter() for _ in range(5)] for m in "tb"}
-    for m in "tb":
-        for n in range(2, 5):
-            for g, v in counts[m][n].items():
-                context[m][n][g[:-1]] += v
-
-    def loss(m, gram):
-        p = (counts[m][1][gram[-1:]] + 1) / (sum(counts[m][1].values()) + 256)
-        for n in range(2, 5):
-            p = (counts[m][n][gram[-n:]] + 4 * p) / (context[m][n][gram[-n:-1]] + 4)
-        return -math.log(p)
-
-    want = []
-    for i, x in texts:
-        n = len(x) - 3
-        want.append((i, n, sum(loss("t", x[e - 3 : e + 1]) - loss("b", x[e - 3 : e + 1]) for e in range(3, len(x))) / n if n else 0.0))
-    want.sort(key=lambda w: (w[0] is None, w[0] or 0, w[1]))
-    got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tokens))
-    assert [(r.doc_id, r.tokens) for r in got] == [w[:2] for w in want]
-    assert np.allclose([r.score for r in got], [w[2] for w in want], atol=1e-5)
-    assert lm_scoring.score_documents(docs(spark, []), target).count() == 0
+    texts = [(i, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for i, t in rows]
+    texts = [(i, w if len(w) > 2 else []) for i, w in texts]
+    grams = [(Counter(w[1:]), Counter(w[:-1]), Counter(zip(w, w[1:]))) for _, w in texts]
+    total = {m: [Counter() for _ in range(3)] for m in "tb"}
+    for (i, _), own in zip(texts, grams):
+        for m in "tb" if i in targets else "b":
+            for k in range(3):
+                total[m][k].update(own[k])
+    out = []
+    for (i, words), own in zip(texts, grams):
+        loss = []
+        for m in "tb":
+            less = own if m == "b" or i in targets else [Counter()] * 3
+            n = sum(total[m][0].values()) - sum(less[0].values())
+            total_loss = 0.0
+            for u, w in zip(words, words[1:]):
+                p = (total[m][0][w] - less[0][w] + 2.0**-20) / (n + 1)
+                p = (total[m][2][u, w] - less[2][u, w] + backoff * p) / (total[m][1][u] - less[1][u] + backoff)
+                total_loss -= math.log(p)
+            loss.append(total_loss / max(len(words) - 1, 1))
+        out.append((i, max(len(words) - 1, 0), *loss))
+    return out
+
+
+def test_lm_scores(spark):
+    rng = np.random.default_rng(4)
+    rows = ODD + [(100 + k, " ".join(f"v{x}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 500)) for k in range(60)]
+    rows += [(300, rows[-1][1]), (301, rows[-2][1])]
+    targets = {1, 8, 6, *range(100, 140)}
+    ids = spark.createDataFrame([(i, 1) for i in sorted(targets)] + [(None, 1), (1, 2)], "doc_id long, x int")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(brute_losses(rows, targets), key=key)
+    got = sorted((tuple(r) for r in lm_scoring.score_documents(docs(spark, rows), ids).collect()), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:4] for g in got], [w[2:4] for w in want], atol=1e-9) and np.allclose([g[4] for g in got], [w[2] - w[3] for w in want], atol=1e-9)
+    many = docs(spark, rows).repartition(7)  # more blocks, more parts, targets met by a join
+    again = sorted((tuple(r) for r in lm_scoring.score_documents(many, ids, part_grams=50, broadcast_ids=0).collect()), key=key)
+    assert np.allclose(np.array([g[1:] for g in again], float), np.array([g[1:] for g in got], float), atol=1e-9)
+    assert lm_scoring.score_documents(docs(spark, []), ids).count() == 0
+    assert {r.target_loss > 0 for r in lm_scoring.score_documents(docs(spark, rows), ids.limit(0)).where("tokens > 0").collect()} == {True}
+
+
+def test_what_is_counted_grows_with_the_text(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        blocks = lm_scoring._blocks(table.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(False).alias("target")))
+        sizes.append(blocks.agg(F.sum("grams1"), F.sum("tokens")).first())
+    assert sizes[1][0] / sizes[0][0] > 0.6 * sizes[1][1] / sizes[0][1]
 
 
 # sharding
@@ -347,6 +482,54 @@ def test_shards_are_even_and_maps_change_little(spark):
     assert sum(r.slot_bytes for r in moved) <= 0.2 * sum(held.values()) and max(held.values()) <= 1.3 * sum(held.values()) / 9
 
 
+def test_sharding_by_brute_force(spark):
+    """The first map and every place replayed row by row; Spark gives the hash alone."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    made = sharding.measured(table).collect()
+    weight = {}
+    for r in made:
+        weight[r.vslot] = weight.get(r.vslot, 0) + r.size
+    held, place = [0] * 8, {}
+    for slot in sorted(weight, key=lambda v: (-weight[v], v)):
+        k = min(range(8), key=lambda i: (held[i], i))
+        held[k] += weight[slot]
+        place[slot] = k
+    want, filled = {}, [0] * 8
+    for r in sorted(made, key=lambda r: (r.vslot, r.doc_id, r.text_crc32, r.size)):
+        k = place[r.vslot]
+        want[r.doc_id] = (r.size, r.text_crc32, "bytes", k, filled[k], None)
+        filled[k] += 1
+    got = {r.doc_id: (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in sharding.shard_documents(table)[0].collect()}
+    assert got == want
+    texts = {r.doc_id: r.text.encode() for r in table.collect()}
+    assert all(got[i][:2] == (len(t) + 1, zlib.crc32(t)) for i, t in texts.items())
+
+
+def test_maps_are_stored_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/maps"
+    assert sharding.load_map(spark, path) is None
+    rows, first = sharding.shard_documents(sf_docs(spark), map_path=path)
+    was = {r.doc_id: r.shard for r in rows.collect()}
+    same, again = sharding.shard_documents(sf_docs(spark), map_path=path)  # the newest map is used as it is
+    assert {r.doc_id: (r.shard, r.map_version) for r in same.collect()} == {i: (k, 1) for i, k in was.items()}
+    moved, second = sharding.rebalance_documents(sf_docs(spark), path, 9)
+    now = {r.doc_id: (r.shard, r.map_version) for r in moved.collect()}
+    assert {v for _, v in now.values()} == {2} and {k for k, _ in now.values()} == set(range(9))
+    assert sum(k != was[i] for i, (k, _) in now.items()) <= 0.25 * len(now)
+    assert sharding.load_map(spark, path).where("version = 2").count() == second.count() and sharding.load_map(spark, path, 1).count() == first.count()
+    grown = sf_docs(spark).unionByName(sf_docs(spark).withColumn("doc_id", F.col("doc_id") + 10**9))
+    out, _ = sharding.shard_documents(grown, 9, map_path=path)  # slots never seen get places in the next version
+    assert out.count() == 2 * len(was) and {r.doc_id: r.shard for r in out.where(f"doc_id < {10**9}").collect()} == {i: k for i, (k, _) in now.items()}
+
+
+def test_rows_without_ids_spread_over_slots(spark):
+    out, _ = sharding.shard_documents(docs(spark, [(None, "same")] * 400))
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(by) == 8 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 # chat
 
 
@@ -370,6 +553,26 @@ def test_calls_of_every_kind(spark):
     assert got[(2, 1)].problems == ["chars is not integer", "prompt is not string", "unknown z"] and got[(1, 7)].problems == ["unknown tool"] and got[(1, 8)].problems[0] == "missing chars"
 
 
+def test_arguments_that_do_not_parse_are_kept(spark):
+    import json
+
+    odd = ["not json", '{"a":1,"a":2}', '{"prompt":', "\u0001 \"x\" \\", ""]
+    calls = [(1, k, f"c{k}", "reply", x) for k, x in enumerate(odd)] + [(1, 90, "n", "reply", None), (1, 91, "g", "reply", '{"b":2,"a":"' + "long " * 30_000 + '"}')]
+    got = {r.call_id: json.loads(r.json)["arguments"] for r in chat.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string"), spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")).collect()}
+    assert [got[f"c{k}"] for k in range(len(odd))] == odd and got["n"] is None and got["g"] == {"a": "long " * 30_000, "b": 2}
+
+
+def test_many_rows_without_identifiers_and_copies(spark):
+    calls = [(None if k % 2 else 1, k % 3, None, "reply", "{}") for k in range(60)] + [(2, 1, "a", "reply", "{}")] * 30 + [(2, 0, "a", "reply", "{}")]
+    results = [(None, 0, "a", "x")] * 20 + [(2, 5, "a", "y")] * 20
+    got = chat.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")).collect()
+    count = {}
+    for r in got:
+        count[r.kind, r.status] = count.get((r.kind, r.status), 0) + 1
+    assert count == {("call", "pending"): 60, ("call", "linked"): 1, ("call", "duplicate"): 30, ("result", "orphan"): 20, ("result", "duplicate"): 19}
+    assert [r.turn for r in got if r.status == "linked"] == [0]
+
+
 def test_levels_are_longest_paths(spark):
     import json
     import random
