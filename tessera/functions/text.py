@@ -155,5 +155,9 @@ def register(spark: SparkSession) -> None:
         ("is_blank_text", "boolean", f"t is null or not t rlike '{quoted(NOT_SPACE)}'"),
         ("slug_text", "string", f"regexp_replace(regexp_replace(lower(regexp_replace(decomposed(t), '{quoted(MARKS)}', '')), '[^a-z0-9]+', '-'), '^-+|-+$', '')"),
     ]
+    areas = " ".join(f"when startswith(t, '{prefix}') then '{area}'" for prefix, area in AREAS)
+    made.append(("area_of_path", "string", f"case {areas} else '{OTHER_AREA}' end"))
     for name, kind, body in made:
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
+    spark.sql("create or replace temporary function milliseconds_text(v double) returns string return if(v >= 1000, format_string('%.2f s', v / 1000), concat(cast(floor(v + 0.5) as string), ' ms'))")
+    spark.sql("create or replace temporary function megabytes_text(v double) returns string return format_string('%.2f MB', v / (1024 * 1024))")

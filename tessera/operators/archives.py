@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,49 +23,60 @@ def entry_metrics(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("content").isNotNull()).select("name", F.octet_length("content").cast("long").alias("raw_bytes"), F.crc32("content").alias("crc"))
 
 
-def pack(entries: DataFrame, budget: int, keys: list[str] = ("build_id",), order: list[str] = ("seq",), size: str = "packed_bytes", rows_in_one_fold: int = 100_000) -> DataFrame:
+def next_fit(sizes: np.ndarray, budget: int, held: int, n: int) -> tuple[np.ndarray, int, int]:
+    """How many archives were closed before each entry, and what the open one then holds; one jump an archive."""
+    no = np.zeros(len(sizes), np.int64)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at, closed = 0, 0
+    while at < len(sizes):
+        # entries at .. end - 1 go into the open archive; an entry always fits an empty one
+        end = int(np.searchsorted(sums, sums[at] + budget - held, "right")) - 1
+        end = max(end, at + (n == 0))
+        end = min(end, len(sizes))
+        no[at:end] = closed
+        held, n = held + int(sums[end] - sums[at]), n + end - at
+        at = end
+        if at < len(sizes):
+            closed, held, n = closed + 1, 0, 0
+    return no, held, n
+
+
+def pack(entries: DataFrame, budget: int, keys: list[str] = ("build_id",), order: list[str] = ("seq",), size: str = "packed_bytes") -> DataFrame:
     """entries with ``archive_no`` (from 0): next-fit in the order given.
 
     An archive is closed when it holds an entry and the next would exceed the
-    budget; an entry over the budget stands alone.  Next-fit is a fold over the
-    order, so a build is folded whole: small builds natively, larger ones in
-    sorted runs that a Python function streams, never holding the build.
+    budget; an entry over the budget stands alone.  Each build is one sorted run
+    that is streamed in batches, so the pass is linear and no build is held whole.
+    Null keys are a build of their own; a null size counts as 0.
     """
     keys, order = list(keys), list(order)
-    sizes = entries.groupBy(*keys).agg(F.count("*").alias("n"))
-    small = entries.join(sizes.where(F.col("n") <= rows_in_one_fold).select(*keys), keys)
-    large = entries.join(sizes.where(F.col("n") > rows_in_one_fold).select(*keys), keys)
-    rest = [c for c in entries.columns if c not in keys]
-    gathered = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("e")))).alias("g"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        own = x["e"][size].cast("long")
-        closes = (a["n"] > 0) & (a["held"] + own > budget)
-        no = F.when(closes, a["no"] + 1).otherwise(a["no"])
-        return F.struct(no.alias("no"), F.when(closes, own).otherwise(a["held"] + own).alias("held"), F.when(closes, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(no)).alias("out"))
-
-    folded = gathered.withColumn("no", F.aggregate("g", start, step, lambda a: a["out"]))
-    native = folded.select(*keys, F.explode(F.arrays_zip("g", "no")).alias("z")).select(*keys, "z.g.e.*", F.col("z.no").alias("archive_no")).select(*entries.columns, "archive_no")
-
-    def stream(frames):
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, no, held, n = None, 0, 0, 0
         for pdf in frames:
-            out = []
-            for row in zip(*[pdf[k] for k in keys], pdf[size]):
-                key, own = row[:-1], int(row[-1])
-                if key != last:
-                    last, no, held, n = key, 0, 0, 0
-                if n and held + own > budget:
-                    no, held, n = no + 1, 0, 0
-                held, n = held + own, n + 1
-                out.append(no)
-            yield pdf.assign(archive_no=pd.Series(out, dtype="int32"))
+            if not len(pdf):
+                continue
+            sizes = pdf[size].fillna(0).to_numpy(np.int64)
+            change = np.zeros(len(pdf), bool)
+            for k in keys:
+                own, before = pdf[k], pdf[k].shift()
+                change |= ((own != before) & ~(own.isna() & before.isna())).to_numpy(bool)
+            first = [None if pd.isna(x) else x for x in pdf[keys].iloc[0]]
+            change[0] = first != last
+            out = np.zeros(len(pdf), np.int64)
+            starts = np.append(np.union1d(0, np.flatnonzero(change)), len(pdf))
+            for a, b in zip(starts, starts[1:]):
+                if change[a]:
+                    no, held, n = 0, 0, 0
+                own, held, n = next_fit(sizes[a:b], budget, held, n)
+                out[a:b] = no + own
+                no = int(out[b - 1])
+            last = [None if pd.isna(x) else x for x in pdf[keys].iloc[-1]]
+            yield pdf.assign(archive_no=out.astype(np.int32))
 
     kinds = dict(entries.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in entries.columns) + ", archive_no int"
-    streamed = large.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
-    return native.unionByName(streamed)
+    return entries.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
 
 def first_archives(packed: DataFrame, limit: int) -> DataFrame:
@@ -102,6 +116,11 @@ def pdf_names(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").rlike(r"(?i)\.pdf$"))
 
 
+def without_pdfs(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys none of whose files is a PDF: nothing could be delivered for them."""
+    return files.groupBy(*keys).agg(F.count_if(F.col("name").rlike(r"(?i)\.pdf$")).alias("pdfs")).where("pdfs = 0").select(*keys)
+
+
 def delivery_differences(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Names that are missing, unexpected or of other bytes; both sides have name, bytes and digest."""
     both = expected.select("name", F.col("bytes").alias("e_bytes"), F.col("digest").alias("e_digest"), F.lit(True).alias("e")).join(got.select("name", F.col("bytes").alias("g_bytes"), F.col("digest").alias("g_digest"), F.lit(True).alias("g")), "name", "full")

@@ -45,9 +45,9 @@ def not_a4(width: Column, height: Column) -> Column:
 
 
 def leaves_page(run: Column | None = None) -> Column:
-    """An unrotated run with text that reaches over an edge by more than the tolerance."""
+    """An unrotated run, blank ones too, that reaches over an edge by more than the tolerance; empty runs draw nothing."""
     c = F.col
-    unrotated = (F.abs(c("b")) < 0.001) & (F.abs(c("c")) < 0.001) & (F.length(F.trim("str")) > 0)
+    unrotated = (F.abs(c("b")) < 0.001) & (F.abs(c("c")) < 0.001) & (F.length("str") > 0)
     return unrotated & ((c("x") < -TOLERANCE) | (c("x") + c("w") > c("width") + TOLERANCE) | (c("y") < -TOLERANCE) | (c("y") + c("h") > c("height") + TOLERANCE))
 
 
@@ -120,25 +120,37 @@ def step_order(docs: DataFrame, texts: DataFrame, steps: list[int] | None = None
     return both.where(F.col("seen") != F.col("wanted"))
 
 
-def leaks(texts: DataFrame, passages: DataFrame, text: str, passage: str) -> DataFrame:
-    """Pairs of a text and a passage that it contains, for any number of passages.
+#: Words of a run by which a passage is looked for; characters, for passages of one or two words.
+RUN_WORDS, RUN_CHARS = 4, 8
 
-    Candidates meet by the passage's first words, an equi join on hashes of runs of
-    that many words, and are then held to ``contains``.  Passages of fewer words
-    have no such run: they are compared directly, broadcast if they are few.
+
+def leaks(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+    """(key, passage_key) of each text and passage that it contains, for any number of passages.
+
+    The words inside a passage (its first and last may be cut by what stands around
+    it) or, of one or two words, its first characters are hashed, as are all runs of
+    as many words or characters of the texts.  Only ids and hashes are spread and
+    joined; the texts of what met are fetched and held to ``contains``.  Null and
+    empty passages are in no text.
     """
-    width = 4
     words = lambda c: F.split(c, r"\s+")
-    long_ones = passages.where(F.size(words(F.col(passage))) > width + 1)
-    # the first word may be cut by what stands before it, so the run starts at the second
-    run = F.array_join(F.slice(words(F.col(passage)), 2, width), " ")
-    asked = long_ones.withColumn("run", F.xxhash64(run))
-    spread = texts.withColumn("w", words(F.col(text)))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("w", k, width), " "))))
-    met = spread.withColumn("run", F.explode(runs)).drop("w").join(asked, "run").where(F.contains(F.col(text), F.col(passage))).drop("run")
-    short = passages.where(F.size(words(F.col(passage))) <= width + 1)
-    few = len(short.take(1001)) <= 1000
-    return met.unionByName(texts.join(F.broadcast(short) if few else short, F.contains(F.col(text), F.col(passage))))
+    asked = passages.where(F.length(passage) > 0).select(F.col(passage_key).alias("_p"), F.col(passage).alias("_passage")).withColumn("_words", words(F.col("_passage")))
+    whole = F.size("_words") >= 3
+    width = F.when(whole, F.least(F.size("_words") - 2, F.lit(RUN_WORDS))).otherwise(-F.least(F.length("_passage"), F.lit(RUN_CHARS)))
+    run = F.when(whole, F.array_join(F.slice("_words", F.lit(2), F.greatest(width, F.lit(1))), " ")).otherwise(F.substring("_passage", F.lit(1), -width))
+    asked = asked.select("_p", "_passage", width.alias("_width"), F.xxhash64(run, width).alias("_run"))
+    widths = sorted(r[0] for r in asked.select("_width").distinct().collect())  # at most RUN_WORDS + RUN_CHARS
+    own = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_t"), F.col(text).alias("_text")).select("*", words(F.col("_text")).alias("_words"))
+
+    def runs(w: int) -> Column:
+        if w > 0:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - w + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("_words", k, w), " "), F.lit(w)))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") + w + 1, F.lit(1))), lambda k: F.xxhash64(F.substring("_text", k, F.lit(-w)), F.lit(w)))
+
+    spread = own.select("_t", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[runs(w) for w in widths]))).alias("_run"))
+    met = spread.join(asked.select("_run", "_p").distinct(), "_run").select("_t", "_p").distinct()
+    found = met.join(asked.select("_p", "_passage"), "_p").join(own.select("_t", "_text"), "_t").where(F.contains("_text", "_passage"))
+    return found.select(F.col("_t").alias(key), F.col("_p").alias(passage_key)).distinct()
 
 
 def leaked_marks(docs: DataFrame, texts: DataFrame, marks: list[str] = TEACHER_MARKS) -> DataFrame:
@@ -159,6 +171,15 @@ def unexpected_page_counts(pages: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(have, "doc_id", "full").where(~F.col("pages").eqNullSafe(F.col("found")))
 
 
+def audit_report(docs: DataFrame, pages: DataFrame, violations: DataFrame) -> DataFrame:
+    """doc_id, pages, passed and violations of each document: one row each, those without findings too."""
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    bad = violations.groupBy(F.col("subject").alias("doc_id")).agg(F.count("*").alias("violations"))
+    out = docs.select("doc_id").join(counts, "doc_id", "left").join(bad, docs["doc_id"].cast("string") == bad["doc_id"], "left").drop(bad["doc_id"])
+    n = F.coalesce("violations", F.lit(0))
+    return out.select("doc_id", F.coalesce("pages", F.lit(0)).alias("pages"), (n == 0).alias("passed"), n.alias("violations"))
+
+
 def audit(docs: DataFrame, pages: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     """All violations of documents' pages, ranked as they are met page by page."""
     texts = page_texts(pages, runs).withColumn("pages", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("foot", footer_numbers(F.col("text")))

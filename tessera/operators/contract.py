@@ -115,14 +115,14 @@ def response_space(df: DataFrame, label: Column, lines: Column, pages: Column) -
     mode, label = F.col("s_mode"), F.nullif(name, F.lit(""))
     both = "Custom lines / Total response pages"
     rules = [
-        (label.isNull() & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("must be set before entering Custom lines or Total response pages.")),
-        (label.isNotNull() & mode.isNull(), 8, "Response space", F.lit("must use one of the template dropdown choices.")),
-        ((mode == "custom-lines") & lines.isNull(), 9, "Custom lines", F.lit("is required for Custom lines.")),
-        ((mode == "custom-lines") & pages.isNotNull(), 10, "Total response pages", F.lit("must be blank for Custom lines.")),
-        ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, "Total response pages", F.lit("must be a whole number of at least 2 for Multiple pages.")),
-        ((mode == "multiple-pages") & lines.isNotNull(), 9, "Custom lines", F.lit("must be blank for Multiple pages.")),
-        (~mode.isin("custom-lines", "multiple-pages") & lines.isNotNull(), 9, both, F.concat(F.lit("must be blank for "), name, F.lit("."))),
-        (~mode.isin("custom-lines", "multiple-pages") & pages.isNotNull(), 10, both, F.concat(F.lit("must be blank for "), name, F.lit("."))),
+        (label.isNull() & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("is blank although lines or pages are given.")),
+        (label.isNotNull() & mode.isNull(), 8, "Response space", F.lit("is none of the known choices.")),
+        ((mode == "custom-lines") & lines.isNull(), 9, "Custom lines", F.lit("is missing: this choice needs a number of lines.")),
+        ((mode == "custom-lines") & pages.isNotNull(), 10, "Total response pages", F.lit("does not go with a number of lines.")),
+        ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, "Total response pages", F.lit("is too small: several pages are two or more.")),
+        ((mode == "multiple-pages") & lines.isNotNull(), 9, "Custom lines", F.lit("does not go with a number of pages.")),
+        (~mode.isin("custom-lines", "multiple-pages") & lines.isNotNull(), 9, both, F.concat(F.lit("does not go with the choice "), name, F.lit("."))),
+        (~mode.isin("custom-lines", "multiple-pages") & pages.isNotNull(), 10, both, F.concat(F.lit("does not go with the choice "), name, F.lit("."))),
     ]
     found = F.lit(None).cast("struct<col:int,name:string,problem:string>")
     for when, k, cell, text in reversed(rules):
@@ -246,16 +246,17 @@ def file_list_problem(files: Column, pattern: str = r"^lessons/[a-z0-9][a-z0-9._
     )
 
 
-def parse(cells: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def parse(cells: DataFrame, contract: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Typed rows of all six tabs, and all violations of the contract.
 
     The first violation of a workbook (by rank) is what a reader who stops at the
     first problem reports: tabs and headers, the one metadata row, the lessons,
-    then each item tab with its rows, and its coverage of the lessons.
+    then each item tab with its rows, and its coverage of the lessons.  ``contract``
+    replaces the table of tabs and headers.  The checks share one exchange of the
+    cells, which Spark reuses within a query.
     """
-    spark = cells.sparkSession
-    contract = contract_table(spark)
-    rows = data_rows(cells).persist()  # read by every check; lost parts are computed again
+    contract = contract_table(cells.sparkSession) if contract is None else contract
+    rows = data_rows(cells)
     typed, bad = {}, [missing_tabs(cells, contract), wrong_headers(cells, contract)]
     for tab in TABS:
         typed[tab], problems = typed_rows(rows, tab)

@@ -28,12 +28,18 @@ def rooted(images: Column, folder: str = "public/notices/") -> Column:
 def numbered(notices: DataFrame, board: str, posted: str, ident: str, page_size: int = PAGE_SIZE) -> DataFrame:
     """Newest first within each board: position (from 1), reverse number, page and pages.
 
-    The board is the partition: rows are never brought together over all boards.
+    Only the days' counts are ordered over a whole board; notices are ordered within
+    their day, so a large board is never in one task.
     """
-    own = Window.partitionBy(board)
-    place = F.row_number().over(own.orderBy(F.col(posted).desc(), ident))
-    n = F.count("*").over(own)
-    return notices.withColumns({"position": place, "total": n}).withColumns({
+    day = F.col(posted).cast("date")
+    days = notices.groupBy(F.col(board).alias("_board"), day.alias("_day")).agg(F.count("*").alias("_n"))
+    later = Window.partitionBy("_board").orderBy(F.col("_day").desc())
+    days = days.withColumns({"_before": F.sum("_n").over(later) - F.col("_n"), "total": F.sum("_n").over(Window.partitionBy("_board"))})
+    inside = Window.partitionBy(board, "_posted_day").orderBy(F.col(posted).desc(), ident)
+    dated = notices.withColumn("_posted_day", day)
+    ranked = dated.join(days, F.col(board).eqNullSafe(F.col("_board")) & F.col("_posted_day").eqNullSafe(F.col("_day")))
+    ranked = ranked.withColumn("position", (F.col("_before") + F.row_number().over(inside)).cast("int")).drop("_board", "_day", "_n", "_before", "_posted_day")
+    return ranked.withColumns({
         "number": F.col("total") - F.col("position") + 1,
         "page": (F.floor((F.col("position") - 1) / page_size) + 1).cast("int"),
         "pages": F.ceil(F.col("total") / page_size).cast("int"),
@@ -57,7 +63,7 @@ def image_alts(title: Column, images: Column) -> Column:
     return F.transform(images, lambda x, k: F.concat(title, F.lit(f" {IMAGE_WORDS} "), (k + 1).cast("string")))
 
 
-def detail(notices: DataFrame, ident: str, key: str = "id") -> DataFrame:
+def detail(notices: DataFrame, ident: str | Column, key: str = "id") -> DataFrame:
     """One notice with its lead image, null if it has none."""
     return notices.where(F.col(key) == ident).withColumn("lead_image", F.try_element_at("images", F.lit(1)))
 

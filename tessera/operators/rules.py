@@ -36,6 +36,15 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, field string, check string, bound int")
 
 
+def limits_of(table: DataFrame) -> dict[str, dict[str, tuple[int, bool]]]:
+    """The limits that a rule table states, by kind and field; the table has a few rows a field."""
+    out: dict[str, dict[str, tuple[int, bool]]] = {}
+    for r in table.orderBy("kind", "field", "check").collect():
+        most, needed = out.setdefault(r.kind, {}).get(r.field, (None, False))
+        out[r.kind][r.field] = (r.bound, needed) if r.check == "max_length" else (most, needed or r.check == "required")
+    return out
+
+
 def length_problems(fields: dict[str, tuple[int, bool]]) -> Column:
     """Array of (field, problem): required, blank and over-long texts, all of them."""
     one = []
@@ -44,7 +53,7 @@ def length_problems(fields: dict[str, tuple[int, bool]]) -> Column:
         checks = [
             F.when(text.isNull(), "must have required property") if needed else F.lit(None).cast("string"),
             F.when(text.isNotNull() & is_blank(text), "must contain a character that is not blank"),
-            F.when(F.length(text) > most, F.lit(f"must NOT have more than {most} characters")),
+            F.when(F.length(text) > most, F.lit(f"must NOT have more than {most} characters")) if most is not None else F.lit(None).cast("string"),
         ]
         one += [F.struct(F.lit(field).alias("field"), c.alias("problem")) for c in checks]
     return F.filter(F.array(*one), lambda x: x["problem"].isNotNull())
@@ -74,9 +83,10 @@ def unknown_properties(doc: Column, allowed: list[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
 
 
-def schema_violations(df: DataFrame, kind: str, subject: str, prefix: Column, rank: list[Column]) -> DataFrame:
-    """All length and shape problems of rows of one kind, as violations."""
-    problems = length_problems({k: v for k, v in LENGTHS[kind].items() if k in df.columns})
+def schema_violations(df: DataFrame, kind: str, subject: str, prefix: Column, rank: list[Column], table: DataFrame | None = None) -> DataFrame:
+    """All length and shape problems of rows of one kind, as violations; ``table`` replaces ``rule_table``."""
+    limits = LENGTHS if table is None else limits_of(table)
+    problems = length_problems({k: v for k, v in limits.get(kind, {}).items() if k in df.columns})
     if "guidance" in df.columns and kind == "question":
         problems = F.concat(problems, F.filter(F.array(F.struct(F.lit("guidance").alias("field"), guidance_problem(F.col("guidance")).alias("problem"))), lambda x: x["problem"].isNotNull()))
     if "response_space" in df.columns and kind == "question":
@@ -129,7 +139,7 @@ def vocabulary_units(term: Column, *rest: Column) -> Column:
 
 
 def budget_message(path: Column, actual: Column, most: Column) -> Column:
-    return F.concat(path, F.lit(": estimated layout size "), actual.cast("string"), F.lit(" exceeds "), most.cast("string"))
+    return F.concat(path, F.lit(": takes "), actual.cast("string"), F.lit(" layout units of "), most.cast("string"), F.lit("; shorten it or split it in two"))
 
 
 def over_budget(df: DataFrame, subject: str, rule: str, actual: Column, most: Column, path: Column, rank: list[Column]) -> DataFrame:
@@ -148,11 +158,32 @@ def unbroken(df: DataFrame, subject: str, leaves: dict[str, Column], rank: list[
     return found(spread, F.col(subject), F.lit(True), [*rank, F.col("nth")], "unbroken_text", F.col("leaf.path"), message)
 
 
+def unbroken_leaves(docs: DataFrame, subject: str, doc: str, rank: list[Column], most: int = TOKEN_LENGTH, depth: int = 6) -> DataFrame:
+    """Violations: every text of a VARIANT document, however deep and in arrays too, with such a run.
+
+    Paths name fields and places from 0, as in ``/guidance/2``.  One level is
+    opened at a time, ``depth`` levels deep; only objects and arrays go on.
+    """
+    spark = docs.sparkSession
+    level = docs.select(F.col(subject).alias("_subject"), F.lit("").alias("_path"), F.col(doc).alias("_value"), F.array(*[x.cast("long") for x in rank]).alias("_rank"))
+    leaves = []
+    for _ in range(depth):
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()))
+        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+        level = opened.select("_subject", F.concat("_path", F.lit("/"), step).alias("_path"), F.col("value").alias("_value"), "_rank").withColumn("_kind", F.schema_of_variant("_value"))
+        leaves.append(level.where("_kind = 'STRING'").select("_subject", "_path", F.try_variant_get("_value", "$", "string").alias("_text"), "_rank"))
+        level = level.where(F.col("_kind").rlike("^(OBJECT|ARRAY)")).drop("_kind")
+    texts = together(*leaves).withColumn("_longest", longest_token(F.col("_text")))
+    message = F.format_string(f"%s: contains an unbroken text segment of %d characters; the maximum is {most}", "_path", "_longest")
+    ranks = [F.get("_rank", F.lit(k)) for k in range(len(rank))]
+    return found(texts, F.col("_subject"), F.col("_longest") > most, ranks, "unbroken_text", F.col("_path"), message)
+
+
 def missing_teacher_guidance(items: DataFrame, editions: list[str]) -> DataFrame:
     """Violations: questions without teacher guidance, if the teacher edition is asked for."""
     path = F.concat(F.lit("/sections/"), F.col("section"), F.lit("/"), F.col("idx").cast("string"), F.lit("/teacherGuidance"))
     where = F.col("section").isin(QUESTION_SECTIONS) & is_blank(F.col("teacher_guidance")) & F.lit("teacher" in editions)
-    return found(items, F.col("workbook_id"), where, [F.lit(8), F.col("lesson_number"), F.lit(5), F.col("idx")], "teacher_guidance", path, F.concat(path, F.lit(": add answer guidance or export student PDFs only.")))
+    return found(items, F.col("workbook_id"), where, [F.lit(8), F.col("lesson_number"), F.lit(5), F.col("idx")], "teacher_guidance", path, F.concat(path, F.lit(": has no guidance for teachers, whose edition was asked for")))
 
 
 def layout_violations(lessons: DataFrame, items: DataFrame, vocabulary: DataFrame) -> DataFrame:

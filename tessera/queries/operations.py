@@ -195,11 +195,11 @@ def n_local_dates(t):
 
 
 @query("""
-with u as (select source, doc_id, n_chars from documents where doc_id % 4 = 0)
+with u as (select source, doc_id, n_chars from documents)
 select source, count(*)::bigint as images, count(*) filter (where n_chars > 3000)::bigint as too_large, arg_min(doc_id, doc_id) filter (where n_chars > 3000) as first_large from u group by 1 having count(*) > 12 or count(*) filter (where n_chars > 3000) > 0
 """)
 def n_media_limits(t):
-    return notices.media_problems(t("documents").where("doc_id % 4 = 0"), ["source"], "doc_id", "n_chars", "doc_id", 12, 3000)
+    return notices.media_problems(t("documents"), ["source"], "doc_id", "n_chars", "doc_id", 12, 3000)
 
 
 @query("select page_id, case when starts_with(url, 'https://') then '/notices/' || substr(url, 9) else url end || '|' || 'Title ' || page_id || ' 안내 이미지 1' as image from pages")
@@ -209,20 +209,24 @@ def n_images(t):
     return rows.select("page_id", F.concat(one(notices.rooted(F.col("images"), "https://")), F.lit("|"), one(notices.image_alts(F.col("title"), F.col("images")))).alias("image"))
 
 
-_CHOSEN = "c as (select item_id, row_number() over (order by item_id) - 1 as position, text from benchmark where item_id % 3 = 0)"
+_CHOSEN = "c as (select item_id, item_id // 12 as essay, row_number() over (partition by item_id // 12 order by item_id) - 1 as position from benchmark)"
 
 
 @query(f"""
 with {_CHOSEN}, s as (select conv_id, turn, role, text, conv_id % 17 + turn as item from conversations)
 select s.conv_id, s.turn, case when c.position is not null then 'comment' when role = 'system' then 'italic' else 'text' end as kind,
-  case when c.position + 1 < 10 then '0' || (c.position + 1) else (c.position + 1)::varchar end as number, case when c.position is not null then string_split(s.text, ' ')[-1] end as tail
-from s left join c on c.item_id = s.item
+  case when c.position + 1 < 10 then '0' || (c.position + 1) else (c.position + 1)::varchar end as number, case when c.position is not null then string_split(s.text, ' ')[-1] end as tail, p.item_id as panel_comment
+from s left join c on c.item_id = s.item left join c p on p.item_id = s.item + 5 and p.essay = s.item // 12 and s.turn % 2 = 0
 """)
 def e_annotated(t):
-    rows = t("conversations").select(F.lit(1).alias("essay_id"), "conv_id", "turn", "text", (F.col("conv_id") % 17 + F.col("turn")).alias("comment_id"), F.lit(None).cast("long").alias("comment_after"), (F.col("role") == "system").alias("italic"))
+    """Essays of twelve comments each; every second segment is followed by a comment's panel."""
+    item = F.col("conv_id") % 17 + F.col("turn")
+    essay = lambda c: F.floor(c / 12)
+    rows = t("conversations").select(essay(item).alias("essay_id"), "conv_id", "turn", "text", item.alias("comment_id"), F.when(F.col("turn") % 2 == 0, item + 5).alias("comment_after"), (F.col("role") == "system").alias("italic"))
     comments = t("benchmark").select(F.col("item_id").alias("comment_id"), "text")
-    wanted = comments.where("comment_id % 3 = 0").select(F.lit(1).alias("essay_id"), "comment_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("comment_id")).alias("p")).select("essay_id", "comment_id", (F.col("p") - 1).alias("position"))
-    return essays.annotated(rows, essays.selected(wanted, comments)).select("conv_id", "turn", "kind", "number", "tail")
+    wanted = comments.select(essay(F.col("comment_id")).alias("essay_id"), "comment_id")
+    wanted = wanted.withColumn("position", F.row_number().over(Window.partitionBy("essay_id").orderBy("comment_id")) - 1)
+    return essays.annotated(rows, essays.selected(wanted, comments)).select("conv_id", "turn", "kind", "number", "tail", "panel_comment")
 
 
 @query("select conv_id, md5(string_agg(text, '' order by turn)) as text_md5 from conversations group by 1")

@@ -123,15 +123,16 @@ def n_valid(t):
 @query("select page_id, url, case when page_id % 2 = 0 then url end as lead_image from pages where url = (select min(url) from pages)")
 def n_detail(t):
     rows = t("pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.array("url")).otherwise(F.array().cast("array<string>")).alias("images"))
-    least = rows.agg(F.min("url")).first()[0]
-    return notices.detail(rows, least, "url").select("page_id", "url", "lead_image")
+    rows = rows.join(F.broadcast(rows.agg(F.min("url").alias("asked"))))  # one row
+    return notices.detail(rows, F.col("asked"), "url").select("page_id", "url", "lead_image")
 
 
-@query("with c as (select item_id, row_number() over (order by item_id desc) as n from benchmark where item_id % 2 = 0) select c.item_id as comment_id, case when n < 10 then '0' || n else n::varchar end as number, b.text from c join benchmark b using (item_id)")
+@query("with c as (select item_id, row_number() over (partition by item_id // 12 order by item_id desc) as n from benchmark) select c.item_id as comment_id, case when n < 10 then '0' || n else n::varchar end as number, b.text from c join benchmark b using (item_id)")
 def e_selected(t):
+    """Essays of twelve comments each, all chosen, last ones first."""
     comments = t("benchmark").select(F.col("item_id").alias("comment_id"), "text")
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("comment_id").desc()))
-    chosen = comments.where("comment_id % 2 = 0").select(F.lit(1).alias("essay_id"), "comment_id", (n - 1).alias("position"))
+    chosen = comments.select(F.floor(F.col("comment_id") / 12).alias("essay_id"), "comment_id")
+    chosen = chosen.withColumn("position", F.row_number().over(Window.partitionBy("essay_id").orderBy(F.col("comment_id").desc())) - 1)
     return essays.selected(chosen, comments).select("comment_id", "number", "text")
 
 

@@ -218,7 +218,7 @@ def q_section_sequence(t):
 
 @query("select d.doc_id, b.item_id from documents d, benchmark b where contains(d.text, b.text)")
 def q_leaks(t):
-    return audit.leaks(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("passage")), "text", "passage").select("doc_id", "item_id").distinct()
+    return audit.leaks(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("select vec_id, round(embedding[1]::double * 100 + 595.276, 6) as width, round(embedding[2]::double * 100 + 841.89, 6) as height from embeddings where abs(embedding[1]::double * 100) > 1 or abs(embedding[2]::double * 100) > 1")

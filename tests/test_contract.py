@@ -68,8 +68,8 @@ CASES = [
     (put("Comprehension", 5, 3, 1), '"Comprehension" row 6 repeats order 1 of Lesson 1 from row 5.'),
     (put("Analysis", 5, 7, ""), '"Analysis" row 5, Teacher guidance is required.'),
     (put("Analysis", 5, 4, {"date": "2024-01-01"}), '"Analysis" row 5, Question must contain text.'),
-    (put("Comprehension", 6, 9, ""), '"Comprehension" row 6, Custom lines is required for Custom lines.'),
-    (put("Comprehension", 5, 9, 3), '"Comprehension" row 5, Response space must be set before entering Custom lines or Total response pages.'),
+    (put("Comprehension", 6, 9, ""), '"Comprehension" row 6, Custom lines is missing: this choice needs a number of lines.'),
+    (put("Comprehension", 5, 9, 3), '"Comprehension" row 5, Response space is blank although lines or pages are given.'),
     (lambda g: g["Vocabulary"].pop(), 'Lesson 2 needs at least one row on "Vocabulary".'),
 ]
 

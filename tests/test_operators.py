@@ -101,11 +101,10 @@ def test_rasters(spark):
     assert [r.n for r in spark.createDataFrame([("p-10.png",), ("p-9.png",)], "n string").orderBy(parity.trailing_number(F.col("n"))).collect()] == ["p-9.png", "p-10.png"]
 
 
-@pytest.mark.parametrize("fold", [100_000, 1])
-def test_pack_examples(spark, fold):
+def test_pack_examples(spark):
     rows = [("a", k, f"f{k}.pdf", 40_000) for k in range(6)] + [("b", 0, "big.pdf", 250_000), ("b", 1, "small.pdf", 10), ("c", 0, "z.pdf", 0)]
     entries = spark.createDataFrame(rows, "build_id string, seq int, name string, packed_bytes long")
-    got = archives.pack(entries, 100_000, rows_in_one_fold=fold)
+    got = archives.pack(entries, 100_000)
     by = {(r.build_id, r.seq): r.archive_no for r in got.collect()}
     assert [by["a", k] for k in range(6)] == [0, 0, 1, 1, 2, 2] and (by["b", 0], by["b", 1]) == (0, 1)
     assert sorted(r.name for r in archives.first_archives(got.where("build_id = 'a'"), 1).collect()) == ["f0.pdf", "f1.pdf"]
