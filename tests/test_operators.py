@@ -163,3 +163,48 @@ def test_inventory(spark):
     assert [(r.path, r.size) for r in inventory.over_host_limit(files).collect()] == [("/vendor/x", "26.00 MiB")]
     assert [r.value for r in inventory.first_rule(files).orderBy(F.desc("bytes")).collect()] == ["public, max-age=31536000, immutable", "no-cache", "no-cache"]
     assert {(r.path, r.problem) for r in inventory.list_differences(files.limit(0), files.limit(0)).collect()} == set()
+
+
+def test_pack_is_one_linear_pass_and_keeps_null_keys(spark):
+    import time
+
+    rows = spark.range(100_000).select(F.lit("a").alias("build_id"), F.col("id").alias("seq"), (F.col("id") * 7919 % 4000).alias("packed_bytes"))
+    rows = rows.unionByName(spark.createDataFrame([(None, k, 60_000) for k in range(4)] + [("b", 0, None), ("b", 1, 5)], "build_id string, seq long, packed_bytes long"))
+    began = time.time()
+    got = archives.pack(rows, 100_000).toPandas()
+    assert time.time() - began < 30 and len(got) == 100_006
+    own = got[got.build_id == "a"].sort_values("seq")
+    no, held, want = 0, 0, []
+    for x in own.packed_bytes.astype(int):
+        if held + x > 100_000:
+            no, held = no + 1, 0
+        held += x
+        want.append(no)
+    assert own.archive_no.tolist() == want
+    assert got[got.build_id.isna()].sort_values("seq").archive_no.tolist() == [0, 1, 2, 3] and set(got[got.build_id == "b"].archive_no) == {0}
+
+
+def test_leaks_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, "concatenate"), (3, None), (4, "x alpha  beta"), (5, "")], "id long, body string")
+    asked = [(1, "pha beta gamma delta epsilon ze"), (2, "cat"), (3, "ta gam"), (4, "beta gamma delta"), (5, "alpha beta"), (6, None), (7, ""), (8, "a b"), (9, "a  b")]
+    got = {tuple(r) for r in audit.leaks(texts, spark.createDataFrame(asked, "pid long, words string"), "id", "body", "pid", "words").collect()}
+    want = {(i, p) for i, t in [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "concatenate"), (4, "x alpha  beta"), (5, "")] for p, w in asked if w and w in t}
+    assert got == want and len(want) > 5
+
+
+def test_every_leaf_is_walked(spark):
+    from tessera.operators import rules
+
+    docs = spark.createDataFrame([("b", '{"guidance":["fine","also fine","' + "x" * 90 + '"],"deep":{"a":[{"t":"' + "y" * 81 + '"}]},"n":5}'), ("c", '{"a":"' + "z" * 80 + '"}')], "id string, j string").select("id", F.parse_json("j").alias("doc"))
+    got = {(r.subject, r.path) for r in rules.unbroken_leaves(docs, "id", "doc", [F.lit(7)]).collect()}
+    assert got == {("b", "/guidance/2"), ("b", "/deep/a/0/t")}
+
+
+def test_a_replaced_rule_table_decides(spark):
+    from tessera.operators import rules
+
+    rows = spark.createDataFrame([("b", "t" * 30, "r")], "workbook_id string, title string, reading_range string")
+    check = lambda table: rules.schema_violations(rows, "lesson", "workbook_id", F.lit(""), [F.lit(1)], table).count()
+    table = rules.rule_table(spark)
+    tight = table.withColumn("bound", F.when((F.col("field") == "title") & (F.col("check") == "max_length"), 20).otherwise(F.col("bound")))
+    assert check(None) == check(table) == 0 and check(tight) == 1
