@@ -81,7 +81,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
         """rows with ``nth``: 1 for the first of an identifier and for rows without one, else 2."""
         order = F.struct("turn", F.xxhash64(*by).alias("h"))
         named = rows.where(known).withColumn("_at", order)
-        first = named.groupBy("conv_id", "call_id").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        # written first, so that its size is known: where few identifiers repeat, it is broadcast and no text moves
+        first = settle(named.groupBy("conv_id", "call_id").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "repeated-ids")
         found = named.join(first, ["conv_id", "call_id"], "left")
         once = found.where("_n is null").withColumn("nth", F.lit(1)).select(*rows.columns, "nth")
         again = found.where("_n is not null and _at <> _first").withColumn("nth", F.lit(2)).select(*rows.columns, "nth")
