@@ -239,7 +239,20 @@ def q_line_gaps(t):
     return gaps.where("gap is not null").groupBy(F.col("gap").cast("long").alias("gap")).agg(F.count("*").alias("lines"))
 
 
-@query()
+@query("""
+with recursive o as (select user_id, row_number() over (partition by user_id order by event_id) as k, event_type as kind, coalesce(value, 0) as v from events),
+s as (
+  select distinct user_id, 0::bigint as k, 0::double as y, '' as color, []::struct(y double, color varchar)[] as stack, null::double as page_y, null::double as width from events
+  union all
+  select o.user_id, o.k,
+    case when kind = 'error' and len(stack) > 0 then stack[-1].y when kind = 'click' then s.y + v else s.y end,
+    case when kind = 'error' and len(stack) > 0 then stack[-1].color when kind = 'purchase' then '#c6d0c8' else s.color end,
+    case when kind = 'signup' then list_append(stack, {'y': s.y, 'color': s.color}) when kind = 'error' and len(stack) > 0 then stack[:-2] else stack end,
+    case when kind = 'view' and s.color = '#c6d0c8' and abs(v * 10 + 350) >= 400 then s.y end, abs(v * 10 + 350)
+  from s join o on o.user_id = s.user_id and o.k = s.k + 1
+)
+select user_id as doc_id, 1 as page, (row_number() over (partition by user_id order by page_y desc, width desc) - 1)::int as idx, round(page_y, 6) as page_y, round(width, 6) as width from s where page_y is not null
+""")
 def q_op_replay(t):
     """Rules found by replaying each user's events as drawing operations."""
     kind = F.col("event_type")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import counted
+from tessera.operators.contract import duplicates
 from tessera.operators.violations import found, without
 
 _SPACE = "struct<mode:string,lines:bigint,pages:bigint>"
@@ -38,6 +39,13 @@ def missing_files(manifests: DataFrame, lessons: DataFrame) -> DataFrame:
     return wanted.join(lessons.select("workbook_id", "file"), ["workbook_id", "file"], "left_anti")
 
 
+def repeated_lessons(files: DataFrame) -> DataFrame:
+    """Violations: lesson files (workbook_id, position, file, lesson_number) whose number an earlier file of the package has."""
+    again = duplicates(files.where("lesson_number is not null"), ["workbook_id", "lesson_number"], ["position", "file"])
+    message = F.format_string("%s: has Lesson %d, as %s has", "file", "lesson_number", "earlier.file")
+    return found(again, F.col("workbook_id"), F.lit(True), [F.lit(0), F.col("position")], "repeated_lesson", F.col("file"), message)
+
+
 def write_packages(documents: DataFrame, violations: DataFrame, path: str, key: str = "workbook_id") -> None:
     """Publish the workbooks about which nothing was found, partitioned by id."""
     without(documents, key, violations).write.mode("overwrite").partitionBy(key).json(path)
