@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import text
 from tessera.operators import assembly, audit, contract, essays, inventory, parity, rules
 from tessera.operators.violations import first_violation
+from tessera.plans import targets
 from tessera.queries.base import query
 from tessera.queries.importing import _cells
 from tessera.sources import packages
@@ -257,3 +259,28 @@ def s_notice_files(t):
     )
     made = packages.notices_of(t("documents").select(ident.alias("id"), F.concat(front, F.coalesce("text", F.lit(""))).alias("value")))
     return made.select("id", "title", "posted_at", F.array_join("images", ",").alias("images"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("""
+select doc_id, text is null or not regexp_matches(text, '\\S') as blank, md5(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g')) as canonical_md5,
+  printf('%.2f MB', n_chars * 1000 / 1048576.0) as size, case when doc_id % 3 = 0 then 'fonts' when doc_id % 3 = 1 then 'compiler' else 'preview page' end as area from documents
+""")
+def u_sql_functions(t):
+    """The scalar functions called by their SQL names."""
+    docs = t("documents")
+    text.register(docs.sparkSession)
+    path = "case doc_id % 3 when 0 then 'project/assets/fonts/a' when 1 then 'vendor/b' else 'index' end"
+    return docs.selectExpr("doc_id", "is_blank_text(text) as blank", "md5(canonical_text(text)) as canonical_md5", "megabytes_text(n_chars * 1000) as size", f"area_of_path({path}) as area")
+
+
+@query("""
+with b as (select conv_id::varchar as book, list(turn + 1) as n from conversations group by 1), e as (select unnest(['student', 'teacher']) as edition)
+select book, 'workbook' as scope, edition, null::bigint as lesson_number, book || '-workbook-' || edition || '.pdf' as name from b cross join e union all
+select book, 'lesson', edition, k, book || '-lesson-' || lpad(k::varchar, greatest(2, length(k::varchar))::int, '0') || '-' || edition || '.pdf' from (select book, unnest(n) as k from b) cross join e
+""")
+def u_expand_targets(t):
+    """The table function over each conversation's turns as lessons."""
+    rows = t("conversations")
+    targets.register(rows.sparkSession)
+    books = rows.groupBy(F.col("conv_id").cast("string").alias("book")).agg(F.collect_list(F.col("turn") + 1).alias("n"))
+    return rows.sparkSession.sql("select b.book, t.scope, t.edition, t.lesson_number, t.name from {books} b, lateral expand_targets(b.book, b.n) t", books=books)

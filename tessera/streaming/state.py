@@ -73,17 +73,74 @@ def marks(results: DataFrame) -> DataFrame:
     return clear.unionByName(rows.where("cell is not null").select("workbook_id", "seq", F.lit("set").alias("action"), "cell"))
 
 
-def request_reply_stream(requests: DataFrame, replies: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
-    """Streaming replies: requests left-joined to replies of their session and kind in time.
+REPLIES = "session string, kind string, sent_us long, reply_us long, outcome string"
+
+
+class _Replies(StatefulProcessor):
+    """Keeps the one open request of a session and kind, and the rows that the watermark has not passed."""
+
+    def __init__(self, seconds: int) -> None:
+        self.wait = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us long, reply int")
+        self.open = handle.getValueState("open", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(r.us), int(r.reply)) for pdf in rows for r in pdf.itertuples(index=False)]
+        self.rows.appendList(new)
+        self.wake(min(us for us, _ in new))
+        yield pd.DataFrame([], columns=_names(REPLIES))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.rows.get()) if self.rows.exists() else []
+        now = self.open.get()[0] if self.open.exists() else None
+        out = []
+        for us, reply in [r for r in waiting if r[0] < passed]:
+            if now is not None:
+                met = reply and us <= now + self.wait
+                out.append((*key, now, us if met else None, "replied" if met else "timeout"))
+            now = None if reply else us
+        if now is not None and now + self.wait < passed:
+            out.append((*key, now, None, "timeout"))
+            now = None
+        later = [r for r in waiting if r[0] >= passed]
+        self.rows.put(later) if later else self.rows.clear()
+        self.open.clear() if now is None else self.open.update((now,))
+        if later:
+            self.wake(later[0][0])
+        if now is not None:
+            self.wake(now + self.wait)
+        yield pd.DataFrame(out, columns=_names(REPLIES)).astype({"sent_us": "Int64", "reply_us": "Int64"})
+
+    def wake(self, us: int) -> None:
+        """Come back once the watermark has passed ``us``."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def close(self) -> None:
+        pass
 
-    requests (session, kind, sent_ts) and replies (session, kind, reply_ts); rows
-    without a reply are timeouts and come out once the watermark has passed.
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def request_reply_stream(requests: DataFrame, replies: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
+    """The streaming twin of ``logs.request_reply``: one open request a session and kind.
+
+    requests (session, kind, sent_ts) and replies (session, kind, reply_ts).  Rows
+    wait until the watermark has passed them and are then taken in order of time, so
+    a request is answered by the next row of its kind if that is a reply in time; a
+    newer request or the end of the wait makes it a timeout, and a reply without an
+    open request counts for nothing.  The session must use the RocksDB state store
+    provider.
     """
-    a = requests.withWatermark("sent_ts", late).alias("a")
-    b = replies.withWatermark("reply_ts", late).alias("b")
-    within = F.expr(f"a.session = b.session and a.kind = b.kind and b.reply_ts >= a.sent_ts and b.reply_ts <= a.sent_ts + interval {seconds} seconds")
-    joined = a.join(b, within, "leftOuter")
-    return joined.select("a.session", "a.kind", "a.sent_ts", "b.reply_ts", F.when(F.col("b.reply_ts").isNotNull(), "replied").otherwise("timeout").alias("outcome"))
+    one = lambda df, at, reply: df.select("session", "kind", F.col(at).alias("ts"), F.unix_micros(at).alias("us"), F.lit(reply).alias("reply"))
+    both = one(requests, "sent_ts", 0).unionByName(one(replies, "reply_ts", 1)).withWatermark("ts", late)
+    made = both.groupBy("session", "kind").transformWithStateInPandas(_Replies(seconds), REPLIES, "Append", "EventTime")
+    return made.select("session", "kind", F.timestamp_micros("sent_us").alias("sent_ts"), F.timestamp_micros("reply_us").alias("reply_ts"), "outcome")
 
 
 class _Budget(StatefulProcessor):
