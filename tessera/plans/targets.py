@@ -86,6 +86,12 @@ def extended(lessons: DataFrame, count: int) -> DataFrame:
     return shape(more, F.col("new_number"), F.col("position"), True).unionByName(shape(same, F.col("lesson_number"), F.col("position"), False))
 
 
+def cover_ranges(manifests: DataFrame, lessons: DataFrame, count: int) -> DataFrame:
+    """Manifests (book_id, lesson_range) whose range names all lessons of books that ``extended`` lengthens; others keep theirs."""
+    short = lessons.groupBy("book_id").agg(F.count("*").alias("have")).where(F.col("have") < count).select("book_id", F.lit(f"Lessons 1–{count}").alias("longer"))
+    return manifests.join(short, "book_id", "left").withColumn("lesson_range", F.coalesce("longer", "lesson_range")).drop("longer")
+
+
 def fixture_plan(lessons: DataFrame, count: int) -> DataFrame:
     """First lesson and whole book in both editions: id, label and lesson count."""
     per_book = lessons.groupBy("book_id").agg(F.min_by("lesson_number", "position").alias("first"), F.greatest(F.count("*"), F.lit(count)).alias("whole"))

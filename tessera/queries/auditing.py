@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import assembly, audit, contract, essays, inventory, parity, rules
+from tessera.operators import archives, assembly, audit, contract, essays, inventory, parity, rules
 from tessera.operators.violations import first_violation
 from tessera.plans import targets
 from tessera.queries.base import query
@@ -284,3 +284,52 @@ def u_expand_targets(t):
     targets.register(rows.sparkSession)
     books = rows.groupBy(F.col("conv_id").cast("string").alias("book")).agg(F.collect_list(F.col("turn") + 1).alias("n"))
     return rows.sparkSession.sql("select b.book, t.scope, t.edition, t.lesson_number, t.name from {books} b, lateral expand_targets(b.book, b.n) t", books=books)
+
+
+def _turns(t) -> tuple[DataFrame, DataFrame]:
+    """Conversations as books, their turns as lessons."""
+    lessons = t("conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("position"), (F.col("turn") + 1).alias("lesson_number"), "role")
+    return lessons.select("book_id").distinct().withColumn("title", F.concat(F.lit("Book "), "book_id")), lessons
+
+
+@query("""
+with l as (select conv_id::varchar as book, turn, turn + 1 as n, '{"number":' || (turn + 1) || case when role = 'user' then ',"note":"user"}' else '}' end as body from conversations),
+s as (select book, 'lesson' as scope, '-lesson-' || lpad(n::varchar, greatest(2, length(n::varchar))::int, '0') as part, body from l union all select book, 'workbook', '-workbook', string_agg(body, ',' order by turn) from l group by 1)
+select book || part || '-' || edition || '.pdf' as name,
+  md5('{"schemaVersion":1,"build":{"scope":"' || scope || '","edition":"' || edition || '"},"manifest":{"title":"Book ' || book || '"' || case when book::bigint % 2 = 1 then ',"subtitle":"Odd"' else '' end || '},"lessons":[' || body || ']}') as bundle_md5
+from s cross join (select unnest(['student', 'teacher']) as edition)
+""")
+def s_target_bundles(t):
+    """Bundles of all targets, single lessons too; fields that are null are left out."""
+    books, lessons = _turns(t)
+    subtitle = F.when(F.col("book_id").cast("long") % 2 == 1, "Odd").alias("subtitle")
+    lesson = F.struct(F.col("lesson_number").alias("number"), F.when(F.col("role") == "user", "user").alias("note")).alias("lesson")
+    made = packages.bundles(targets.disk_targets(books, lessons), books.select("book_id", F.struct("title", subtitle).alias("manifest")), lessons.select("book_id", "lesson_number", lesson))
+    return made.select("name", F.md5(F.col("bundle").cast("binary")).alias("bundle_md5"))
+
+
+@query("select conv_id::varchar as book_id, case when count(*) < 6 then 'Lessons 1–6' else 'All of ' || conv_id end as lesson_range from conversations group by conv_id")
+def t_cover_ranges(t):
+    """Cover lines of books lengthened to six lessons."""
+    books, lessons = _turns(t)
+    return targets.cover_ranges(books.select("book_id", F.concat(F.lit("All of "), "book_id").alias("lesson_range")), lessons, 6)
+
+
+@query("select conv_id from conversations group by 1 having count(*) filter (where turn = 3) = 0")
+def x_nothing_delivered(t):
+    """Books none of whose files is a PDF."""
+    name = F.concat(F.lit("file-"), F.col("turn").cast("string"), F.when(F.col("turn") == 3, ".Pdf").otherwise(".pdf.txt"))
+    return archives.without_pdfs(t("conversations").select("conv_id", name.alias("name")), ["conv_id"])
+
+
+@query("""
+with l as (select doc_id, '/guidance/1' as path, 70 + doc_id % 20 as n from documents union all select doc_id, '/deep/b/0/c', 60 + doc_id % 30 from documents)
+select doc_id, path, path || ': contains an unbroken text segment of ' || n || ' characters; the maximum is 80' as message from l where n > 80
+""")
+def r_unbroken_leaves(t):
+    """Over-long runs in every text of nested documents, those in arrays too."""
+    run = lambda letter, n: F.repeat(F.lit(letter), n.cast("int"))
+    ident = F.col("doc_id")
+    nested = F.struct(F.col("source").alias("a"), F.array(F.col("lang"), run("x", 70 + ident % 20)).alias("guidance"), F.struct(F.array(F.struct(run("y", 60 + ident % 30).alias("c"))).alias("b")).alias("deep"))
+    docs = t("documents").select("doc_id", F.parse_json(F.to_json(nested)).alias("doc"))
+    return rules.unbroken_leaves(docs, "doc_id", "doc", [F.lit(0)]).select(F.col("subject").cast("long").alias("doc_id"), "path", "message")
