@@ -138,13 +138,19 @@ def vocabulary_units(term: Column, *rest: Column) -> Column:
     return total
 
 
-def budget_message(path: Column, actual: Column, most: Column) -> Column:
-    return F.concat(path, F.lit(": takes "), actual.cast("string"), F.lit(" layout units of "), most.cast("string"), F.lit("; shorten it or split it in two"))
+#: Fixed value: the form in which a layout budget is reported, which the registered SQL states too.
+BUDGET_FORM = "%s: estimated layout size %s exceeds %s"
+BUDGET_ADVICE = "shorten it or split it in two"
+
+
+def budget_message(path: Column, actual: Column, most: Column, advice: str | None = None) -> Column:
+    """Size and limit in their fixed form, and what to do about it if ``advice`` is given."""
+    return F.format_string(BUDGET_FORM + (f"; {advice}" if advice else ""), path, actual.cast("string"), most.cast("string"))
 
 
 def over_budget(df: DataFrame, subject: str, rule: str, actual: Column, most: Column, path: Column, rank: list[Column]) -> DataFrame:
     rows = df.withColumns({"b_actual": actual, "b_most": most, "b_path": path})
-    return found(rows, F.col(subject), F.col("b_actual") > F.col("b_most"), rank, rule, F.col("b_path"), budget_message(F.col("b_path"), F.col("b_actual"), F.col("b_most")))
+    return found(rows, F.col(subject), F.col("b_actual") > F.col("b_most"), rank, rule, F.col("b_path"), budget_message(F.col("b_path"), F.col("b_actual"), F.col("b_most"), BUDGET_ADVICE))
 
 
 def unbroken(df: DataFrame, subject: str, leaves: dict[str, Column], rank: list[Column], most: int = TOKEN_LENGTH) -> DataFrame:
