@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import base64_size, safe_folder
+from tessera.sources.shared import settle
 
 #: Bytes of an archive's headers, and the budget's floor.
 ENTRY_HEADER, DIRECTORY_HEADER, ARCHIVE_END = 30, 46, 22
@@ -41,42 +42,125 @@ def next_fit(sizes: np.ndarray, budget: int, held: int, n: int) -> tuple[np.ndar
     return no, held, n
 
 
+def transfer(sizes: np.ndarray, budget: int) -> dict:
+    """What a stretch of entries makes of the archive that is open before it.
+
+    ``alone_*``: archives closed and bytes then held if the stretch starts an archive.
+    Otherwise the open archive takes the entries that fit its room; ``room`` holds the
+    least rooms, rising, from which on ``closed`` and ``held`` follow for the rest.
+    Starts from which the same follows are one, so the arrays are short unless sizes
+    are all alike, and never longer than the entries of one archive.
+    """
+    n = len(sizes)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    every = np.arange(n)
+    after = np.maximum(np.searchsorted(sums, sums[:-1] + budget, "right") - 1, every + 1)
+    closed = (after < n).astype(np.int64)
+    to = np.where(after < n, after, every)  # the start of the next archive; the last one stays
+    while (to[to] != to).any():
+        closed, to = closed + closed[to], to[to]
+    held = sums[-1] - sums[to]
+    starts = every[: np.searchsorted(sums[:-1], budget, "right")]
+    starts = starts[np.append(sums[starts[1:]] != sums[starts[:-1]], True)]  # of equal rooms the last entry that fits counts
+    other = np.append(True, (closed[starts[1:]] != closed[starts[:-1]]) | (held[starts[1:]] != held[starts[:-1]]))
+    starts = starts[other]
+    return {"total": int(sums[-1]), "alone_closed": int(closed[0]), "alone_held": int(held[0]), "room": sums[starts], "closed": closed[starts], "held": held[starts]}
+
+
+def carried(row, budget: int, held: int, n: int) -> tuple[int, int]:
+    """Archives closed in a stretch (a row of ``transfer``) that is entered with so many bytes and entries held, and what is held after it."""
+    if n == 0:
+        return row.alone_closed, row.alone_held
+    room = budget - held
+    if row.total <= room:
+        return 0, held + row.total
+    if room < 0:
+        return 1 + row.alone_closed, row.alone_held
+    k = int(np.searchsorted(row.room, room, "right")) - 1
+    return 1 + int(row.closed[k]), int(row.held[k])
+
+
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
+    """Each build of a batch with its first row and the row after its last."""
+    build = pdf["_build"].to_numpy()
+    cuts = [0, *(np.flatnonzero(build[1:] != build[:-1]) + 1).tolist(), len(pdf)]
+    return ((build[a], a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def pack(entries: DataFrame, budget: int, keys: list[str] = ("build_id",), order: list[str] = ("seq",), size: str = "packed_bytes") -> DataFrame:
     """entries with ``archive_no`` (from 0): next-fit in the order given.
 
     An archive is closed when it holds an entry and the next would exceed the
-    budget; an entry over the budget stands alone.  Each build is one sorted run
-    that is streamed in batches, so the pass is linear and no build is held whole.
-    Null keys are a build of their own; a null size counts as 0.
-    """
-    keys, order = list(keys), list(order)
+    budget; an entry over the budget stands alone.  Null keys are a build of their
+    own; a null size counts as 0.
 
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Entries are dealt by ranges of (keys, order), so a large build is cut into
+    segments.  Each segment's ``transfer`` is computed by itself; one short pass over
+    those, in order, gives what each segment is entered with; then all segments are
+    packed side by side.  No task holds a whole build.
+    """
+    keys, order, columns = list(keys), list(order), entries.columns
+    build = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = settle(entries.repartitionByRange(*keys, *order).withColumn("_segment", F.spark_partition_id()), "pack-segments")
+    parts = 1 + (rows.agg(F.max("_segment")).first()[0] or 0)
+    amount = F.coalesce(F.col(size).cast("long"), F.lit(0))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_build": build, "_size": amount}).repartitionById(parts, F.col("_segment")).sortWithinPartitions("_segment", *keys, *order)
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row: the first build's transfer, and how the last one ends if it is another."""
+        segment, first, last, own, state = None, None, None, [], (0, 0, 0)
+        for pdf in frames:
+            for name, a, b in _runs(pdf):
+                segment, first = int(pdf["_segment"].iloc[a]), name if segment is None else first
+                sizes = pdf["_size"].to_numpy(np.int64)[a:b]
+                if name == first:
+                    own.append(sizes)
+                else:
+                    no, held, n = state if name == last else (0, 0, 0)
+                    closed, held, n = next_fit(sizes, budget, held, n)
+                    state = no + int(closed[-1]), held, n
+                last = name
+        if segment is not None:
+            yield pd.DataFrame([{"_segment": segment, "first": first, "last": last, **transfer(np.concatenate(own), budget), "last_no": state[0], "last_held": state[1]}])
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        build, no, held, n = None, 0, 0, 0
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.first != build:
+                    no, held, n = 0, 0, 0
+                out.append((row[0], no, held, n))
+                build = row.last
+                if row.last != row.first:
+                    no, held, n = row.last_no, row.last_held, 1
+                else:
+                    closed, held = carried(row, budget, held, n)
+                    no, n = no + closed, 1
+            yield pd.DataFrame(out, columns=["_segment", "_no", "_held", "_n"])
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, no, held, n = None, 0, 0, 0
         for pdf in frames:
-            if not len(pdf):
-                continue
-            sizes = pdf[size].fillna(0).to_numpy(np.int64)
-            change = np.zeros(len(pdf), bool)
-            for k in keys:
-                own, before = pdf[k], pdf[k].shift()
-                change |= ((own != before) & ~(own.isna() & before.isna())).to_numpy(bool)
-            first = [None if pd.isna(x) else x for x in pdf[keys].iloc[0]]
-            change[0] = first != last
             out = np.zeros(len(pdf), np.int64)
-            starts = np.append(np.union1d(0, np.flatnonzero(change)), len(pdf))
-            for a, b in zip(starts, starts[1:]):
-                if change[a]:
+            for name, a, b in _runs(pdf):
+                if last is None:
+                    no, held, n = (int(pdf[c].iloc[a]) for c in ("_no", "_held", "_n"))
+                elif name != last:
                     no, held, n = 0, 0, 0
-                own, held, n = next_fit(sizes[a:b], budget, held, n)
+                own, held, n = next_fit(pdf["_size"].to_numpy(np.int64)[a:b], budget, held, n)
                 out[a:b] = no + own
-                no = int(out[b - 1])
-            last = [None if pd.isna(x) else x for x in pdf[keys].iloc[-1]]
-            yield pdf.assign(archive_no=out.astype(np.int32))
+                no, last = int(out[b - 1]), name
+            yield pdf[columns].assign(archive_no=out.astype(np.int32))
 
+    measured = dealt(rows.select("_segment", *dict.fromkeys([*keys, *order, size]))).mapInPandas(measure, "_segment int, first string, last string, total long, alone_closed long, alone_held long, room array<long>, closed array<long>, held array<long>, last_no long, last_held long")
+    entered = measured.repartition(1).sortWithinPartitions("_segment").mapInPandas(chain, "_segment int, _no long, _held long, _n int")
     kinds = dict(entries.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in entries.columns) + ", archive_no int"
-    return entries.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
+    # one row a segment: as many as there are shuffle partitions
+    return dealt(rows.join(F.broadcast(entered), "_segment")).mapInPandas(number, schema)
 
 
 def first_archives(packed: DataFrame, limit: int) -> DataFrame:

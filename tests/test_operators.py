@@ -1,5 +1,7 @@
 import zlib
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,46 @@ def test_a_replaced_rule_table_decides(spark):
     table = rules.rule_table(spark)
     tight = table.withColumn("bound", F.when((F.col("field") == "title") & (F.col("check") == "max_length"), 20).otherwise(F.col("bound")))
     assert check(None) == check(table) == 0 and check(tight) == 1
+
+
+def next_fit_by_hand(sizes, budget):
+    out, no, held, n = [], 0, 0, 0
+    for x in sizes:
+        if n and held + x > budget:
+            no, held, n = no + 1, 0, 0
+        out.append(no)
+        held, n = held + x, n + 1
+    return out, held
+
+
+def test_transfer_tells_what_follows_from_any_open_archive():
+    rng = np.random.default_rng(3)
+    for turn in range(300):
+        sizes = rng.choice([0, 1, 2, 5, 9, 30], 1 + rng.integers(40), p=rng.dirichlet(np.ones(6)))
+        row = SimpleNamespace(**archives.transfer(sizes, 12))
+        for before in ([], [0], [3], [7, 2], [12], [30], [5, 12, 1]):
+            had, held = next_fit_by_hand(before, 12)
+            numbers, wanted = next_fit_by_hand([*before, *sizes.tolist()], 12)
+            assert archives.carried(row, 12, held, len(before)) == (numbers[-1] - (had[-1] if had else 0), wanted), (turn, before)
+    assert len(archives.transfer(rng.integers(1, 9, 10_000), 1000)["room"]) < 60  # starts flow together
+
+
+def test_pack_is_the_same_over_any_segments(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, k, int(x)) for b, n in ((None, 300), ("", 1), ("a", 4000), ("b", 40), ("c", 900)) for k, x in enumerate(rng.choice([0, 10, 300, 900, 1500], n))]
+    df = spark.createDataFrame(rows, "build_id string, seq int, packed_bytes long").repartition(7)
+    found = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found[parts] = sorted(map(tuple, archives.pack(df, 1000).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by_build = {}
+    for b, k, x in rows:
+        by_build.setdefault(b, []).append(x)
+    wanted = sorted(((b, k, x, no) for b, own in by_build.items() for k, (x, no) in enumerate(zip(own, next_fit_by_hand(own, 1000)[0]))), key=str)
+    assert found["1"] == found["3"] == found["16"] == wanted
+    assert archives.pack(df.limit(0), 1000).count() == 0
