@@ -2,61 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Only on a local master, where that may be unset, a temporary folder is made and
-    set for the session; elsewhere that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def session_dir(spark: SparkSession) -> str:
-    """Where this application's intermediate tables lie; ``clear`` deletes it."""
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage like ``checkpoint()``, survives lost executors, and
-    keeps the columnar form, so that later reads prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(settled: DataFrame) -> None:
-    """Delete a settled table that nothing reads any more."""
-    _delete(settled.sparkSession, settled.settled_at)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all settled tables of this application; results that read them must have been written."""
-    _delete(spark, session_dir(spark))
-
+from tessera.sources.shared import clear, discard, session_dir, settle, shared_dir  # noqa: F401
 
 #: A key of more than one in so many rows, and of so many rows at least, is split.
 HOT_SHARE, HOT_ROWS = 1000, 10_000
