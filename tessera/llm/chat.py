@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
+from tessera.llm.common import discard, settle
 
 #: Tools by name; fields with their kind and whether they must be there.
 SCHEMAS = {"reply": {"chars": ("integer", True), "prompt": ("string", True), "uses": ("array", False)}}
+#: Copies of one row that are given out at a time.
+COPIES_AT_ONCE = 1 << 12
 _KINDS = {"integer": "BIGINT|INT|SMALLINT|TINYINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
@@ -57,9 +59,12 @@ def levels(calls: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         jump = F.col("level").isNull() & F.col("next").isNotNull()
+        old = edges, looked, done
         moved = looked.select(*key, F.when(jump, F.col("next")).otherwise(F.col("need")).alias("need"), F.when(jump, F.least(F.col("steps") + F.col("more"), F.lit(1 << 40))).otherwise(F.col("steps")).alias("steps"))
         edges = settle(moved.join(ready.select(*key), key, "left_anti").groupBy(*key, "need").agg(F.max("steps").alias("steps")), "call-needs")
         done = settle(done.unionByName(ready), "call-levels")
+        for x in (*old, ready):
+            discard(x)
         if edges.isEmpty():
             break
     return done.select(*key, F.col("level").cast("int").alias("level"))
@@ -87,8 +92,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
         once = found.where("_n is null").withColumn("nth", F.lit(1)).select(*rows.columns, "nth")
         again = found.where("_n is not null and _at <> _first").withColumn("nth", F.lit(2)).select(*rows.columns, "nth")
         # copies of the first row itself: one of them is the first
-        same = found.where("_n is not null and _at = _first").groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_n"))
-        same = same.select(*rows.columns, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: F.least(k, F.lit(2)))).alias("nth"))
+        same = found.where("_n is not null and _at = _first").groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+        # given out in parts, however many there are
+        parts = same.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES_AT_ONCE))).alias("_k"))
+        many = parts.withColumn("_more", F.least(F.col("_n") - F.col("_k") * COPIES_AT_ONCE, F.lit(COPIES_AT_ONCE)).cast("int"))
+        same = many.select(*rows.columns, "_k", F.explode(F.sequence(F.lit(1), F.col("_more"))).alias("_j")).select(*rows.columns, F.when((F.col("_k") == 0) & (F.col("_j") == 1), 1).otherwise(2).alias("nth"))
         return once.unionByName(again).unionByName(same).unionByName(rows.where(~known).withColumn("nth", F.lit(1)))
 
     calls, results = counted(calls, "name", "arguments"), counted(results, "content")
