@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import settle, unsigned_crc32
+from tessera.llm.common import HOT_ROWS, HOT_SHARE, settle, unsigned_crc32
 
 VIRTUAL_SLOTS = 8192
 SHARDS = 8
@@ -28,19 +28,42 @@ def virtual_slot(slots: int = VIRTUAL_SLOTS) -> Column:
     Records without an id have nothing that tells copies apart: they are spread by
     their place in the table, which holds for the one table that is measured.
     """
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    apart = F.when(F.col("doc_id").isNull(), F.col("place"))
     return F.pmod(F.xxhash64("doc_id", "text_crc32", "size", apart), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each document, with no text kept."""
+    """doc_id, size, text_crc32, place in the table and vslot of each document, with no text kept."""
     return docs.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("place"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         unsigned_crc32(F.col("text")).alias("text_crc32"),
     ).withColumn("vslot", virtual_slot(slots))
 
 
+def settled_rows(docs: DataFrame, slots: int) -> DataFrame:
+    """The measured documents, written once.
+
+    Rows of one id and one text that are more than a slot should hold, and all fall
+    into it, are spread by their places too: nothing tells such copies apart, and
+    neither a slot nor the task that ranks it may hold a large part of a table.  Hot
+    slots and hot rows are at most HOT_SHARE each, so both lists are broadcast.
+    """
+    rows = settle(measured(docs, slots), "shard-rows")
+    weights = settle(slot_weights(rows), "shard-weights")
+    total = weights.agg(F.coalesce(F.sum("slot_rows"), F.lit(0))).first()[0]
+    most = max(total // HOT_SHARE, HOT_ROWS)
+    slot = weights.where(F.col("slot_rows") > most).select("vslot")
+    if slot.isEmpty():
+        return rows
+    key = ["doc_id", "text_crc32", "size"]
+    hot = rows.where("doc_id is not null").join(F.broadcast(slot), "vslot", "left_semi").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    found = rows.join(F.broadcast(hot), key, "left")
+    spread = F.pmod(F.xxhash64(*key, "place"), F.lit(slots)).cast("int")
+    return settle(found.withColumn("vslot", F.when(F.col("n").isNotNull(), spread).otherwise(F.col("vslot"))).select(rows.columns), "shard-spread")
+
+
 def slot_weights(rows: DataFrame) -> DataFrame:
     """Bytes and rows of each slot: pre-aggregated by task, one row a slot."""
     return rows.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.count("*").alias("slot_rows"))
@@ -155,7 +178,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_
     """Spread documents over shards of near-equal bytes; gives rows and the map.
 
     Law ``bytes``: size is the UTF-8 length plus 1 (null text: 1).  Repeated rows
-    each get a place.  Null ids are spread by their place in the table.  An empty
+    each get a place, many equal ones in several slots.  Null ids are spread by their place in the table.  An empty
     table gives an empty result and an empty map.  Extra columns are not read.
 
     With ``map_path`` the newest map stored there says where slots go, so documents
@@ -164,7 +187,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_
     stored.
     """
     spark = docs.sparkSession
-    rows = settle(measured(docs, slots), "shard-rows")
+    rows = settled_rows(docs, slots)
     weights = slot_weights(rows)
     stored = load_map(spark, map_path) if map_path else None
     if stored is None:
@@ -182,7 +205,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_
 def rebalance_documents(docs: DataFrame, map_path: str, shards: int, slots: int = VIRTUAL_SLOTS, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Rows and map after the newest map stored at ``map_path`` is edited for ``shards`` and stored as the next version."""
     spark = docs.sparkSession
-    rows = settle(measured(docs, slots), "shard-rows")
+    rows = settled_rows(docs, slots)
     stored = load_map(spark, map_path)
     if stored is None:
         raise ValueError(f"no slot map is stored at {map_path}")

@@ -530,6 +530,18 @@ def test_rows_without_ids_spread_over_slots(spark):
     assert len(by) == 8 and all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_many_copies_of_one_row_spread_over_slots_and_shards(spark):
+    many = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    other = spark.range(100, 20_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows, slot_map = sharding.shard_documents(many.unionByName(other))
+    got = rows.toPandas()
+    assert len(got) == 50_000 and (got.doc_id == 5).sum() == 30_000
+    held = got.groupby("shard")["size"].sum()
+    assert len(held) == 8 and held.max() - held.min() < 0.01 * held.mean()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+    assert slot_map.agg(F.max("slot_rows")).first()[0] < 200
+
+
 # chat
 
 
@@ -562,7 +574,9 @@ def test_arguments_that_do_not_parse_are_kept(spark):
     assert [got[f"c{k}"] for k in range(len(odd))] == odd and got["n"] is None and got["g"] == {"a": "long " * 30_000, "b": 2}
 
 
-def test_many_rows_without_identifiers_and_copies(spark):
+@pytest.mark.parametrize("at_once", [7, 1 << 12])
+def test_many_rows_without_identifiers_and_copies(spark, monkeypatch, at_once):
+    monkeypatch.setattr(chat, "COPIES_AT_ONCE", at_once)
     calls = [(None if k % 2 else 1, k % 3, None, "reply", "{}") for k in range(60)] + [(2, 1, "a", "reply", "{}")] * 30 + [(2, 0, "a", "reply", "{}")]
     results = [(None, 0, "a", "x")] * 20 + [(2, 5, "a", "y")] * 20
     got = chat.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")).collect()
