@@ -20,6 +20,8 @@ from tessera.llm.common import settle
 REPETITION = 1.5
 BLOCKS = 1024
 SEED = 7
+#: Hashes are cut into 2 ** (64 - RANGE_SHIFT) ranges inside the block where a budget runs out.
+RANGE_SHIFT = 54
 #: Each pass over the sources narrows the exponent to one of so many sections.
 SECTIONS, PASSES = 32, 5
 
@@ -91,7 +93,8 @@ def realise(sizes: DataFrame, planned: DataFrame, blocks: int = BLOCKS, seed: in
     the last, partial epoch the blocks come in a permuted order until the budget
     is spent; inside the block where it runs out, documents come in hash order,
     and the one that crosses the line is the last.  Only the blocks' sums are
-    ordered over a whole source, so a hot source is never in one task.
+    ordered over a whole source, and inside that block only the sums of ranges of
+    hashes, so neither a hot source nor its last block is ever in one task.
     """
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
     rows = settle(sizes.withColumn("block", block), "mix-rows")
@@ -108,9 +111,14 @@ def realise(sizes: DataFrame, planned: DataFrame, blocks: int = BLOCKS, seed: in
         .select(F.col("source").alias("s"), F.col("block").alias("b"), "weight", "block_order", "epochs", "rest", (F.col("rest") < F.col("block_tokens")).alias("edge"))
     )
     joined = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id")
     partial = F.col("rest") > 0
-    edge = joined.where(partial & F.col("edge")).withColumn("seen", F.sum("tokens").over(inside) - F.col("tokens"))
+    edge = joined.where(partial & F.col("edge")).withColumn("turn", F.xxhash64("doc_id", F.lit(seed + 2))).withColumn("range", F.shiftright("turn", RANGE_SHIFT))
+    ranges = edge.groupBy(F.col("source").alias("rs"), F.col("block").alias("rb"), F.col("range").alias("rr")).agg(F.sum("tokens").alias("range_tokens"))
+    earlier = F.sum("range_tokens").over(Window.partitionBy("rs", "rb").orderBy("rr")) - F.col("range_tokens")
+    ranges = ranges.select("rs", "rb", "rr", earlier.alias("earlier"))
+    edge = edge.join(ranges, F.col("source").eqNullSafe(F.col("rs")) & (F.col("block") == F.col("rb")) & (F.col("range") == F.col("rr")))
+    inside = Window.partitionBy("source", "block", "range").orderBy("turn", "doc_id")
+    edge = edge.withColumn("seen", F.col("earlier") + F.sum("tokens").over(inside) - F.col("tokens"))
     columns = ["doc_id", "source", "tokens", "block", "block_order", "weight", "epochs"]
     last = joined.where(partial & ~F.col("edge")).select(columns).unionByName(edge.where("seen < rest").select(columns)).select(*columns[:-1], F.col("epochs").alias("epoch"))
     whole = joined.where("epochs > 0").select(*columns[:-1], F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
