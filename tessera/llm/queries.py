@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, lm_scoring, mixing, nearest, packing, sharding, simhash, topk, toxicity
+from tessera.llm import chat, lexical, license_scan, line_dedup, lm_scoring, mixing, nearest, packing, prefix_trie, sharding, simhash, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -50,7 +50,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_packing, op4_topk, op5_simhash, op6_lm_scoring, op7_chat_format, op8_mixing, op9_toxicity, op10_sharding)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_nearest, op3_packing, op4_topk, op5_simhash, op6_lm_scoring, op7_chat_format, op8_mixing, op9_toxicity, op10_sharding, op11_license_scan, op12_lexical, op13_prefix_trie)}
 
 _USABLE = """vec_id is not null and embedding is not null and list_count(embedding) = len(embedding) and
   coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)"""
@@ -66,6 +78,8 @@ pairs as (
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs) where rank <= 10
 """,
     "op7_chat_format": chat.ORACLE,
+    "op12_lexical": lexical.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
     "op4_topk": f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings where {_USABLE}),
 pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e))
