@@ -164,27 +164,6 @@ def unbroken(df: DataFrame, subject: str, leaves: dict[str, Column], rank: list[
     return found(spread, F.col(subject), F.lit(True), [*rank, F.col("nth")], "unbroken_text", F.col("leaf.path"), message)
 
 
-def unbroken_leaves(docs: DataFrame, subject: str, doc: str, rank: list[Column], most: int = TOKEN_LENGTH, depth: int = 6) -> DataFrame:
-    """Violations: every text of a VARIANT document, however deep and in arrays too, with such a run.
-
-    Paths name fields and places from 0, as in ``/guidance/2``.  One level is
-    opened at a time, ``depth`` levels deep; only objects and arrays go on.
-    """
-    spark = docs.sparkSession
-    level = docs.select(F.col(subject).alias("_subject"), F.lit("").alias("_path"), F.col(doc).alias("_value"), F.array(*[x.cast("long") for x in rank]).alias("_rank"))
-    leaves = []
-    for _ in range(depth):
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()))
-        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        level = opened.select("_subject", F.concat("_path", F.lit("/"), step).alias("_path"), F.col("value").alias("_value"), "_rank").withColumn("_kind", F.schema_of_variant("_value"))
-        leaves.append(level.where("_kind = 'STRING'").select("_subject", "_path", F.try_variant_get("_value", "$", "string").alias("_text"), "_rank"))
-        level = level.where(F.col("_kind").rlike("^(OBJECT|ARRAY)")).drop("_kind")
-    texts = together(*leaves).withColumn("_longest", longest_token(F.col("_text")))
-    message = F.format_string(f"%s: contains an unbroken text segment of %d characters; the maximum is {most}", "_path", "_longest")
-    ranks = [F.get("_rank", F.lit(k)) for k in range(len(rank))]
-    return found(texts, F.col("_subject"), F.col("_longest") > most, ranks, "unbroken_text", F.col("_path"), message)
-
-
 def missing_teacher_guidance(items: DataFrame, editions: list[str]) -> DataFrame:
     """Violations: questions without teacher guidance, if the teacher edition is asked for."""
     path = F.concat(F.lit("/sections/"), F.col("section"), F.lit("/"), F.col("idx").cast("string"), F.lit("/teacherGuidance"))

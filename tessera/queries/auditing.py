@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import archives, assembly, audit, contract, essays, inventory, parity, rules
+from tessera.operators import archives, assembly, audit, contract, essays, inventory, parity, rules, schema
 from tessera.operators.violations import first_violation
 from tessera.plans import targets
 from tessera.queries.base import query
@@ -332,4 +332,4 @@ def r_unbroken_leaves(t):
     ident = F.col("doc_id")
     nested = F.struct(F.col("source").alias("a"), F.array(F.col("lang"), run("x", 70 + ident % 20)).alias("guidance"), F.struct(F.array(F.struct(run("y", 60 + ident % 30).alias("c"))).alias("b")).alias("deep"))
     docs = t("documents").select("doc_id", F.parse_json(F.to_json(nested)).alias("doc"))
-    return rules.unbroken_leaves(docs, "doc_id", "doc", [F.lit(0)]).select(F.col("subject").cast("long").alias("doc_id"), "path", "message")
+    return schema.unbroken_leaves(docs, "doc_id", "doc", [F.lit(0)]).select(F.col("subject").cast("long").alias("doc_id"), "path", "message")

@@ -273,3 +273,14 @@ def k_marks(t):
 @query("select user_id, max_by.event_id as event_id, max_by.event_type as event_type from (select user_id, arg_max(struct_pack(event_id, event_type), event_id) as max_by from events group by 1)")
 def k_newest_snapshots(t):
     return state.newest(t("events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("""
+with p as (select user_id, floor(value)::bigint as batch, max(epoch_us(ts))::bigint as read_us from events group by 1, 2),
+b as (select *, max(read_us) over (partition by user_id order by batch rows between unbounded preceding and 1 preceding) as before from p)
+select user_id, batch, read_us from b where before is null or read_us > before
+""")
+def k_accepted_snapshots(t):
+    """Events arrive by their measured value, each batch a unit of it; a key's batch passes if it brings a newer time than all before."""
+    rows = t("events").select("user_id", F.floor("value").cast("long").alias("batch"), F.unix_micros(F.col("ts").cast("timestamp")).alias("read_us"))
+    return state.accepted(rows, "batch", "user_id", "read_us")

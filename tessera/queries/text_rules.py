@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import contract, rules
+from tessera.operators import contract, rules, schema
 from tessera.operators.violations import first_violation, together
 from tessera.queries.base import query
 
@@ -195,3 +195,88 @@ def x_safe_names(t):
 def e_last_word(t):
     part = fx.last_word(F.col("text"))
     return t("conversations").select("conv_id", "turn", part["lead"].alias("lead"), part["tail"].alias("tail"))
+
+
+@query(f"""
+with l as (select doc_id, repeat('/d/0', (n_chars % 12)::int) || '/text' as path, {_WORDS.format('text')} as n from documents)
+select doc_id, path, path || ': contains an unbroken text segment of ' || n || ' characters; the maximum is 14' as message from l where n > 14
+""")
+def r_unbroken_depths(t):
+    """Whole texts one to twenty-four levels deep, with the same runs under $schema, which are left out."""
+    levels = (F.col("n_chars") % 12).cast("int")
+    leaf = F.to_json(F.struct("text", F.col("text").alias("$schema"), F.struct(F.struct(F.col("text").alias("x")).alias("$schema")).alias("more")))
+    doc = F.concat(F.repeat(F.lit('{"d":['), levels), leaf, F.repeat(F.lit("]}"), levels))
+    docs = t("documents").select("doc_id", F.parse_json(doc).alias("doc"))
+    return schema.unbroken_leaves(docs, "doc_id", "doc", [F.lit(0)], 14).select(F.col("subject").cast("long").alias("doc_id"), "path", "message")
+
+
+_BLANK = "not regexp_matches(s, '[^\\t\\n\\x0B\\f\\r \\x{A0}\\x{3000}]')"
+
+
+@query(f"""
+with d as (select doc_id, source, lang, n_chars, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, x, i, '/sections/readingComprehension/' || i as spot from (select doc_id, unnest(ls) as x, generate_subscripts(ls, 1) - 1 as i from d)),
+w as (select doc_id, spot, unnest(string_split(x, ' ')) as s, generate_subscripts(string_split(x, ' '), 1) - 1 as k from l),
+texts as (
+  select doc_id, '/title' as path, ls[1] as s, 100 as most from d union all select doc_id, '/readingRange', source, 80 from d where source <> 'src4' union all select doc_id, '/framingNote', text, 400 from d
+  union all select doc_id, spot || '/prompt', x, 700 from l union all select doc_id, spot || '/responseGuidance/' || k, s, 180 from w
+  union all select doc_id, '/sections/criticalThinkingAndAnalysis/0/prompt', ls[1], 700 from d where lang <> 'es' union all select doc_id, '/sections/paragraphWriting/0/prompt', ls[1], 700 from d where source <> 'src2'
+  union all select doc_id, '/sections/vocabulary/0/' || u.f, case u.n when 1 then lang when 2 then ls[1] else text end, u.most
+    from d, (values ('term', 1, 60), ('koreanMeaning', 1, 100), ('definition', 2, 600), ('bookExcerpt', 2, 600), ('excerptContext', 3, 700)) u(f, n, most) where source <> 'src1'
+), p as (
+  select doc_id, path, 'must NOT have fewer than 1 characters' as problem from texts where length(s) = 0 union all select doc_id, path, 'must match pattern "\\S"' from texts where {_BLANK}
+  union all select doc_id, path, 'must NOT have more than ' || most || ' characters' from texts where length(s) > most
+  union all select doc_id, '/schemaVersion', 'must be equal to constant' from d where source = 'src3' union all select doc_id, '/lessonNumber', 'must be integer' from d where lang = 'fr' and n_chars % 2 = 1
+  union all select doc_id, '/lessonNumber', 'must be >= 1' from d where case when lang = 'fr' then n_chars / 2 else n_chars % 7 end < 1
+  union all select doc_id, '/readingRange', 'must have required property ''readingRange''' from d where source = 'src4' union all select doc_id, '/readingRange', 'must be equal to one of the allowed values' from d where source not in ('src0', 'src2', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9')
+  union all select doc_id, '/note', 'must NOT have additional properties' from d where lang = 'de' union all select doc_id, '/sections/criticalThinkingAndAnalysis', 'must NOT have fewer than 1 items' from d where lang = 'es'
+  union all select doc_id, '/sections/paragraphWriting', 'must be array' from d where source = 'src2' union all select doc_id, '/sections/vocabulary', 'must have required property ''vocabulary''' from d where source = 'src1'
+  union all select doc_id, spot || '/responseSpace/pages', 'must NOT have additional properties' from l where i % 4 = 0 and length(x) % 2 = 1 union all select doc_id, spot || '/responseSpace/lines', 'must be >= 0' from l where i % 4 = 1 and length(x) < 40
+  union all select doc_id, spot || '/responseSpace/pages', 'must have required property ''pages''' from l where i % 4 = 2 union all select doc_id, spot || '/responseSpace', 'must match exactly one schema in oneOf' from l where i % 4 = 3
+  union all select doc_id, spot || '/responseGuidance', 'must NOT have more than 6 items' from l where len(string_split(x, ' ')) > 6
+)
+select doc_id, path, path || ': ' || problem as message from p
+""")
+def r_schema_faults(t):
+    """Lessons made of whole documents, a question a line, with faults of every kind; an enumeration is added to the rule table."""
+    text, n = F.coalesce("text", F.lit("")), F.col("n_chars")
+    first = lambda: F.get(F.split(text, "\n", -1), F.lit(0))
+    as_doc = lambda c: F.parse_json(F.to_json(c))
+
+    def question(x, i):
+        mode = F.element_at(F.array(*map(F.lit, ["short-answer", "custom-lines", "multiple-pages", "poster"])), i % 4 + 1)
+        pages, lines = F.when((i % 4 == 0) & (F.length(x) % 2 == 1), 2), F.when(i % 4 == 1, F.length(x) - 40)
+        return F.struct(x.alias("prompt"), F.struct(mode.alias("mode"), pages.alias("pages"), lines.alias("lines")).alias("responseSpace"), F.split(x, " ", -1).alias("responseGuidance"))
+
+    one = F.array(F.struct(first().alias("prompt")))
+    word = F.struct(F.col("lang").alias("term"), F.col("lang").alias("koreanMeaning"), first().alias("definition"), first().alias("bookExcerpt"), text.alias("excerptContext"))
+    sections = F.struct(
+        F.transform(F.split(text, "\n", -1), question).alias("readingComprehension"), F.when(F.col("lang") == "es", F.array().cast("array<struct<prompt:string>>")).otherwise(one).alias("criticalThinkingAndAnalysis"),
+        F.when(F.col("source") == "src2", F.parse_json(F.lit('"text"'))).otherwise(as_doc(one)).alias("paragraphWriting"), F.when(F.col("source") != "src1", F.array(word)).alias("vocabulary"),
+    )
+    lesson = F.struct(
+        F.when(F.col("source") == "src3", 2).otherwise(1).alias("schemaVersion"), F.when(F.col("lang") == "fr", n / 2).otherwise((n % 7).cast("double")).alias("lessonNumber"), first().alias("title"),
+        F.when(F.col("source") != "src4", F.col("source")).alias("readingRange"), text.alias("framingNote"), F.when(F.col("lang") == "de", F.col("lang")).alias("note"), sections.alias("sections"),
+    )
+    docs = t("documents").select("doc_id", as_doc(lesson).alias("doc"))
+    spark = docs.sparkSession
+    table = schema.schema_table(spark).unionByName(spark.createDataFrame([("lesson", 999, "/readingRange", None, "enum", '["src0","src2","src5","src6","src7","src8","src9"]')], schema.RULE))
+    return schema.schema_violations(docs, "lesson", "doc_id", "doc", [F.lit(0)], table).select(F.col("subject").cast("long").alias("doc_id"), "path", "message")
+
+
+@query("""
+with p as (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, array_to_string(list_transform(string_split(url, '/')[4:], lambda x: x), '-') as last from pages),
+f as (select page_id, '/id' as path, 'must match pattern "^[a-z0-9]+(?:-[a-z0-9]+)*$"' as problem from p where not regexp_matches(last, '^[a-z0-9]+(?:-[a-z0-9]+)*$')
+  union all select page_id, '/bookTitle', 'must NOT have fewer than 1 characters' from p where title = '' union all select page_id, '/bookTitle', 'must match pattern "\\S"' from p where trim(title) = ''
+  union all select page_id, '/bookTitle', 'must NOT have more than 90 characters' from p where length(title) > 90 union all select page_id, '/author', 'must NOT have more than 80 characters' from p where length(url) > 80
+  union all select page_id, '/lessonFiles', 'must NOT have duplicate items' from p where title = last union all select page_id, '/lessonRange', 'must have required property ''lessonRange''' from p
+  union all select page_id, '/lessonFiles/' || k, 'must match pattern "^lessons/[a-z0-9][a-z0-9._-]*\\.json$"' from p, (values (0), (1)) u(k) where not regexp_matches('lessons/' || case k when 0 then last else title end || '.json', '^lessons/[a-z0-9][a-z0-9._-]*\\.json$'))
+select page_id, path, path || ': ' || problem as message from f
+""")
+def r_manifest_faults(t):
+    """Manifests made of pages: ids and files by pattern, repeated files, and a required field that none has."""
+    title, last = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.array_join(F.slice(F.split("url", "/", -1), 4, 1_000_000), "-")
+    files = F.array(*[F.concat(F.lit("lessons/"), x, F.lit(".json")) for x in (last, title)])
+    manifest = F.struct(F.lit(1).alias("schemaVersion"), last.alias("id"), title.alias("bookTitle"), F.col("url").alias("author"), files.alias("lessonFiles"))
+    docs = t("pages").select("page_id", F.parse_json(F.to_json(manifest)).alias("doc"))
+    return schema.schema_violations(docs, "manifest", "page_id", "doc", [F.lit(0)]).select(F.col("subject").cast("long").alias("page_id"), "path", "message")

@@ -38,6 +38,15 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
     return cells_of(spark.read.format("json").option("singleVariantColumn", "doc").option("multiLine", True).load(path))
 
 
+def read_snapshot_stream(spark: SparkSession, path: str, order: str = "$.readAt", workbook: str = "$.spreadsheetName", files_a_batch: int | None = None) -> DataFrame:
+    """A stream of workbook_id, read_ts and doc (JSON text) of snapshots as they arrive under a path, for ``validate_stream``."""
+    reader = spark.readStream.schema("doc variant").format("json").option("singleVariantColumn", "doc").option("multiLine", True)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    doc = F.col("doc")
+    return reader.load(path).select(F.try_variant_get(doc, workbook, "string").alias("workbook_id"), F.try_variant_get(doc, order, "long").alias("read_ts"), F.to_json(doc).alias("doc"))
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
     """Partitioned by tab, so that a reader of some tabs prunes the others."""
     cells.withColumn("value", F.to_json("value")).write.mode("overwrite").partitionBy("sheet").parquet(path)

@@ -1,3 +1,4 @@
+import json
 import zlib
 from types import SimpleNamespace
 
@@ -195,7 +196,7 @@ def test_leaks_of_any_length(spark):
 
 
 def test_every_leaf_is_walked(spark):
-    from tessera.operators import rules
+    from tessera.operators import schema as rules
 
     docs = spark.createDataFrame([("b", '{"guidance":["fine","also fine","' + "x" * 90 + '"],"deep":{"a":[{"t":"' + "y" * 81 + '"}]},"n":5}'), ("c", '{"a":"' + "z" * 80 + '"}')], "id string, j string").select("id", F.parse_json("j").alias("doc"))
     got = {(r.subject, r.path) for r in rules.unbroken_leaves(docs, "id", "doc", [F.lit(7)]).collect()}
@@ -212,6 +213,53 @@ def test_a_replaced_rule_table_decides(spark):
     assert check(None) == check(table) == 0 and check(tight) == 1
 
 
+def test_leaves_of_any_depth_are_walked(spark):
+    """Planted runs at depths 1 to 12, one at 41 (beyond what one plan opens), and runs under $schema, which are left out."""
+    from tessera.operators import schema
+
+    def deep(k, run):
+        return '{"d":[' * k + '{"t":"' + run + '","$schema":"' + "s" * 99 + '","x":{"$schema":["' + "s" * 99 + '"]},"e":{},"f":[]}' + "]}" * k
+
+    rows = [(f"n{k}", deep(k, "y" * (81 + k))) for k in range(12)] + [("far", deep(20, "z" * 99)), ("root", '"' + "r" * 90 + '"'), ("none", None), ("short", deep(3, "y" * 80)), ("$schemas", '{"$schemas":"' + "q" * 85 + '"}')]
+    docs = spark.createDataFrame(rows, "id string, j string").select("id", F.try_parse_json("j").alias("doc"))
+    got = {(r.subject, r.path) for r in schema.unbroken_leaves(docs, "id", "doc", [F.lit(7)]).collect()}
+    assert got == {(f"n{k}", "/d/0" * k + "/t") for k in range(12)} | {("far", "/d/0" * 20 + "/t"), ("root", ""), ("$schemas", "/$schemas")}
+
+
+def test_schema_rules_are_data(spark):
+    """One document with a fault of every kind, and what replaced tables make of others."""
+    from tessera.operators import schema
+
+    lesson = {
+        "schemaVersion": 2, "title": " ", "extra": 1, "$schema": 5, "lessonNumber": 0.5, "framingNote": "n" * 401, "studentInstructions": None,
+        "sections": {
+            "readingComprehension": [{"prompt": "p", "responseSpace": {"mode": "poster"}}, {"prompt": "", "responseSpace": {"mode": "custom-lines", "lines": -1, "pages": 3}, "responseGuidance": list("abcdefg")}, {"prompt": "p", "responseSpace": {"mode": "multiple-pages"}}],
+            "criticalThinkingAndAnalysis": [], "paragraphWriting": "text", "vocabulary": [{"term": "t", "koreanMeaning": "k", "definition": "d", "bookExcerpt": "b", "excerptContext": "c", "odd": []}],
+        },
+    }
+    manifest = {"schemaVersion": 1, "id": "Not An Id", "bookTitle": "t", "author": "a", "lessonRange": "1", "lessonFiles": ["lessons/a.json", "lessons/a.json", "../b.json"]}
+    docs = spark.createDataFrame([("lesson", json.dumps(lesson)), ("manifest", json.dumps(manifest)), ("none", None), ("list", "[]")], "id string, j string").select("id", F.try_parse_json("j").alias("doc"))
+    got = {(r.subject, r.path, r.message.split(": ", 1)[1]) for kind in ("lesson", "manifest") for r in schema.schema_violations(docs.where((F.col("id") == kind) | (F.col("id") == "none")), kind, "id", "doc", [F.lit(8)]).collect()}
+    rc = "/sections/readingComprehension"
+    assert got == {
+        ("lesson", "/schemaVersion", "must be equal to constant"), ("lesson", "/title", 'must match pattern "\\S"'), ("lesson", "/extra", "must NOT have additional properties"), ("lesson", "/$schema", "must be string"),
+        ("lesson", "/lessonNumber", "must be integer"), ("lesson", "/lessonNumber", "must be >= 1"), ("lesson", "/framingNote", "must NOT have more than 400 characters"), ("lesson", "/studentInstructions", "must be string"),
+        ("lesson", "/readingRange", "must have required property 'readingRange'"), ("lesson", f"{rc}/0/responseSpace", "must match exactly one schema in oneOf"), ("lesson", f"{rc}/1/prompt", "must NOT have fewer than 1 characters"),
+        ("lesson", f"{rc}/1/prompt", 'must match pattern "\\S"'), ("lesson", f"{rc}/1/responseSpace/lines", "must be >= 0"), ("lesson", f"{rc}/1/responseSpace/pages", "must NOT have additional properties"),
+        ("lesson", f"{rc}/1/responseGuidance", "must NOT have more than 6 items"), ("lesson", f"{rc}/2/responseSpace/pages", "must have required property 'pages'"), ("lesson", "/sections/criticalThinkingAndAnalysis", "must NOT have fewer than 1 items"),
+        ("lesson", "/sections/paragraphWriting", "must be array"), ("lesson", "/sections/vocabulary/0/odd", "must NOT have additional properties"), ("manifest", "/id", f'must match pattern "{schema.ID_PATTERN}"'),
+        ("manifest", "/lessonFiles", "must NOT have duplicate items"), ("manifest", "/lessonFiles/2", f'must match pattern "{schema.FILE_PATTERN}"'),
+    }
+    assert schema.schema_violations(docs.where("id = 'list'"), "lesson", "id", "doc", []).first().message == "/: must be object"
+    table = schema.schema_table(spark)
+    looser = table.where("not (shape = '/title') and not (check = 'closed')")
+    own = spark.createDataFrame([("note", 0, "/a/*", None, "enum", '["x","7"]'), ("note", 1, "/a", None, "max_items", "3")], schema.RULE)
+    paths = {r.path for r in schema.schema_violations(docs.where("id = 'lesson'"), "lesson", "id", "doc", [], looser).collect()}
+    assert "/title" not in paths and "/extra" not in paths and "/schemaVersion" in paths
+    notes = spark.createDataFrame([("n", '{"a":["x",7,"y",8],"b":1}')], "id string, j string").select("id", F.parse_json("j").alias("doc"))
+    assert sorted(r.path for r in schema.schema_violations(notes, "note", "id", "doc", [], own).collect()) == ["/a", "/a/2", "/a/3"]
+
+
 def next_fit_by_hand(sizes, budget):
     out, no, held, n = [], 0, 0, 0
     for x in sizes:
