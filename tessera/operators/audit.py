@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import canonical
+from tessera.functions.text import canonical, computed
 from tessera.operators.violations import found, together
+from tessera.sources.shared import settle
 
 #: Fixed values of the page format, in points, and the markers that pages carry.
 A4, TOLERANCE, HEADER_POINTS = (595.276, 841.89), 1.0, 55
@@ -124,32 +125,55 @@ def step_order(docs: DataFrame, texts: DataFrame, steps: list[int] | None = None
 RUN_WORDS, RUN_CHARS = 4, 8
 
 
-def leaks(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
-    """(key, passage_key) of each text and passage that it contains, for any number of passages.
+def _word_runs(hashes: str, w: int, first: int = 1, less: int = 0) -> Column:
+    """Hashes of every ``w`` words in a row, from hashes of the words; ``less`` words at the end are left out."""
+    starts = F.slice(hashes, F.lit(first), F.greatest(F.size(hashes) - (first - 1) - less - w + 1, F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(F.col(hashes), i + (first - 1 + k)) for k in range(1, w)], F.lit(w)))
+
+
+def _char_runs(text: str, w: int) -> Column:
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - w + 1, F.lit(1))), lambda k: F.length(text) >= w)
+    return F.transform(starts, lambda k: F.xxhash64(F.substring(text, k, F.lit(w)), F.lit(-w)))
+
 
-    The words inside a passage (its first and last may be cut by what stands around
-    it) or, of one or two words, its first characters are hashed, as are all runs of
-    as many words or characters of the texts.  Only ids and hashes are spread and
-    joined; the texts of what met are fetched and held to ``contains``.  Null and
-    empty passages are in no text.
+def leak_candidates(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+    """(_t, _p) of each text and passage that share the passage's rarest run; every text that contains it is there.
+
+    Every run of words inside a passage (its first and last may be cut by what stands
+    around it) or, for one of one or two words, of its characters is looked for in the
+    texts, by hash.  Their places are counted, and a passage meets only
+    the texts of its rarest; one with a run that is nowhere meets none.  A run that all
+    texts share thus costs a count, whatever number of passages has it.
     """
     words = lambda c: F.split(c, r"\s+")
-    asked = passages.where(F.length(passage) > 0).select(F.col(passage_key).alias("_p"), F.col(passage).alias("_passage")).withColumn("_words", words(F.col("_passage")))
-    whole = F.size("_words") >= 3
-    width = F.when(whole, F.least(F.size("_words") - 2, F.lit(RUN_WORDS))).otherwise(-F.least(F.length("_passage"), F.lit(RUN_CHARS)))
-    run = F.when(whole, F.array_join(F.slice("_words", F.lit(2), F.greatest(width, F.lit(1))), " ")).otherwise(F.substring("_passage", F.lit(1), -width))
-    asked = asked.select("_p", "_passage", width.alias("_width"), F.xxhash64(run, width).alias("_run"))
+    hashes = lambda c: F.transform(words(c), lambda x: F.xxhash64(x))
+    asked = computed(passages.where(F.length(passage) > 0).select(F.col(passage_key).alias("_p"), F.col(passage).alias("_passage")), _hashes=hashes(F.col("_passage")))
+    whole = F.size("_hashes") >= 3
+    width = F.when(whole, F.least(F.size("_hashes") - 2, F.lit(RUN_WORDS))).otherwise(-F.least(F.length("_passage"), F.lit(RUN_CHARS)))
+    asked = asked.withColumn("_width", width)
     widths = sorted(r[0] for r in asked.select("_width").distinct().collect())  # at most RUN_WORDS + RUN_CHARS
-    own = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_t"), F.col(text).alias("_text")).select("*", words(F.col("_text")).alias("_words"))
+    none = F.array().cast("array<bigint>")
+    inner = F.coalesce(*[F.when(F.col("_width") == w, _word_runs("_hashes", w, 2, 1) if w > 0 else _char_runs("_passage", -w)) for w in widths], none)
+    runs = settle(asked.select("_p", F.posexplode(inner).alias("_place", "_run")), "leak-runs")
+    own = computed(texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_t"), F.col(text).alias("_text")), _hashes=hashes(F.col("_text")))
+    spread = own.select("_t", F.explode(F.concat(none, *[_word_runs("_hashes", w) if w > 0 else _char_runs("_text", -w) for w in widths])).alias("_run"))
+    met = settle(spread.join(runs.select("_run").distinct(), "_run", "left_semi"), "leak-met")
+    held = met.groupBy("_run").agg(F.count("*").alias("_held"))
+    rarest = F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "_place", "_run")).alias("r")
+    anchors = runs.join(held, "_run", "left").groupBy("_p").agg(rarest).where("r.held > 0").select("_p", F.col("r._run").alias("_run"))
+    return met.join(anchors, "_run").select("_t", "_p").distinct()
 
-    def runs(w: int) -> Column:
-        if w > 0:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - w + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("_words", k, w), " "), F.lit(w)))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") + w + 1, F.lit(1))), lambda k: F.xxhash64(F.substring("_text", k, F.lit(-w)), F.lit(w)))
 
-    spread = own.select("_t", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[runs(w) for w in widths]))).alias("_run"))
-    met = spread.join(asked.select("_run", "_p").distinct(), "_run").select("_t", "_p").distinct()
-    found = met.join(asked.select("_p", "_passage"), "_p").join(own.select("_t", "_text"), "_t").where(F.contains("_text", "_passage"))
+def leaks(texts: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+    """(key, passage_key) of each text and passage that it contains, for any number of passages.
+
+    Only ids and hashes are spread and joined (``leak_candidates``); the texts of what
+    met are fetched and held to ``contains``.  Null and empty passages are in no text.
+    """
+    met = leak_candidates(texts, passages, key, text, passage_key, passage)
+    asked = passages.select(F.col(passage_key).alias("_p"), F.col(passage).alias("_passage"))
+    own = texts.select(F.col(key).alias("_t"), F.col(text).alias("_text"))
+    found = met.join(asked, "_p").join(own, "_t").where(F.contains("_text", "_passage"))
     return found.select(F.col("_t").alias(key), F.col("_p").alias(passage_key)).distinct()
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import contract
-from tessera.operators.violations import first_violation
+from tessera.operators import contract, schema
+from tessera.operators.violations import first_violation, found
 from tessera.queries.base import query
 from tessera.sources import grids, packages
+from tessera.sources.shared import session_dir
 
 
 def _book(fault: int) -> str:
@@ -95,3 +97,58 @@ def c_listed_files_missing(t):
     listed = rows.groupBy("workbook_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "file"))), lambda x: x["file"]).alias("lesson_files"))
     gone = packages.missing_files(listed, rows.where("role = 'user'"))
     return gone.select(F.col("workbook_id").alias("conv_id"), F.col("position").cast("long").alias("position"), "file")
+
+
+@query("""
+with l as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as pos, turn, role, text, length(text) as n, turn // 2 as num from conversations),
+lists as (select conv_id, count(*) as files from l group by 1 having count(*) filter (where role = 'system') > 0),
+parsed as (select * from l where n % 7 <> 0 and n % 5 <> 0),
+v as (
+  select conv_id, 0 as part, 0::bigint as pos, 3 as kind, 'schema' as rule, '/lessonFiles/' || files as path from lists
+  union all select conv_id, 1, files, 0, 'leaves_package', '../x.json' from lists
+  union all select conv_id, 1, pos, 1, 'missing_file', turn || '.json' from l where n % 7 = 0
+  union all select conv_id, 1, pos, 1, 'too_large', turn || '.json' from l where n % 7 <> 0 and n % 5 <> 0 and strlen(text) > 600
+  union all select conv_id, 1, pos, 2, 'malformed_json', turn || '.json' from l where n % 7 <> 0 and n % 5 = 0
+  union all select conv_id, 1, pos, 3, 'schema', turn || '.json/lessonNumber' from parsed where strlen(text) <= 600 and num < 1
+  union all select conv_id, 1, pos, 3, 'schema', turn || '.json/title' from parsed where strlen(text) <= 600 and n > 100
+  union all select conv_id, 1, pos, 6, 'repeated_lesson', turn || '.json' from parsed a where strlen(text) <= 600 and exists (select 1 from parsed b where strlen(b.text) <= 600 and b.conv_id = a.conv_id and b.num = a.num and b.pos < a.pos)
+)
+select conv_id, count(*)::bigint as violations, arg_min(rule, (part, pos, kind, path)) as first_rule, arg_min(path, (part, pos, kind, path)) as first_path from v group by 1
+""")
+def s_package_files(t):
+    """Packages written as files, a turn a lesson, and read back: files too large, missing or no JSON, and what the rules say, in the order of a reader."""
+    turns = t("conversations")
+    spark, n = turns.sparkSession, F.length("text")
+    name = F.concat(F.col("turn").cast("string"), F.lit(".json"))
+    pad = F.repeat(F.lit(" "), F.when(F.octet_length("text") > 600, 20_000).otherwise(0))
+    lesson = F.concat(F.to_json(F.struct(F.floor(F.col("turn") / 2).alias("lessonNumber"), F.col("text").alias("title"))), pad)
+    lessons = turns.where(n % 7 != 0).select(F.col("conv_id").cast("string").alias("package"), name.alias("file"), F.when(n % 5 == 0, F.concat(F.lit("no JSON: "), "text")).otherwise(lesson).alias("value"))
+    files = F.transform(F.array_sort(F.collect_list(F.struct("turn", name.alias("name")))), lambda x: x["name"])
+    lists = turns.groupBy(F.col("conv_id").cast("string").alias("package")).agg(F.concat(files, F.when(F.max(F.col("role") == "system"), F.array(F.lit("../x.json"))).otherwise(F.array().cast("array<string>"))).alias("lessonFiles"))
+    manifests = lists.select("package", F.lit(packages.MANIFEST_FILE).alias("file"), F.to_json(F.struct("lessonFiles")).alias("value"))
+    root = f"{session_dir(spark)}/package-files-{uuid.uuid4().hex}"
+    lessons.unionByName(manifests).write.partitionBy("package", "file").text(root)
+    rule = lambda kind, nth, shape, check, bound: (kind, nth, shape, None, check, bound)
+    table = spark.createDataFrame([rule("lesson", 0, "/lessonNumber", "minimum", "1"), rule("lesson", 1, "/title", "max_length", "100"), rule("manifest", 0, "/lessonFiles/*", "pattern", r"^[0-9]+\.json$")], schema.RULE)
+    bad = packages.package_violations(packages.read_package_files(spark, root, packages.PARTITIONS, 10_000), table)
+    return first_violation(bad).select(F.col("subject").cast("long").alias("conv_id"), F.col("violations").cast("long").alias("violations"), F.col("rule").alias("first_rule"), F.col("path").alias("first_path"))
+
+
+@query("""
+with d as (select doc_id, source, text, length(text) as n from documents),
+bad as (select distinct source from d where n > 12000)
+select source, count(*)::bigint as rows, sum(case when n % 3 = 0 then n + 3 else n end)::bigint as chars, case when max((n % 3 = 0)::int) = 1 then 2 else 1 end as version from d where source not in (select source from bad) group by 1
+""")
+def s_published(t):
+    """Each source's documents are published twice, the second time with some texts changed; sources with an over-long text are not, and a run without a change writes none."""
+    docs = t("documents").select("doc_id", "source", "text")
+    spark = docs.sparkSession
+    bad = found(docs, F.col("source"), F.length("text") > 12_000, [F.col("doc_id")], "too_long", F.lit("/text"), F.lit("is too long"))
+    path = f"{session_dir(spark)}/published-{uuid.uuid4().hex}"
+    nothing = lambda rows: found(rows, F.col("source"), F.col("text").isNull(), [], "null", F.lit("/text"), F.lit("is null"))
+    packages.write_packages(docs, bad, path, "source", nothing)
+    later = docs.withColumn("text", F.when(F.length("text") % 3 == 0, F.concat("text", F.lit("end"))).otherwise(F.col("text")))
+    for _ in range(2):
+        packages.write_packages(later, bad, path, "source", nothing)
+    rows = packages.read_published(spark, path, "source").groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+    return rows.join(packages.published(spark, path).select("source", "version"), "source")

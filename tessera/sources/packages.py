@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import counted
-from tessera.operators.contract import duplicates
-from tessera.operators.violations import found, without
+from tessera.operators.contract import duplicates, leaves_directory
+from tessera.operators.schema import schema_violations, unbroken_leaves
+from tessera.operators.violations import found, together, without
+from tessera.sources.shared import discard_path, settle
 
 _SPACE = "struct<mode:string,lines:bigint,pages:bigint>"
 _ASK = f"struct<prompt:string,quotation:string,responseSpace:{_SPACE},responseGuidance:array<string>,teacherGuidance:string>"
@@ -46,9 +50,131 @@ def repeated_lessons(files: DataFrame) -> DataFrame:
     return found(again, F.col("workbook_id"), F.lit(True), [F.lit(0), F.col("position")], "repeated_lesson", F.col("file"), message)
 
 
-def write_packages(documents: DataFrame, violations: DataFrame, path: str, key: str = "workbook_id") -> None:
-    """Publish the workbooks about which nothing was found, partitioned by id."""
-    without(documents, key, violations).write.mode("overwrite").partitionBy(key).json(path)
+#: Where a file's path says its package and its name in it: groups 1 and 2.
+FOLDERS = r"^(.*?)/((?:lessons/)?[^/]+\.json)$"
+#: The same for files that Spark writes, a folder a file: partitionBy("package", "file").
+PARTITIONS = r"/package=([^/]+)/file=([^/]+)/[^/]+$"
+MANIFEST_FILE = "workbook.json"
+
+
+def read_package_files(spark: SparkSession, root: str, pattern: str = FOLDERS, most_bytes: int | None = None) -> DataFrame:
+    """package, file, bytes, malformed and doc (VARIANT) of all files under ``root``, manifests and lessons, in one scan.
+
+    A file over ``most_bytes`` is not opened: its size is known from the listing, and
+    it comes with neither text nor doc.  What is no JSON is ``malformed``.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", True)
+    size, path = F.col("_metadata.file_size"), F.col("_metadata.file_path")
+    small = reader().text(root, wholetext=True)
+    if most_bytes is not None:
+        small = small.where(size <= most_bytes)
+    out = small.select(path.alias("path"), size.alias("bytes"), "value", F.try_parse_json("value").alias("doc"))
+    out = out.select("path", "bytes", F.lit(False).alias("too_large"), F.col("doc").isNull().alias("malformed"), "doc")
+    if most_bytes is not None:
+        large = reader().format("binaryFile").load(root).select("path", F.col("length").alias("bytes")).where(F.col("bytes") > most_bytes)
+        out = out.unionByName(large.select("path", "bytes", F.lit(True).alias("too_large"), F.lit(False).alias("malformed"), F.lit(None).cast("variant").alias("doc")))
+    part = lambda k: F.url_decode(F.regexp_extract("path", pattern, k))
+    return out.select(part(1).alias("package"), part(2).alias("file"), "bytes", "too_large", "malformed", "doc")
+
+
+def package_violations(files: DataFrame, table: DataFrame | None = None, longest: int = 80) -> DataFrame:
+    """All violations of packages, ranked as a reader meets them: the manifest, then its lessons in its order.
+
+    Of a manifest: missing, too large, no JSON, the schema, unbroken texts.  Of a
+    lesson: a path that leaves the package, a missing or too large file, no JSON, the
+    schema, unbroken texts, a number that an earlier lesson has.  Subjects are packages;
+    ``table`` replaces the schema's rules.
+    """
+    package = F.col("package")
+    files = settle(files, "package-files")  # every check reads it; the files themselves are opened once
+    manifests, lessons = files.where(F.col("file") == MANIFEST_FILE), files.where(F.col("file") != MANIFEST_FILE)
+    listed = manifests.select("package", F.posexplode(F.try_variant_get("doc", "$.lessonFiles", "array<string>")).alias("position", "file"))
+    own = listed.join(lessons, ["package", "file"])
+    at = lambda check, *more: [F.lit(1), F.col("position"), F.lit(check), *more]
+    none = lessons.select("package").distinct().join(manifests.select("package"), "package", "left_anti")
+    gone = listed.where(~leaves_directory(F.col("file"))).join(lessons.select("package", "file"), ["package", "file"], "left_anti")
+    numbered = own.withColumn("number", F.try_variant_get("doc", "$.lessonNumber", "bigint")).where("number is not null")
+    again = duplicates(numbered.select("package", "position", "file", "number"), ["package", "number"], ["position", "file"])
+    in_file = lambda v: v.withColumns({"path": F.concat(F.split_part("subject", F.lit("\n"), F.lit(2)), "path"), "subject": F.split_part("subject", F.lit("\n"), F.lit(1))})
+    read = own.where("doc is not null").withColumn("both", F.concat_ws("\n", "package", "file"))
+    return together(
+        found(none, package, F.lit(True), [F.lit(0), F.lit(0), F.lit(0)], "missing_manifest", F.lit(MANIFEST_FILE), F.lit(f"{MANIFEST_FILE}: does not exist")),
+        found(manifests, package, F.col("too_large"), [F.lit(0), F.lit(0), F.lit(1)], "too_large", F.col("file"), F.format_string("%s: has %d bytes", "file", "bytes")),
+        found(manifests, package, F.col("malformed"), [F.lit(0), F.lit(0), F.lit(2)], "malformed_json", F.col("file"), F.format_string("%s: is not valid JSON", "file")),
+        schema_violations(manifests, "manifest", "package", "doc", [F.lit(0), F.lit(0), F.lit(3)], table),
+        unbroken_leaves(manifests, "package", "doc", [F.lit(0), F.lit(0), F.lit(4)], longest),
+        found(listed, package, leaves_directory(F.col("file")), at(0), "leaves_package", F.col("file"), F.format_string("%s: leaves the package", "file")),
+        found(gone, package, F.lit(True), at(1), "missing_file", F.col("file"), F.format_string("%s: does not exist", "file")),
+        found(own, package, F.col("too_large"), at(1), "too_large", F.col("file"), F.format_string("%s: has %d bytes", "file", "bytes")),
+        found(own, package, F.col("malformed"), at(2), "malformed_json", F.col("file"), F.format_string("%s: is not valid JSON", "file")),
+        in_file(schema_violations(read, "lesson", "both", "doc", at(3), table)),
+        in_file(unbroken_leaves(read, "both", "doc", at(4), longest)),
+        found(again, package, F.lit(True), at(6), "repeated_lesson", F.col("file"), F.format_string("%s: has Lesson %d, as %s has", "file", "number", "earlier.file")),
+    )
+
+
+class NotPublished(Exception):
+    """What was staged did not stand the second check; what was published before is as it was."""
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that were published whole: each has a record, written last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName()) for s in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def digests(rows: DataFrame, key: str) -> DataFrame:
+    """A number and a count that tell the rows of each key apart from any others', whatever their order."""
+    one = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    return rows.groupBy(key).agg(F.sum(one).cast("string").alias("digest"), F.count("*").alias("rows"))
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """key, digest, rows and version of everything that is published at ``path``; None if nothing is."""
+    found_versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/published/{found_versions[-1]}") if found_versions else None
+
+
+def read_published(spark: SparkSession, path: str, key: str = "workbook_id") -> DataFrame | None:
+    """The rows that are published at ``path`` now, each key from the version that wrote it last."""
+    record = published(spark, path)
+    if record is None:
+        return None
+    wanted = record.select(key, "version")
+    return spark.read.parquet(f"{path}/data").join(wanted, [key, "version"], "left_semi").drop("version")
+
+
+def write_packages(documents: DataFrame, violations: DataFrame, path: str, key: str = "workbook_id", recheck: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Publish the workbooks about which nothing was found and whose rows differ from what is published.
+
+    They are written as a new version, which nobody reads yet, read back, held to the
+    digests of what was to be written and to ``recheck`` (which gives violations), and
+    then published by a record of where each workbook's rows are: readers follow the
+    newest record.  If a check fails, NotPublished is raised and what was published
+    stays.  Workbooks that are not in this run, or have violations now, stay as they
+    were.  Returns the record.
+    """
+    spark = documents.sparkSession
+    good = without(documents, key, violations)
+    before, known = published(spark, path), _versions(spark, path)
+    version = known[-1] + 1 if known else 1
+    wanted = digests(good, key)
+    changed = wanted if before is None else wanted.join(before.select(key, "digest", "rows"), [key, "digest", "rows"], "left_anti")
+    changed = settle(changed, "publish-changed")
+    stage = f"{path}/data/version={version}"
+    good.join(changed.select(key), key, "left_semi").write.mode("overwrite").parquet(stage)
+    staged = spark.read.schema(documents.schema).parquet(stage)
+    apart = digests(staged, key).join(changed, [key, "digest", "rows"], "left_anti").count() + changed.join(digests(staged, key), [key, "digest", "rows"], "left_anti").count()
+    bad = 0 if recheck is None else recheck(staged).count()
+    if apart or bad:
+        discard_path(spark, stage)
+        raise NotPublished(f"version {version}: {apart} workbooks differ from what was to be written, {bad} violations after reading back")
+    record = changed.withColumn("version", F.lit(version))
+    if before is not None:
+        record = record.unionByName(before.join(changed.select(key), key, "left_anti").select(record.columns))
+    record.write.mode("overwrite").parquet(f"{path}/published/{version}")
+    return spark.read.parquet(f"{path}/published/{version}")
 
 
 def read_notices(spark: SparkSession, path: str) -> DataFrame:

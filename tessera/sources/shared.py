@@ -42,16 +42,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def discard(settled: DataFrame) -> None:
     """Delete a settled table that nothing reads any more."""
-    _delete(settled.sparkSession, settled.settled_at)
+    discard_path(settled.sparkSession, settled.settled_at)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all settled tables of this application; results that read them must have been written."""
-    _delete(spark, session_dir(spark))
+    discard_path(spark, session_dir(spark))

@@ -117,7 +117,49 @@ def test_packages_and_notices(spark, tmp_path):
     (tmp_path / "n" / "hello.md").write_text('---\ntitle: "Hello there"\npostedAt: 2024-05-01T00:00:00Z\nimages:\n  - public/notices/a.png\n  - b.png\n---\nBody\n')
     note = packages.read_notices(spark, str(tmp_path / "n")).first()
     assert (note.id, note.title, note.images, note.body) == ("hello", "Hello there", ["public/notices/a.png", "b.png"], "Body\n")
-    writable = spark.createDataFrame([("a", 1), ("b", 2)], "workbook_id string, n int")
-    bad = spark.createDataFrame([("b", [1], "r", "p", "m")], "subject string, rank array<bigint>, rule string, path string, message string")
-    packages.write_packages(writable, bad, str(tmp_path / "out"))
-    assert [r.workbook_id for r in spark.read.json(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_publishing_is_staged(spark, tmp_path):
+    """A failing second check leaves what was published; only changed workbooks are written; others stay."""
+    path = str(tmp_path / "out")
+    table = lambda rows: spark.createDataFrame(rows, "workbook_id string, n int")
+    faults = lambda *books: spark.createDataFrame([(b, [1], "r", "p", "m") for b in books], "subject string, rank array<bigint>, rule string, path string, message string")
+    now = lambda: sorted(tuple(r) for r in packages.read_published(spark, path).select("workbook_id", "n").collect())
+    assert packages.read_published(spark, path) is None
+    packages.write_packages(table([("a", 1), ("a", 2), ("b", 2), ("c", 3)]), faults("b"), path)
+    assert now() == [("a", 1), ("a", 2), ("c", 3)]
+    with pytest.raises(packages.NotPublished):
+        packages.write_packages(table([("a", 9), ("d", 4)]), faults(), path, recheck=lambda staged: faults("d"))
+    assert now() == [("a", 1), ("a", 2), ("c", 3)] and not (tmp_path / "out" / "data" / "version=2").exists()
+    record = packages.write_packages(table([("a", 2), ("a", 1), ("d", 4), ("c", 5)]), faults("c"), path, recheck=lambda staged: faults())
+    assert now() == [("a", 1), ("a", 2), ("c", 3), ("d", 4)]
+    assert {(r.workbook_id, r.version) for r in record.collect()} == {("a", 1), ("c", 1), ("d", 2)}
+    (tmp_path / "out" / "published" / "2" / "_SUCCESS").unlink()  # a record that was not written whole is no record
+    assert now() == [("a", 1), ("a", 2), ("c", 3)]
+
+
+def test_package_files_are_read_in_one_scan(spark, tmp_path):
+    lesson = {"schemaVersion": 1, "lessonNumber": 1, "title": "t", "readingRange": "r", "sections": {"readingComprehension": [{"prompt": "p"}], "criticalThinkingAndAnalysis": [{"prompt": "p"}], "paragraphWriting": [{"prompt": "p"}], "vocabulary": [dict.fromkeys(["term", "koreanMeaning", "definition", "bookExcerpt", "excerptContext"], "w")]}}
+    manifest = {"schemaVersion": 1, "id": "a", "bookTitle": "T", "author": "A", "lessonRange": "1", "lessonFiles": ["lessons/1.json", "lessons/2.json"]}
+    def write(book, files):
+        for name, content in files.items():
+            (tmp_path / "p" / book / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "p" / book / name).write_text(content if isinstance(content, str) else json.dumps(content))
+    write("sound book", {"workbook.json": manifest, "lessons/1.json": lesson, "lessons/2.json": lesson | {"lessonNumber": 2}})
+    write("repeated", {"workbook.json": manifest, "lessons/1.json": lesson, "lessons/2.json": lesson | {"title": "x" * 90}})
+    write("missing", {"workbook.json": manifest, "lessons/1.json": lesson | {"title": "y" * 101}})
+    write("malformed", {"workbook.json": manifest, "lessons/1.json": "{no", "lessons/2.json": lesson | {"lessonNumber": 2}, "lessons/unlisted.json": "{no"})
+    write("unsafe", {"workbook.json": manifest | {"lessonFiles": ["../1.json"]}})
+    write("bare", {"lessons/1.json": lesson})
+    write("broken", {"workbook.json": "[", "lessons/1.json": lesson})
+    write("large", {"workbook.json": manifest, "lessons/1.json": lesson, "lessons/2.json": lesson | {"title": "z " * 5000}})
+    bad = packages.package_violations(packages.read_package_files(spark, str(tmp_path / "p"), most_bytes=5000))
+    got = {}
+    for r in bad.collect():
+        got.setdefault(r.subject.rsplit("/", 1)[1], []).append((list(r.rank), r.rule, r.path))
+    got = {k: [x[1:] for x in sorted(v)] for k, v in got.items()}
+    assert got == {
+        "repeated": [("unbroken_text", "lessons/2.json/title"), ("repeated_lesson", "lessons/2.json")], "missing": [("schema", "lessons/1.json/title"), ("unbroken_text", "lessons/1.json/title"), ("missing_file", "lessons/2.json")],
+        "malformed": [("malformed_json", "lessons/1.json")], "unsafe": [("schema", "/lessonFiles/0"), ("leaves_package", "../1.json")], "bare": [("missing_manifest", "workbook.json")], "broken": [("malformed_json", "workbook.json")],
+        "large": [("too_large", "lessons/2.json")],
+    }

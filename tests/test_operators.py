@@ -195,6 +195,17 @@ def test_leaks_of_any_length(spark):
     assert got == want and len(want) > 5
 
 
+def test_passages_that_begin_alike_meet_only_their_rarest_runs(spark):
+    """A thousand passages with one common beginning, which most texts hold; pairs that meet are counted."""
+    common = "this text was written by the same hand and begins as all the others do"
+    texts = [(k, f"{common} tail{k} goes on here for a while; {common} end") for k in range(400)] + [(400 + k, f"{common} nothing else {k}") for k in range(200)]
+    asked = [(k, f"{common} tail{k} goes on here") for k in range(1000)]
+    t, p = spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame(asked, "pid long, words string")
+    met = audit.leak_candidates(t, p, "id", "body", "pid", "words").count()
+    got = {tuple(r) for r in audit.leaks(t, p, "id", "body", "pid", "words").collect()}
+    assert got == {(k, k) for k in range(400)} and met <= 2 * len(got)
+
+
 def test_every_leaf_is_walked(spark):
     from tessera.operators import schema as rules
 
