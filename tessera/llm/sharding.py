@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import HOT_ROWS, HOT_SHARE, settle, unsigned_crc32
+from tessera.llm.common import HOT_ROWS, HOT_SHARE, settle, text_bytes, unsigned_crc32
 
 VIRTUAL_SLOTS = 8192
 SHARDS = 8
@@ -23,44 +23,39 @@ MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long, slot_rows long
 
 
 def virtual_slot(slots: int = VIRTUAL_SLOTS) -> Column:
-    """Slot of a record, from its id and text, so that repeated ids spread too.
-
-    Records without an id have nothing that tells copies apart: they are spread by
-    their place in the table, which holds for the one table that is measured.
-    """
-    apart = F.when(F.col("doc_id").isNull(), F.col("place"))
-    return F.pmod(F.xxhash64("doc_id", "text_crc32", "size", apart), F.lit(slots)).cast("int")
+    """Slot of a record, from its text alone, so that equal texts stay together."""
+    return F.pmod(F.col("text_hash"), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, place in the table and vslot of each document, with no text kept."""
+    """doc_id, size, text_crc32, a hash of the text, place in the table and vslot of each document, with no text kept."""
     return docs.select(
         "doc_id",
         F.monotonically_increasing_id().alias("place"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         unsigned_crc32(F.col("text")).alias("text_crc32"),
+        F.xxhash64(text_bytes(F.col("text"))).alias("text_hash"),
     ).withColumn("vslot", virtual_slot(slots))
 
 
-def settled_rows(docs: DataFrame, slots: int) -> DataFrame:
+def settled_rows(docs: DataFrame, slots: int, shards: int = SHARDS) -> DataFrame:
     """The measured documents, written once.
 
-    Rows of one id and one text that are more than a slot should hold, and all fall
-    into it, are spread by their places too: nothing tells such copies apart, and
-    neither a slot nor the task that ranks it may hold a large part of a table.  Hot
-    slots and hot rows are at most HOT_SHARE each, so both lists are broadcast.
+    Equal texts have one slot and so one shard.  Those that hold more than half of what
+    a shard should hold can't stay together if shards are to be even: their rows are
+    spread over all slots by id and place in the table.  At most 2 * ``shards`` texts,
+    and slots, are as large, so both lists are broadcast.
     """
     rows = settle(measured(docs, slots), "shard-rows")
     weights = settle(slot_weights(rows), "shard-weights")
-    total = weights.agg(F.coalesce(F.sum("slot_rows"), F.lit(0))).first()[0]
-    most = max(total // HOT_SHARE, HOT_ROWS)
-    slot = weights.where(F.col("slot_rows") > most).select("vslot")
+    total = weights.agg(F.coalesce(F.sum("slot_bytes"), F.lit(0))).first()[0]
+    most = total // (2 * shards)
+    slot = weights.where(F.col("slot_bytes") > most).select("vslot")
     if slot.isEmpty():
         return rows
-    key = ["doc_id", "text_crc32", "size"]
-    hot = rows.where("doc_id is not null").join(F.broadcast(slot), "vslot", "left_semi").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    found = rows.join(F.broadcast(hot), key, "left")
-    spread = F.pmod(F.xxhash64(*key, "place"), F.lit(slots)).cast("int")
+    large = rows.join(F.broadcast(slot), "vslot", "left_semi").groupBy("text_hash").agg(F.sum("size").alias("n"), F.count("*").alias("copies")).where((F.col("n") > most) & (F.col("copies") > 1))
+    found = rows.join(F.broadcast(large), "text_hash", "left")
+    spread = F.pmod(F.xxhash64("text_hash", "doc_id", "place"), F.lit(slots)).cast("int")
     return settle(found.withColumn("vslot", F.when(F.col("n").isNotNull(), spread).otherwise(F.col("vslot"))).select(rows.columns), "shard-spread")
 
 
@@ -154,17 +149,20 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Shard and place in the shard (``slot``, gapless from 0) of each row.
 
-    A row's place is the number of rows in earlier virtual slots of its shard
-    plus its rank inside its own virtual slot, so no task sees a whole shard.
+    A row's place is the number of rows in earlier virtual slots of its shard plus its
+    rank inside its own, so no task sees a whole shard.  A slot that holds very many
+    rows is ranked in parts, which follow each other.
     """
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    bounded = F.broadcast(slot_map.select("vslot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base"), "version"))
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(bounded, "vslot")
-        .withColumn("slot", F.col("base") + F.col("rank"))
-    )
+    total = slot_map.agg(F.coalesce(F.sum("slot_rows"), F.lit(0))).first()[0]
+    most = max(total // HOT_SHARE, HOT_ROWS)
+    own = F.broadcast(slot_map.select("vslot", "shard", "version", F.greatest(F.ceil(F.col("slot_rows") / most), F.lit(1)).cast("int").alias("parts")))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "place"), F.col("parts"))).otherwise(0).cast("int")
+    dealt = rows.join(own, "vslot").withColumn("part", part)
+    counts = dealt.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))  # at most a row a slot, and HOT_SHARE
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.broadcast(counts.select("vslot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    inside = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "place")
+    return dealt.withColumn("rank", F.row_number().over(inside) - 1).join(base, ["vslot", "part"]).withColumn("slot", F.col("base") + F.col("rank"))
 
 
 def _placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -177,9 +175,10 @@ def _placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Spread documents over shards of near-equal bytes; gives rows and the map.
 
-    Law ``bytes``: size is the UTF-8 length plus 1 (null text: 1).  Repeated rows
-    each get a place, many equal ones in several slots.  Null ids are spread by their place in the table.  An empty
-    table gives an empty result and an empty map.  Extra columns are not read.
+    Law ``bytes``: size is the UTF-8 length plus 1 (null text: 1).  Rows of equal texts,
+    a null and an empty one alike, lie in one shard, unless they hold more than half of
+    what a shard should.  Repeated rows each get a place; ids may be null.  An empty table
+    gives an empty result and an empty map.  Extra columns are not read.
 
     With ``map_path`` the newest map stored there says where slots go, so documents
     of a later table stay with those of an earlier one; slots that it lacks are
@@ -187,7 +186,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_
     stored.
     """
     spark = docs.sparkSession
-    rows = settled_rows(docs, slots)
+    rows = settled_rows(docs, slots, shards)
     weights = slot_weights(rows)
     stored = load_map(spark, map_path) if map_path else None
     if stored is None:
@@ -205,7 +204,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_
 def rebalance_documents(docs: DataFrame, map_path: str, shards: int, slots: int = VIRTUAL_SLOTS, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Rows and map after the newest map stored at ``map_path`` is edited for ``shards`` and stored as the next version."""
     spark = docs.sparkSession
-    rows = settled_rows(docs, slots)
+    rows = settled_rows(docs, slots, shards)
     stored = load_map(spark, map_path)
     if stored is None:
         raise ValueError(f"no slot map is stored at {map_path}")
