@@ -3,9 +3,7 @@
 Each lane of candidates holds one sorted list a dimension.  A query goes down the
 lists whose next stretch lowers its bound most, from the end that its sign favours,
 scores each vector that it meets for the first time, and stops once the best score
-that an unmet vector could have is below its kth score.  A stretch that has more
-entries than there are unmet vectors is not read: those are scored instead.  The
-lanes' results are merged.
+that an unmet vector could have is below its kth score.  The lanes' results are merged.
 """
 
 from __future__ import annotations
@@ -77,13 +75,10 @@ class Lists:
             step = int(stretch)
             drop = now - gain(every, np.minimum(depth + step, n - 1))
             chosen = np.lexsort((depth, -drop))[:LISTS_AT_ONCE]
-            if unmet <= step * len(chosen):
-                fresh = ~met
-            else:
-                places = np.minimum(depth[chosen, None] + np.arange(step), n - 1)
-                fresh = np.zeros(n, bool)
-                fresh[self.rising[live[chosen, None], np.where(falling[chosen, None], n - 1 - places, places)]] = True
-                fresh &= ~met
+            places = np.minimum(depth[chosen, None] + np.arange(step), n - 1)
+            fresh = np.zeros(n, bool)
+            fresh[self.rising[live[chosen, None], np.where(falling[chosen, None], n - 1 - places, places)]] = True
+            fresh &= ~met
             new = np.flatnonzero(fresh)
             met |= fresh
             scored, unmet = scored + len(new), unmet - len(new)
