@@ -20,6 +20,8 @@ from tessera.llm.common import settle, split_join
 
 #: Chunks have 4.5 lines in the mean.
 CLASSES = 3
+#: First and last line of a span as one number.
+SPAN_BASE = 1 << 31
 
 
 def line_hash(line: Column) -> Column:
@@ -82,8 +84,7 @@ def run_spans(passage_words: int) -> Column:
 
         return F.transform(filled, run)
 
-    back = F.reverse("filled")
-    return F.array_compact(F.concat(runs(F.col("filled_words"), F.col("filled"), False), runs(F.reverse("filled_words"), back, True)))
+    return F.array_compact(F.concat(runs(F.col("filled_words"), F.col("filled"), False), runs(F.col("back_words"), F.col("back"), True)))
 
 
 def spans(cuts: DataFrame, passage_words: int | None) -> DataFrame:
@@ -93,7 +94,10 @@ def spans(cuts: DataFrame, passage_words: int | None) -> DataFrame:
     out = one(cuts, "words", F.transform("line", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
     out = one(out, "filled", F.filter(F.sequence(F.lit(1), F.size("line")), lambda i: F.element_at("words", i) > 0))
     out = one(out, "filled_words", F.filter("words", lambda n: n > 0)).drop("words")
-    return one(out, "span", F.array_distinct(F.concat(chunk_spans(), run_spans(passage_words))))
+    out = one(one(out, "back", F.reverse("filled")), "back_words", F.reverse("filled_words"))  # computed once a text, not in the lambdas
+    # spans as single numbers: arrays of structs are made distinct by comparing all pairs
+    packed = F.array_distinct(F.transform(F.concat(chunk_spans(), run_spans(passage_words)), lambda s: s["a"].cast("long") * SPAN_BASE + s["b"]))
+    return one(out, "span", F.transform(packed, lambda p: F.struct(F.shiftright(p, 31).cast("int").alias("a"), F.pmod(p, F.lit(SPAN_BASE)).cast("int").alias("b"))))
 
 
 def span_text(s: Column) -> Column:
