@@ -231,6 +231,27 @@ def test_near_copies_are_held_to_their_similarity(spark):
         assert kept == sorted([r for r in rows if label[r[0]] == r[0]] + table[len(rows) + 5 :])
 
 
+def test_near_copies_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, f"one two three four five six {k % 2}", f"h{k}", k, "r", k) for k in range(4)], "doc_id long, text string, _h string, node long, row string, root long")
+    got = near_copies.keep_first(rows)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where("doc_id < 2").collect()))
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Forty and a hundred and sixty thousand lines in one text, with the passage rule."""
+    import time
+
+    took = []
+    for n in (40_000, 40_000, 160_000):
+        text = "\n".join(f"line {k} of a long text" for k in range(n))
+        table = docs(spark, [(1, text), (2, text[: len(text) // 2])])
+        began = time.time()
+        kept = {r.doc_id: len(r.text) for r in line_dedup.dedup(table, passage_words=50).collect()}
+        took.append(time.time() - began)
+        assert kept[1] == len(text) and kept[2] < 40
+    assert took[2] < 10 * took[1] + 5
+
+
 def test_large_groups_of_near_copies_are_split(spark):
     base = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(100)] + [(200, "a text of its own")]
@@ -522,6 +543,18 @@ def test_maps_are_stored_and_edited(spark, tmp_path):
     assert out.count() == 2 * len(was) and {r.doc_id: r.shard for r in out.where(f"doc_id < {10**9}").collect()} == {i: k for i, (k, _) in now.items()}
 
 
+def test_equal_texts_stay_in_one_shard(spark):
+    """Copies of a text, with other ids or none, null and empty alike, unless they outgrow half a shard."""
+    rows = [(k, f"text {k % 700} " + "w " * (k % 700 % 40)) for k in range(2100)] + [(None, "text 3 w w w "), (5000, None), (5001, ""), (None, None)] + [(k, "hot " * 40) for k in range(6000, 6600)]
+    out, _ = sharding.shard_documents(docs(spark, rows))
+    got = out.toPandas()
+    shards = got[got["size"] != len("hot ") * 40 + 1].groupby("text_crc32").shard.nunique()
+    hot = got[got["size"] == len("hot ") * 40 + 1]
+    held = got.groupby("shard")["size"].sum()
+    assert shards.max() == 1 and hot.shard.nunique() == 8 and held.max() - held.min() < 0.05 * held.mean()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+
+
 def test_rows_without_ids_spread_over_slots(spark):
     out, _ = sharding.shard_documents(docs(spark, [(None, "same")] * 400))
     by = {}
