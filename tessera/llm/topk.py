@@ -75,9 +75,10 @@ class Lists:
             step = int(stretch)
             drop = now - gain(every, np.minimum(depth + step, n - 1))
             chosen = np.lexsort((depth, -drop))[:LISTS_AT_ONCE]
-            places = np.minimum(depth[chosen, None] + np.arange(step), n - 1)
             fresh = np.zeros(n, bool)
-            fresh[self.rising[live[chosen, None], np.where(falling[chosen, None], n - 1 - places, places)]] = True
+            for j in chosen.tolist():
+                a, b = int(depth[j]), min(int(depth[j]) + step, n)
+                fresh[self.rising[live[j], n - b : n - a] if falling[j] else self.rising[live[j], a:b]] = True
             fresh &= ~met
             new = np.flatnonzero(fresh)
             met |= fresh
