@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import HOT_ROWS, HOT_SHARE, settle, text_bytes, unsigned_crc32
+from tessera.llm.common import HOT_SHARE, settle, text_bytes, unsigned_crc32
 
 VIRTUAL_SLOTS = 8192
 SHARDS = 8
+#: Rows of a slot that are ranked together, at least.
+PART_ROWS = 256
 MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long, slot_rows long"
 
 
@@ -154,7 +156,7 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     rows is ranked in parts, which follow each other.
     """
     total = slot_map.agg(F.coalesce(F.sum("slot_rows"), F.lit(0))).first()[0]
-    most = max(total // HOT_SHARE, HOT_ROWS)
+    most = max(total // HOT_SHARE, PART_ROWS)
     own = F.broadcast(slot_map.select("vslot", "shard", "version", F.greatest(F.ceil(F.col("slot_rows") / most), F.lit(1)).cast("int").alias("parts")))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "place"), F.col("parts"))).otherwise(0).cast("int")
     dealt = rows.join(own, "vslot").withColumn("part", part)
