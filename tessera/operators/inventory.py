@@ -49,14 +49,17 @@ def first_rule(paths: DataFrame, rules: list[tuple[str, str]] = CACHE_RULES, oth
 def first_rule_by_table(paths: DataFrame, rules: DataFrame, otherwise: str | None = None, path: str = "path") -> DataFrame:
     """The same with rules (rule_no, pattern, value) in a table of any size.
 
-    Every prefix of a path is looked up by an equi join, so rules aren't tried one
-    by one; the lowest rule number of the matches wins.
+    A path is looked up by an equi join, whole and by its beginnings of the lengths
+    that rules have, so rules aren't tried one by one and a path is spread over at
+    most as many rows as there are lengths; the lowest rule number of the matches wins.
     """
-    exact = rules.where(~F.col("pattern").endswith("*")).select(F.col("pattern").alias("key"), F.lit(False).alias("prefix"), "rule_no", "value")
-    prefix = rules.where(F.col("pattern").endswith("*")).select(F.expr("substring(pattern, 1, length(pattern) - 1)").alias("key"), F.lit(True).alias("prefix"), "rule_no", "value")
-    names = paths.select(path).distinct()
-    keys = F.concat(F.array(F.struct(F.col(path).alias("key"), F.lit(False).alias("prefix"))), F.transform(F.sequence(F.lit(0), F.length(path)), lambda n: F.struct(F.substring(F.col(path), F.lit(1), n).alias("key"), F.lit(True).alias("prefix"))))
-    hit = names.select(path, F.explode(keys).alias("k")).select(path, "k.*").join(exact.unionByName(prefix), ["key", "prefix"])
+    body = F.when(F.col("pattern").endswith("*"), F.expr("substring(pattern, 1, length(pattern) - 1)")).otherwise(F.col("pattern"))
+    keyed = rules.select(body.alias("key"), F.col("pattern").endswith("*").alias("prefix"), "rule_no", "value")
+    lengths = sorted(r[0] for r in keyed.where("prefix").select(F.length("key")).distinct().collect())  # bounded by the longest rule
+    fitting = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(path))
+    beginnings = F.transform(fitting, lambda n: F.struct(F.substring(F.col(path), F.lit(1), n).alias("key"), F.lit(True).alias("prefix")))
+    keys = F.concat(F.array(F.struct(F.col(path).alias("key"), F.lit(False).alias("prefix"))), beginnings)
+    hit = paths.select(path).distinct().select(path, F.explode(keys).alias("k")).select(path, "k.*").join(keyed, ["key", "prefix"])
     best = hit.groupBy(path).agg(F.min_by("value", "rule_no").alias("value"))
     return paths.join(best, path, "left").withColumn("value", F.coalesce("value", F.lit(otherwise)))
 

@@ -206,6 +206,16 @@ def test_passages_that_begin_alike_meet_only_their_rarest_runs(spark):
     assert got == {(k, k) for k in range(400)} and met <= 2 * len(got)
 
 
+def test_rules_by_table_spread_paths_by_rule_lengths_alone(spark):
+    """Twenty thousand rules of three lengths, an exact one, an empty prefix and ties, against trying them one by one."""
+    rules = [(k, f"/{k % 97:02d}/{k:05d}*" if k % 2 else f"/{k % 97:02d}*", f"v{k}") for k in range(20_000)] + [(20_000, "/exact", "e"), (20_001, "*", "all"), (20_002, "/exact", "late")]
+    paths = [f"/{k % 97:02d}/{k:05d}/x" for k in range(0, 20_000, 499)] + ["/exact", "/exactly", "", "/x"]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    made = inventory.first_rule_by_table(frame, spark.createDataFrame(rules, "rule_no int, pattern string, value string"))
+    fits = lambda p, r: p.startswith(r[:-1]) if r.endswith("*") else p == r
+    assert {r.path: r.value for r in made.collect()} == {p: next(v for _, r, v in rules if fits(p, r)) for p in paths}
+
+
 def test_every_leaf_is_walked(spark):
     from tessera.operators import schema as rules
 
