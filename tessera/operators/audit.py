@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import canonical, computed
+from tessera.operators import replay
 from tessera.operators.violations import found, together
 from tessera.sources.shared import settle
 
@@ -53,39 +54,12 @@ def leaves_page(run: Column | None = None) -> Column:
 
 
 def ruled_lines(ops: DataFrame) -> DataFrame:
-    """rules of each page, from its drawing operations replayed in order.
+    """rules of each page, from its drawing operations replayed in order, in ranges (``replay.drawn_rules``).
 
-    Save and restore keep a stack of (vertical position, colour); transforms move
-    the origin by their matrices; wide flat paths in the rule's colour count.  One
-    page's operations are folded natively, in one pass.
+    Save and restore keep a stack of (matrix, colour); transforms move the origin by
+    their matrices; wide flat paths in the rule's colour count.
     """
-    unit = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)])
-    state = F.struct(unit.alias("m"), F.lit("").alias("color"))
-    start = F.struct(state.alias("now"), F.array().cast("array<struct<m:array<double>,color:string>>").alias("stack"), F.array().cast("array<struct<page_y:double,width:double>>").alias("lines"))
-
-    def product(p: Column, q: Column) -> Column:
-        return F.array(
-            p[0] * q[0] + p[2] * q[1], p[1] * q[0] + p[3] * q[1], p[0] * q[2] + p[2] * q[3],
-            p[1] * q[2] + p[3] * q[3], p[0] * q[4] + p[2] * q[5] + p[4], p[1] * q[4] + p[3] * q[5] + p[5],
-        )
-
-    def step(a: Column, x: Column) -> Column:
-        now, stack, lines, op, args = a["now"], a["stack"], a["lines"], x["op"], x["args"]
-        deep = F.size(stack)
-        top = F.try_element_at(stack, F.greatest(deep, F.lit(1)))
-        moved = F.struct(product(now["m"], args).alias("m"), now["color"].alias("color"))
-        tinted = F.struct(now["m"].alias("m"), F.lower(x["color"]).alias("color"))
-        width, height = F.abs(args[2] - args[0]), F.abs(args[3] - args[1])
-        rule = (op == "path") & F.coalesce((F.size(args) >= 4) & (now["color"] == RULE_COLOR) & (width >= RULE_WIDTH) & (height <= RULE_HEIGHT), F.lit(False))
-        return F.struct(
-            F.when((op == "restore") & (deep > 0), top).when(op == "transform", moved).when(op == "stroke", tinted).otherwise(now).alias("now"),
-            F.when(op == "save", F.concat(stack, F.array(now))).when((op == "restore") & (deep > 0), F.slice(stack, F.lit(1), deep - 1)).otherwise(stack).alias("stack"),
-            F.when(rule, F.concat(lines, F.array(F.struct(now["m"][5].alias("page_y"), width.alias("width"))))).otherwise(lines).alias("lines"),
-        )
-
-    gathered = ops.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("idx", "op", "args", "color"))).alias("g"))
-    lines = F.aggregate("g", start, step, lambda a: F.reverse(F.array_sort(a["lines"])))
-    return gathered.select(*_PAGE, F.posexplode(lines).alias("idx", "r")).select(*_PAGE, "idx", "r.page_y", "r.width")
+    return replay.drawn_rules(ops, _PAGE, RULE_COLOR, RULE_WIDTH, RULE_HEIGHT)
 
 
 def rule_gaps(rules: DataFrame, keys: list[str], y: str = "page_y", order: list[str] | None = None) -> DataFrame:
