@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.operators import contract, schema
+from tessera.functions.text import is_blank
+from tessera.operators import assembly, contract, schema
 from tessera.operators.violations import first_violation, found
 from tessera.queries.base import query
 from tessera.sources import grids, packages
@@ -86,6 +88,91 @@ def p_import_rows(t):
     return out
 
 
+#: Items of a whole conversation's tabs and rows of its Lessons tab, as SQL.
+_WHOLE = """
+t as (select conv_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as turns, sum(length(coalesce(text, ''))) over (partition by conv_id) as total from conversations),
+tabs(k, tab, ask) as (values (0, 'Comprehension', 'Question'), (1, 'Analysis', 'Question'), (2, 'Writing', 'Writing prompt'), (3, 'Vocabulary', 'Vocabulary word')),
+items as (
+  select conv_id, k, tab, ask, 4 + turns - i as row, case when n % 11 = 0 then null when n % 13 = 0 then 9 else i // 2 + 1 end as num, case when n % 7 = 0 then 1 else 2 - i % 2 end as ord,
+    case when n % 17 = 0 or trim(text) = '' then 'is required.' when n % 19 = 0 then 'must contain text.' end as wrong, n
+  from t join tabs on n % 5 <> k where not (k = 3 and total % 6 = 1)),
+lessons as (select conv_id, 5 + (turns - 1) // 2 - i // 2 as row, case when n % 3 = 0 and i > 0 then i // 2 else i // 2 + 1 end as num from t where i % 2 = 0)
+"""
+
+
+def _whole_cells(t) -> DataFrame:
+    """Cells of a workbook a conversation: two turns a lesson, each turn an item of up to four tabs, last turn first.
+
+    Lengths of the texts plant the faults, several a book: bad and unknown lesson
+    numbers, repeated lessons and orders, blank prompts and ones that are no text,
+    lessons without items, and, by all texts together, a tab, a header or a row of metadata.
+    """
+    own, text = Window.partitionBy("conv_id"), F.coalesce("text", F.lit(""))
+    turns = t("conversations").select(F.col("conv_id").cast("string").alias("workbook_id"), text.alias("text"), F.length(text).alias("n"), (F.row_number().over(own.orderBy("turn")) - 1).alias("i"), F.count("*").over(own).alias("turns"), F.sum(F.length(text)).over(own).alias("total"))
+    n, i, first = F.col("n"), F.col("i"), contract.FIRST_DATA_ROW
+    plain = lambda x: (F.lit(x) if isinstance(x, str | int) else x).cast("variant")
+
+    def line(sheet: str, row, *values):
+        """The cells of one row, from column 2 on."""
+        return [F.struct(F.lit(sheet).alias("sheet"), row.cast("int").alias("row"), F.lit(c).alias("col"), plain(v).alias("value")) for c, v in enumerate(values, 2)]
+
+    pair = F.floor(i / 2)
+    number = F.when(n % 11 == 0, plain("x")).when(n % 13 == 0, plain(9)).otherwise(plain(pair + 1))
+    order = F.when(n % 7 == 0, 1).otherwise(2 - i % 2)
+    prompt = F.when(n % 17 == 0, plain(" ")).when(n % 19 == 0, F.parse_json(F.lit('{"day": 1}'))).otherwise(plain(F.col("text")))
+    rest = {"Comprehension": ["", "", "guide"], "Analysis": ["", "", "guide"], "Writing": [], "Vocabulary": ["m", "d", "e", "c"]}
+    none = F.array().cast("array<struct<sheet:string,row:int,col:int,value:variant>>")
+    given = [F.when(n % 5 != k, F.array(*line(tab, first + F.col("turns") - 1 - i, number, order, prompt, *more))).otherwise(none) for k, (tab, more) in enumerate(rest.items())]
+    lesson = F.when((n % 3 == 0) & (i > 0), pair).otherwise(pair + 1)
+    lessons = F.array(*line("Lessons", first + F.floor((F.col("turns") - 1) / 2) - pair, lesson, F.when(F.col("text") == "", "empty").otherwise(F.col("text")), "pages"))
+    book = [*line("Workbook", F.lit(first), F.concat(F.lit("Book "), F.col("workbook_id")), "Writer", "Series", "Lessons")]
+    again = [*line("Workbook", F.lit(first + 1), "Book", "Writer", "Series", "Lessons")]
+    heads = [F.struct(F.lit(tab).alias("sheet"), F.lit(contract.HEADER_ROW).alias("row"), F.lit(c).alias("col"), (F.when((F.col("total") % 7 == 2) & F.lit((tab, c) == ("Lessons", 3)), "Title").otherwise(h)).cast("variant").alias("value")) for tab, names in contract.HEADERS.items() for c, h in enumerate(names, 1)]
+    once = F.when(i == 0, F.concat(F.array(*heads), F.array(*book), F.when(F.col("total") % 4 == 0, F.array(*again)).otherwise(none))).otherwise(none)
+    cells = turns.select("workbook_id", "total", F.explode(F.concat(once, F.when(i % 2 == 0, lessons).otherwise(none), *given)).alias("c"))
+    return cells.where((F.col("c.sheet") != "Vocabulary") | (F.col("total") % 6 != 1)).select("workbook_id", "c.*")
+
+
+@query(f"""
+with {_WHOLE}, e as (select *, min(row) over (partition by conv_id, num) as earlier from lessons),
+o as (select *, min(row) over (partition by conv_id, k, num, ord) as earlier from items),
+v as (
+  select distinct conv_id, [1, 5, 0, 0, 0] as rank, 'missing_tab' as rule, 'Vocabulary' as path, 'Required tab "Vocabulary" is missing.' as message from t where total % 6 = 1
+  union all select distinct conv_id, [1, 1, 1, 3, 0], 'wrong_header', 'Lessons!4,3', '"Lessons" column 3 must be named "Lesson title"; found "Title".' from t where total % 7 = 2
+  union all select distinct conv_id, [2, 0, 0, 0, 0], 'one_metadata_row', 'Workbook', '"Workbook" must contain exactly one row; found 2.' from t where total % 4 = 0
+  union all select conv_id, [3, 0, row, 0, 1], 'repeated_lesson', 'Lessons!' || row || ',2', '"Lessons" row ' || row || ' repeats Lesson ' || num || ' from row ' || earlier || '.' from e where row > earlier
+  union all select conv_id, [4 + k, 0, row, 0, 0], 'cell', tab || '!' || row || ',2', '"' || tab || '" row ' || row || ', Lesson number must be a whole number of at least 1.' from items where num is null
+  union all select conv_id, [4 + k, 0, row, 2, 0], 'unknown_lesson', tab || '!' || row || ',2', '"' || tab || '" row ' || row || ' refers to Lesson ' || num || ', which is not on the Lessons tab.' from items a where num is not null and not exists (select 1 from lessons l where l.conv_id = a.conv_id and l.num = a.num)
+  union all select conv_id, [4 + k, 0, row, 3, 0], 'cell', tab || '!' || row || ',4', '"' || tab || '" row ' || row || ', ' || ask || ' ' || wrong from items where wrong is not null
+  union all select conv_id, [4 + k, 0, row, 99, 0], 'repeated_order', tab || '!' || row || ',3', '"' || tab || '" row ' || row || ' repeats order ' || ord || ' of Lesson ' || num || ' from row ' || earlier || '.' from o where num is not null and row > earlier
+  union all select conv_id, [4 + k, 1, row, 0, 0], 'no_items', tab, 'Lesson ' || num || ' needs at least one row on "' || tab || '".' from lessons l, tabs where not exists (select 1 from items a where a.conv_id = l.conv_id and a.k = tabs.k and a.num = l.num)
+),
+r as (select *, row_number() over (partition by conv_id order by rank, rule, path, message) as place, count(*) over (partition by conv_id) as violations from v)
+select conv_id, violations::bigint as violations, rule, path, message from r where place = 1
+""")
+def p_import_whole_problem(t):
+    """What an import of each whole conversation's workbook reports first, and how many problems it has."""
+    bad = contract.parse(_whole_cells(t))[1]
+    return first_violation(bad).select(F.col("subject").cast("long").alias("conv_id"), F.col("violations").cast("long").alias("violations"), "rule", "path", "message")
+
+
+@query(f"""
+with {_WHOLE}, p as (select *, row_number() over (partition by conv_id order by row) - 1 as position from lessons),
+x as (select *, row_number() over (partition by conv_id, k, num order by ord, row) - 1 as idx from items)
+select p.conv_id, p.position::bigint as position, p.num::bigint as lesson, x.tab as sheet, x.idx::bigint as idx, case when wrong is null then n end::bigint as chars from p join x on x.conv_id = p.conv_id and x.num = p.num
+""")
+def p_import_whole_sections(t):
+    """The assembled lessons of each whole conversation's workbook: their items in order, ties and repeated lessons included."""
+    made = assembly.lessons(contract.parse(_whole_cells(t))[0])
+    out = None
+    for tab, section in assembly.SECTIONS.items():
+        field = "term" if tab == "Vocabulary" else "prompt"
+        texts = F.transform(section, lambda x: F.when(~is_blank(x[field]), F.length(x[field])))  # noqa: B023
+        own = made.select(F.col("workbook_id").cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), F.col("lesson_number").alias("lesson"), F.lit(tab).alias("sheet"), F.posexplode(texts).alias("idx", "chars"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("idx", "chars")})
+
+
 @query("""
 with m as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as position from conversations)
 select conv_id, position::bigint as position, 'lessons/lesson-' || turn || '.json' as file from m where role <> 'user'
