@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tessera.functions.text import canonical, computed
 from tessera.operators import replay
 from tessera.operators.violations import found, together
-from tessera.sources.shared import settle
+from tessera.sources.shared import settle, small
 
 #: Fixed values of the page format, in points, and the markers that pages carry.
 A4, TOLERANCE, HEADER_POINTS = (595.276, 841.89), 1.0, 55
@@ -81,17 +81,25 @@ def footer_numbers(text: Column) -> Column:
     return F.when(text.rlike(FOOTER), F.struct(F.regexp_extract(text, FOOTER, 1).cast("long").alias("current"), F.regexp_extract(text, FOOTER, 2).cast("long").alias("total")))
 
 
-def marked_pages(texts: DataFrame, sections: list = SECTIONS) -> DataFrame:
-    """(doc_id, page, step, name) of pages with a footer and a section's band."""
-    one = F.array(*[F.when(F.contains("canonical", F.lit(band)), F.struct(F.lit(step).alias("step"), F.lit(name).alias("name"))) for step, band, name in sections])
-    return texts.where(footer_numbers(F.col("text")).isNotNull()).select(*_PAGE, "header_canonical", F.explode(F.array_compact(one)).alias("s")).select(*_PAGE, "header_canonical", "s.step", "s.name")
+def markers(spark: SparkSession) -> DataFrame:
+    """The table of sections, which a user can replace: step, band and running header as canonical text."""
+    return spark.createDataFrame(SECTIONS, "step int, band string, name string")
 
 
-def step_order(docs: DataFrame, texts: DataFrame, steps: list[int] | None = None) -> DataFrame:
-    """Documents whose steps, in page order, aren't 1, 2, 3, 4 for each lesson."""
-    wanted = F.flatten(F.array_repeat(F.array(*map(F.lit, steps or [s for s, _, _ in SECTIONS])), F.col("lesson_count").cast("int")))
-    seen = marked_pages(texts).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "step"))), lambda x: x["step"]).alias("seen"))
-    both = docs.join(seen, "doc_id", "left").withColumns({"seen": F.coalesce("seen", F.array().cast("array<int>")), "wanted": wanted})
+def marked_pages(texts: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, step, name) of pages with a footer and a section's band; ``sections`` replaces ``markers``."""
+    sections = markers(texts.sparkSession) if sections is None else small(sections)
+    known = sections.agg(F.array_sort(F.collect_list(F.struct("step", "band", "name")))).scalar()
+    own = texts.where(footer_numbers(F.col("text")).isNotNull()).select(*_PAGE, "canonical", "header_canonical", F.explode(known).alias("s"))
+    own = own.where(F.contains("canonical", F.col("s.band")))
+    return own.select(*_PAGE, "header_canonical", "s.step", "s.name")
+
+
+def step_order(docs: DataFrame, texts: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Documents whose steps, in page order, aren't all steps of ``sections`` in order, for each lesson."""
+    every = (markers(docs.sparkSession) if sections is None else small(sections)).agg(F.array_sort(F.collect_set(F.col("step").cast("int")))).scalar()
+    seen = marked_pages(texts, sections).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "step"))), lambda x: x["step"].cast("int")).alias("seen"))
+    both = docs.join(seen, "doc_id", "left").withColumns({"seen": F.coalesce("seen", F.array().cast("array<int>")), "wanted": F.flatten(F.array_repeat(every, F.col("lesson_count").cast("int")))})
     return both.where(F.col("seen") != F.col("wanted"))
 
 
@@ -178,8 +186,8 @@ def audit_report(docs: DataFrame, pages: DataFrame, violations: DataFrame) -> Da
     return out.select("doc_id", F.coalesce("pages", F.lit(0)).alias("pages"), (n == 0).alias("passed"), n.alias("violations"))
 
 
-def audit(docs: DataFrame, pages: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
-    """All violations of documents' pages, ranked as they are met page by page."""
+def audit(docs: DataFrame, pages: DataFrame, runs: DataFrame, rules: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """All violations of documents' pages, ranked as they are met page by page; ``sections`` replaces ``markers``."""
     texts = page_texts(pages, runs).withColumn("pages", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("foot", footer_numbers(F.col("text")))
     doc, page = F.col("doc_id"), F.col("page")
     at = F.concat(F.lit("page "), page.cast("string"))
@@ -194,9 +202,9 @@ def audit(docs: DataFrame, pages: DataFrame, runs: DataFrame, rules: DataFrame)
         found(rules.join(pages, _PAGE), doc, (F.col("page_y") < -TOLERANCE) | (F.col("page_y") > F.col("height") + TOLERANCE), [page, F.lit(3), F.col("idx")], "rule_outside", at, F.lit("a response rule leaves the page")),
         found(texts, doc, ~cover & foot.isNull(), [page, F.lit(4)], "no_footer", at, F.lit("expected a page-number footer")),
         found(texts, doc, foot.isNotNull() & ((foot["current"] != page) | (foot["total"] != F.col("pages"))), [page, F.lit(5)], "wrong_footer", at, F.format_string("printed Page %d of %d, expected Page %d of %d", foot["current"], foot["total"], "page", "pages")),
-        found(marked_pages(texts), doc, ~F.contains(F.col("header_canonical"), F.col("name")), [page, F.lit(6), F.col("step")], "wrong_header", at, F.format_string("step %d does not have the expected running header", "step")),
+        found(marked_pages(texts, sections), doc, ~F.contains(F.col("header_canonical"), F.col("name")), [page, F.lit(6), F.col("step")], "wrong_header", at, F.format_string("step %d does not have the expected running header", "step")),
         found(texts, doc, F.contains("header_canonical", F.lit(CONTINUED)), [page, F.lit(7)], "continued_header", at, F.lit("running headers must use the section name alone")),
         found(how, doc, F.col("n") != 1, [late, F.lit(1)], "how_to_pages", F.lit("document"), F.format_string("expected exactly one how-to page; found %d", "n")),
-        found(step_order(docs, texts), doc, F.lit(True), [late, F.lit(2)], "step_order", F.lit("document"), F.concat(F.lit("observed "), F.array_join(F.col("seen").cast("array<string>"), ", "), F.lit("; expected "), F.array_join(F.col("wanted").cast("array<string>"), ", "))),
+        found(step_order(docs, texts, sections), doc, F.lit(True), [late, F.lit(2)], "step_order", F.lit("document"), F.concat(F.lit("observed "), F.array_join(F.col("seen").cast("array<string>"), ", "), F.lit("; expected "), F.array_join(F.col("wanted").cast("array<string>"), ", "))),
         found(leaked_marks(docs, texts), doc, F.lit(True), [late, F.lit(3)], "leak", F.lit("document"), F.lit("teacher-only guidance in a student document")),
     )

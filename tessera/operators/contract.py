@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.text import computed, is_blank, split_guidance, trimmed
 from tessera.operators.violations import found, together
+from tessera.sources.shared import settle, small
 
 HEADER_ROW, FIRST_DATA_ROW = 4, 5
 _GUIDE = "Guidance & requirements (one item per line)"
@@ -100,37 +101,51 @@ def whole_problem(cell: Column, required: bool, minimum: int = 1) -> Column:
     return F.when(kind == "blank", F.lit("is required.") if required else F.lit(None)).when(~good, f"must be a whole number of at least {minimum}.")
 
 
-def response_space(df: DataFrame, label: Column, lines: Column, pages: Column) -> DataFrame:
-    """df with ``space``, the decision table's struct(mode, lines, pages, col, name, problem).
+def response_table(spark: SparkSession) -> DataFrame:
+    """The decision table of response space, which a user can replace: label, mode, needs_lines, least_pages.
+
+    A choice needs a number of lines, or at least so many pages, or (null) neither.
+    """
+    needs = {"custom-lines": (True, None), "multiple-pages": (False, 2)}
+    return spark.createDataFrame([(label, mode, *needs.get(mode, (False, None))) for label, mode in RESPONSE_MODES.items()], "label string, mode string, needs_lines boolean, least_pages int")
+
+
+def response_space(df: DataFrame, label: Column, lines: Column, pages: Column, table: DataFrame | None = None) -> DataFrame:
+    """df with ``space``, what the decision table says: struct(mode, lines, pages, col, name, problem).
 
     ``problem`` is null where the three cells agree, else says what is wrong with
-    column ``col``; mode, lines and pages are null then or without a label.
+    column ``col``; mode, lines and pages are null then or without a label.  ``table``
+    replaces ``response_table``; a label without a row in it is none of the choices, and
+    one with two rows is an error.
     """
+    table = response_table(df.sparkSession) if table is None else small(table)
+    choices = table.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.struct("mode", "needs_lines", "least_pages")))))).scalar()
     df = computed(df, s_name=trimmed(label), s_lines=lines, s_pages=pages)
     name, lines, pages = F.col("s_name"), F.col("s_lines"), F.col("s_pages")
-    known = F.lit(None).cast("string")
-    for text, mode in RESPONSE_MODES.items():
-        known = F.when(name == text, mode).otherwise(known)
-    df = computed(df, s_mode=known)
-    mode, label = F.col("s_mode"), F.nullif(name, F.lit(""))
+    df = computed(df, s_choice=F.when(name.isNotNull(), F.try_element_at(choices, name)))
+    choice, label = F.col("s_choice"), F.nullif(name, F.lit(""))
+    mode, least = choice["mode"], choice["least_pages"]
+    by_lines, by_pages = F.coalesce(choice["needs_lines"], F.lit(False)), least.isNotNull()
+    neither = choice.isNotNull() & ~by_lines & ~by_pages
     both = "Custom lines / Total response pages"
+    unfit = F.concat(F.lit("does not go with the choice "), name, F.lit("."))
     rules = [
         (label.isNull() & (lines.isNotNull() | pages.isNotNull()), 8, "Response space", F.lit("is blank although lines or pages are given.")),
-        (label.isNotNull() & mode.isNull(), 8, "Response space", F.lit("is none of the known choices.")),
-        ((mode == "custom-lines") & lines.isNull(), 9, "Custom lines", F.lit("is missing: this choice needs a number of lines.")),
-        ((mode == "custom-lines") & pages.isNotNull(), 10, "Total response pages", F.lit("does not go with a number of lines.")),
-        ((mode == "multiple-pages") & (pages.isNull() | (pages < 2)), 10, "Total response pages", F.lit("is too small: several pages are two or more.")),
-        ((mode == "multiple-pages") & lines.isNotNull(), 9, "Custom lines", F.lit("does not go with a number of pages.")),
-        (~mode.isin("custom-lines", "multiple-pages") & lines.isNotNull(), 9, both, F.concat(F.lit("does not go with the choice "), name, F.lit("."))),
-        (~mode.isin("custom-lines", "multiple-pages") & pages.isNotNull(), 10, both, F.concat(F.lit("does not go with the choice "), name, F.lit("."))),
+        (label.isNotNull() & choice.isNull(), 8, "Response space", F.lit("is none of the known choices.")),
+        (by_lines & lines.isNull(), 9, "Custom lines", F.lit("is missing: this choice needs a number of lines.")),
+        (by_lines & pages.isNotNull(), 10, "Total response pages", F.lit("does not go with a number of lines.")),
+        (by_pages & (pages.isNull() | (pages < least)), 10, "Total response pages", F.concat(F.lit("is too small: this choice needs at least "), least.cast("string"), F.lit(" pages."))),
+        (by_pages & lines.isNotNull(), 9, "Custom lines", F.lit("does not go with a number of pages.")),
+        (neither & lines.isNotNull(), 9, both, unfit),
+        (neither & pages.isNotNull(), 10, both, unfit),
     ]
     found = F.lit(None).cast("struct<col:int,name:string,problem:string>")
     for when, k, cell, text in reversed(rules):
         found = F.when(when, F.struct(F.lit(k).alias("col"), F.lit(cell).alias("name"), text.alias("problem"))).otherwise(found)
     df = computed(df, s_found=found)
     good = F.col("s_found").isNull()
-    space = F.struct(F.when(good, mode).alias("mode"), F.when(good & (mode == "custom-lines"), lines).alias("lines"), F.when(good & (mode == "multiple-pages"), pages).alias("pages"), F.col("s_found.col").alias("col"), F.col("s_found.name").alias("name"), F.col("s_found.problem").alias("problem"))
-    return df.withColumn("space", space).drop("s_name", "s_lines", "s_pages", "s_mode", "s_found")
+    space = F.struct(F.when(good, mode).alias("mode"), F.when(good & by_lines, lines).alias("lines"), F.when(good & by_pages, pages).alias("pages"), F.col("s_found.col").alias("col"), F.col("s_found.name").alias("name"), F.col("s_found.problem").alias("problem"))
+    return df.withColumn("space", space).drop("s_name", "s_lines", "s_pages", "s_choice", "s_found")
 
 
 def missing_tabs(cells: DataFrame, contract: DataFrame) -> DataFrame:
@@ -167,7 +182,7 @@ def data_rows(cells: DataFrame) -> DataFrame:
     return wide
 
 
-def typed_rows(rows: DataFrame, tab: str) -> tuple[DataFrame, DataFrame]:
+def typed_rows(rows: DataFrame, tab: str, spaces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(typed rows, violations) of one tab: fields by name, problems by cell."""
     own = rows.where(F.col("sheet") == tab)
     out, problems = list(_KEY), []
@@ -185,7 +200,7 @@ def typed_rows(rows: DataFrame, tab: str) -> tuple[DataFrame, DataFrame]:
     if tab in ITEM_TABS and tab != "Vocabulary":
         last = len(FIELDS[tab]) + 2
         label, lines, pages = F.col("c8"), F.col("c9"), F.col("c10")
-        own = response_space(own, label["text"], cell_number(lines, 0), cell_number(pages, 1))
+        own = response_space(own, label["text"], cell_number(lines, 0), cell_number(pages, 1), spaces)
         mode = F.col("space.mode")
         out.append(F.when(mode.isNotNull(), F.struct(mode.alias("mode"), F.col("space.lines").alias("lines"), F.col("space.pages").alias("pages"))).alias("response_space"))
         cells = [(8, "Response space", text_problem(label, False)), (9, "Custom lines", whole_problem(lines, False, 0)), (10, "Total response pages", whole_problem(pages, False, 1))]
@@ -246,34 +261,49 @@ def file_list_problem(files: Column, pattern: str = r"^lessons/[a-z0-9][a-z0-9._
     )
 
 
-def parse(cells: DataFrame, contract: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def parse(cells: DataFrame, contract: DataFrame | None = None, spaces: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Typed rows of all six tabs, and all violations of the contract.
 
     The first violation of a workbook (by rank) is what a reader who stops at the
     first problem reports: tabs and headers, the one metadata row, the lessons,
     then each item tab with its rows, and its coverage of the lessons.  ``contract``
-    replaces the table of tabs and headers.  The checks share one exchange of the
-    cells, which Spark reuses within a query.
+    replaces the table of tabs and headers, ``spaces`` the decision table of response
+    space.  The data rows, and the few columns that
+    checks between rows need, are written once; each check reads its own columns of them.
     """
     contract = contract_table(cells.sparkSession) if contract is None else contract
-    rows = data_rows(cells)
+    rows = settle(data_rows(cells), "data-rows")
     typed, bad = {}, [missing_tabs(cells, contract), wrong_headers(cells, contract)]
     for tab in TABS:
-        typed[tab], problems = typed_rows(rows, tab)
+        typed[tab], problems = typed_rows(rows, tab, spaces)
         bad.append(problems)
-    books = cells.select("workbook_id").distinct()
-    one = not_exactly_one(books, "workbook_id", typed["Workbook"])
-    bad.append(found(one, F.col("workbook_id"), F.lit(True), [F.lit(2)], "one_metadata_row", F.lit("Workbook"), F.format_string('"Workbook" must contain exactly one row; found %d.', "n")))
-    none = books.join(typed["Lessons"].select("workbook_id").distinct(), "workbook_id", "left_anti")
-    bad.append(found(none, F.col("workbook_id"), F.lit(True), [F.lit(3)], "no_lessons", F.lit("Lessons"), F.lit('"Lessons" must contain at least one lesson.')))
-    again = duplicates(typed["Lessons"].where("lesson_number is not null"), ["workbook_id", "lesson_number"], ["row"])
-    bad.append(found(again, F.col("workbook_id"), F.lit(True), [F.lit(3), F.lit(0), F.col("row"), F.lit(0), F.lit(1)], "repeated_lesson", place(F.lit("Lessons"), F.col("row"), F.lit(2)), F.format_string('"Lessons" row %d repeats Lesson %d from row %d.', "row", "lesson_number", "earlier.row")))
-    for k, tab in enumerate(ITEM_TABS):
-        items = typed[tab]
-        stray = orphans(items.where("lesson_number is not null"), typed["Lessons"], ["workbook_id", "lesson_number"])
-        bad.append(found(stray, F.col("workbook_id"), F.lit(True), [F.lit(4 + k), F.lit(0), F.col("row"), F.lit(2)], "unknown_lesson", place(F.lit(tab), F.col("row"), F.lit(2)), F.format_string(f'"{tab}" row %d refers to Lesson %d, which is not on the Lessons tab.', "row", "lesson_number")))
-        again = duplicates(items.where("lesson_number is not null and item_order is not null"), ["workbook_id", "lesson_number", "item_order"], ["row"])
-        bad.append(found(again, F.col("workbook_id"), F.lit(True), [F.lit(4 + k), F.lit(0), F.col("row"), F.lit(99)], "repeated_order", place(F.lit(tab), F.col("row"), F.lit(3)), F.format_string(f'"{tab}" row %d repeats order %d of Lesson %d from row %d.', "row", "item_order", "lesson_number", "earlier.row")))
-        bare = orphans(typed["Lessons"].where("lesson_number is not null"), items, ["workbook_id", "lesson_number"])
-        bad.append(found(bare, F.col("workbook_id"), F.lit(True), [F.lit(4 + k), F.lit(1), F.col("row")], "no_items", F.lit(tab), F.format_string(f'Lesson %d needs at least one row on "{tab}".', "lesson_number")))
-    return typed, together(*bad)
+    whole = ["lesson_number", "item_order"]
+    keys = settle(rows.select(*_KEY, cell_number(F.col("c2"), 1).alias(whole[0]), cell_number(F.col("c3"), 1).alias(whole[1])), "row-keys")
+    return typed, together(*bad, *_between_rows(cells.select("workbook_id").distinct(), keys))
+
+
+def _between_rows(books: DataFrame, keys: DataFrame) -> list[DataFrame]:
+    """Violations between rows: how many there are, repeated numbers, unknown lessons, lessons without items.
+
+    keys (workbook_id, sheet, row, lesson_number, item_order) has all tabs, so each check is one join for all of them.
+    """
+    book, sheet, row = F.col("workbook_id"), F.col("sheet"), F.col("row")
+    of = lambda tab: keys.where(sheet == tab)
+    numbered = of("Lessons").where("lesson_number is not null")
+    items = keys.where(sheet.isin(ITEM_TABS) & F.col("lesson_number").isNotNull())
+    rank = 4 + F.array_position(F.array(*map(F.lit, ITEM_TABS)), sheet) - 1
+    one = not_exactly_one(books, "workbook_id", of("Workbook"))
+    none = books.join(of("Lessons").select("workbook_id").distinct(), "workbook_id", "left_anti")
+    twice = duplicates(numbered, ["workbook_id", "lesson_number"], ["row"])
+    stray = orphans(items, numbered, ["workbook_id", "lesson_number"])
+    again = duplicates(items.where("item_order is not null"), ["workbook_id", "sheet", "lesson_number", "item_order"], ["row"])
+    wanted = numbered.withColumn("sheet", F.explode(F.array(*map(F.lit, ITEM_TABS))))
+    bare = orphans(wanted, items, ["workbook_id", "sheet", "lesson_number"])
+    return [
+        found(one, book, F.lit(True), [F.lit(2)], "one_metadata_row", F.lit("Workbook"), F.format_string('"Workbook" must contain exactly one row; found %d.', "n")),
+        found(none, book, F.lit(True), [F.lit(3)], "no_lessons", F.lit("Lessons"), F.lit('"Lessons" must contain at least one lesson.')),
+        found(twice, book, F.lit(True), [F.lit(3), F.lit(0), row, F.lit(0), F.lit(1)], "repeated_lesson", place(sheet, row, F.lit(2)), F.format_string('"Lessons" row %d repeats Lesson %d from row %d.', "row", "lesson_number", "earlier.row")),
+        found(stray, book, F.lit(True), [rank, F.lit(0), row, F.lit(2)], "unknown_lesson", place(sheet, row, F.lit(2)), F.format_string('"%s" row %d refers to Lesson %d, which is not on the Lessons tab.', "sheet", "row", "lesson_number")),
+        found(again, book, F.lit(True), [rank, F.lit(0), row, F.lit(99)], "repeated_order", place(sheet, row, F.lit(3)), F.format_string('"%s" row %d repeats order %d of Lesson %d from row %d.', "sheet", "row", "item_order", "lesson_number", "earlier.row")),
+        found(bare, book, F.lit(True), [rank, F.lit(1), row], "no_items", sheet, F.format_string('Lesson %d needs at least one row on "%s".', "lesson_number", "sheet")),
+    ]

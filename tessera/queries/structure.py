@@ -211,7 +211,7 @@ def q_section_sequence(t):
     rows = t("conversations")
     docs = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.floor((F.count("*") + 1) / 2).alias("lesson_count"))
     texts = rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat(F.lit("Page "), F.col("turn").cast("string"), F.lit(" of 9")).alias("text"), F.when(F.col("role") == "user", "STEP1READ").when(F.col("role") == "assistant", "STEP2THINK").otherwise("").alias("canonical"), F.lit("").alias("header_canonical"))
-    found = audit.step_order(docs, texts, [1, 2])
+    found = audit.step_order(docs, texts, audit.markers(rows.sparkSession).where("step <= 2"))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "")
     return found.select(F.col("doc_id").alias("conv_id"), joined("seen").alias("seen"), joined("wanted").alias("wanted"))
 

@@ -42,6 +42,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows that a user's rule table may have where each task holds it whole.
+MOST_RULES = 10_000
+
+
+def small(table: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """``table``, or an error if it has more than ``most`` rows: tasks are given it whole."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"a rule table may have {most} rows")
+    return table
+
+
 def discard_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this application wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

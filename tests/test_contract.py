@@ -4,9 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import assembly, contract, rules
+from tessera.operators import assembly, audit, contract, rules
 from tessera.operators.violations import first_violation, without
-from tessera.sources import grids, packages
+from tessera.sources import grids, packages, shared
 
 
 def snapshot():
@@ -163,3 +163,23 @@ def test_package_files_are_read_in_one_scan(spark, tmp_path):
         "malformed": [("malformed_json", "lessons/1.json")], "unsafe": [("schema", "/lessonFiles/0"), ("leaves_package", "../1.json")], "bare": [("missing_manifest", "workbook.json")], "broken": [("malformed_json", "workbook.json")],
         "large": [("too_large", "lessons/2.json")],
     }
+
+
+def test_replaced_tables_change_what_is_found(spark):
+    cells = spark.createDataFrame([("Poster", 3, None), ("Poster", None, None), ("Poster", 3, 1), ("Atlas", None, 4), ("Atlas", None, 5), ("Short answer", None, None), (None, None, None), ("", 1, None)], "label string, lines int, pages int")
+    spaces = spark.createDataFrame([("Poster", "poster", True, None), ("Atlas", "atlas", False, 5)], "label string, mode string, needs_lines boolean, least_pages int")
+    got = contract.response_space(cells, F.col("label"), F.col("lines"), F.col("pages"), spaces).select("space.*").collect()
+    assert [(r.mode, r.lines, r.pages, r.col) for r in got] == [("poster", 3, None, None), (None, None, None, 9), (None, None, None, 10), (None, None, None, 10), ("atlas", None, 5, None), (None, None, None, 8), (None, None, None, None), (None, None, None, 8)]
+    assert got[3].problem == "is too small: this choice needs at least 5 pages."
+    assert {r.mode for r in contract.response_space(cells, F.col("label"), F.col("lines"), F.col("pages")).select("space.*").collect()} == {None, "short-answer"}
+    with pytest.raises(ValueError):
+        shared.small(spaces, 1)
+
+
+def test_replaced_sections_change_the_order_that_is_asked_for(spark):
+    docs = spark.createDataFrame([("d", 1), ("e", 1)], "doc_id string, lesson_count int")
+    pages = [("d", 1, "ALPHA"), ("d", 2, "OMEGA"), ("e", 1, "OMEGA"), ("e", 2, "ALPHA")]
+    texts = spark.createDataFrame([(d, p, f"Page {p} of 2", c, c) for d, p, c in pages], "doc_id string, page int, text string, canonical string, header_canonical string")
+    sections = spark.createDataFrame([(7, "OMEGA", "OMEGA"), (3, "ALPHA", "ALPHA")], "step int, band string, name string")
+    assert [(r.doc_id, r.seen, r.wanted) for r in audit.step_order(docs, texts, sections).collect()] == [("e", [7, 3], [3, 7])]
+    assert audit.marked_pages(texts).count() == 0 and audit.step_order(docs, texts).count() == 2
