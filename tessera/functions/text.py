@@ -159,5 +159,6 @@ def register(spark: SparkSession) -> None:
     made.append(("area_of_path", "string", f"case {areas} else '{OTHER_AREA}' end"))
     for name, kind, body in made:
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
+    spark.sql(f"create or replace temporary function guidance_items(t string) returns array<string> return nullif(filter(split(t, '\\r?\\n'), x -> x rlike '{quoted(NOT_SPACE)}'), cast(array() as array<string>))")
     spark.sql("create or replace temporary function milliseconds_text(v double) returns string return if(v >= 1000, format_string('%.2f s', v / 1000), concat(cast(floor(v + 0.5) as string), ' ms'))")
     spark.sql("create or replace temporary function megabytes_text(v double) returns string return format_string('%.2f MB', v / (1024 * 1024))")

@@ -95,6 +95,12 @@ def marked_pages(texts: DataFrame, sections: DataFrame | None = None) -> DataFra
     return own.select(*_PAGE, "header_canonical", "s.step", "s.name")
 
 
+def rules_of_section(rules: DataFrame, texts: DataFrame, step: int, sections: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, rules) of each page of one section, 0 where a page has none; ``sections`` replaces ``markers``."""
+    pages = marked_pages(texts, sections).where(F.col("step") == step).select(*_PAGE).distinct()
+    return pages.join(rules_per_page(rules), _PAGE, "left").select(*_PAGE, F.coalesce("rules", F.lit(0)).alias("rules"))
+
+
 def step_order(docs: DataFrame, texts: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Documents whose steps, in page order, aren't all steps of ``sections`` in order, for each lesson."""
     every = (markers(docs.sparkSession) if sections is None else small(sections)).agg(F.array_sort(F.collect_set(F.col("step").cast("int")))).scalar()

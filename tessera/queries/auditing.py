@@ -273,6 +273,43 @@ def u_sql_functions(t):
     return docs.selectExpr("doc_id", "is_blank_text(text) as blank", "md5(canonical_text(text)) as canonical_md5", "megabytes_text(n_chars * 1000) as size", f"area_of_path({path}) as area")
 
 
+@query("""
+with g as (select doc_id, list_filter(string_split_regex(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^\\t\\n\\x0B\\f\\r \\x{A0}\\x{3000}]')) as items from documents)
+select doc_id, len(items)::bigint as items, md5(array_to_string(items, '|')) as joined_md5 from g where len(items) > 0
+""")
+def u_guidance_function(t):
+    """The lines of each text that aren't blank, by the SQL function."""
+    docs = t("documents")
+    text.register(docs.sparkSession)
+    return docs.selectExpr("doc_id", "guidance_items(text) as g").where("g is not null").selectExpr("doc_id", "cast(size(g) as bigint) as items", "md5(array_join(g, '|')) as joined_md5")
+
+
+@query("""
+select conv_id, turn, (length(text) - length(replace(text, chr(10), '')))::bigint as rules from conversations where role = 'user' and text is not null
+""")
+def q_section_rules(t):
+    """Rules on each page of the first section: user turns are its pages, and each line break draws one."""
+    rows = t("conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", "text")
+    rules = rows.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where("idx > 0")
+    texts = rows.select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" of 9")).alias("text"), F.when(F.col("role") == "user", "STEP1READ").otherwise("").alias("canonical"), F.lit("").alias("header_canonical"))
+    found = audit.rules_of_section(rules, texts, 1)
+    return found.select(F.col("doc_id").alias("conv_id"), F.col("page").alias("turn"), F.col("rules").cast("long").alias("rules"))
+
+
+@query("""
+with e as (select unnest(['student', 'teacher']) as edition),
+n as (select conv_id, turn + 1 as l, turn + 1 + case when length(text) % 3 = 0 then 100 else 0 end as r from conversations where text is not null),
+d as (select conv_id, l as number, 'left' as side from n where l <> r union all select conv_id, r, 'right' from n where l <> r)
+select conv_id || '-lesson-' || lpad(number::varchar, greatest(2, length(number::varchar))::int, '0') || '-' || edition || '.pdf' as name, side from d cross join e
+""")
+def t_planted_names(t):
+    """Two plans of each conversation's files, one of which numbers some lessons otherwise."""
+    rows = t("conversations").where("text is not null").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("position"), (F.col("turn") + 1).alias("lesson_number"), F.length("text").alias("n"))
+    books = rows.select("book_id").distinct()
+    other = rows.withColumn("lesson_number", F.col("lesson_number") + F.when(F.col("n") % 3 == 0, 100).otherwise(0))
+    return targets.name_differences(targets.disk_targets(books, rows), targets.preview_targets(books, other)).select("name", "side")
+
+
 @query("""
 with b as (select conv_id::varchar as book, list(turn + 1) as n from conversations group by 1), e as (select unnest(['student', 'teacher']) as edition)
 select book, 'workbook' as scope, edition, null::bigint as lesson_number, book || '-workbook-' || edition || '.pdf' as name from b cross join e union all
