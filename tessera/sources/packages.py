@@ -52,7 +52,7 @@ def repeated_lessons(files: DataFrame) -> DataFrame:
 
 #: Where a file's path says its package and its name in it: groups 1 and 2.
 FOLDERS = r"^(.*?)/((?:lessons/)?[^/]+\.json)$"
-#: The same for files that Spark writes, a folder a file: partitionBy("package", "file").
+#: The same for files that Spark writes, a folder a file: partitionBy("package", "file").  Only for few files; see ``write_packed_files``.
 PARTITIONS = r"/package=([^/]+)/file=([^/]+)/[^/]+$"
 MANIFEST_FILE = "workbook.json"
 
@@ -65,16 +65,39 @@ def read_package_files(spark: SparkSession, root: str, pattern: str = FOLDERS, m
     """
     reader = lambda: spark.read.option("recursiveFileLookup", True)
     size, path = F.col("_metadata.file_size"), F.col("_metadata.file_path")
-    small = reader().text(root, wholetext=True)
-    if most_bytes is not None:
-        small = small.where(size <= most_bytes)
-    out = small.select(path.alias("path"), size.alias("bytes"), "value", F.try_parse_json("value").alias("doc"))
-    out = out.select("path", "bytes", F.lit(False).alias("too_large"), F.col("doc").isNull().alias("malformed"), "doc")
-    if most_bytes is not None:
-        large = reader().format("binaryFile").load(root).select("path", F.col("length").alias("bytes")).where(F.col("bytes") > most_bytes)
-        out = out.unionByName(large.select("path", "bytes", F.lit(True).alias("too_large"), F.lit(False).alias("malformed"), F.lit(None).cast("variant").alias("doc")))
+    small = reader().text(root, wholetext=True).select(path.alias("path"), size.alias("bytes"), "value")
+    large = reader().format("binaryFile").load(root).select("path", F.col("length").alias("bytes"))
     part = lambda k: F.url_decode(F.regexp_extract("path", pattern, k))
-    return out.select(part(1).alias("package"), part(2).alias("file"), "bytes", "too_large", "malformed", "doc")
+    return _opened(small, large, most_bytes).select(part(1).alias("package"), part(2).alias("file"), "bytes", "too_large", "malformed", "doc")
+
+
+def _opened(texts: DataFrame, sizes: DataFrame, most_bytes: int | None) -> DataFrame:
+    """Files with bytes, too_large, malformed and doc: ``texts`` have a value, read up to ``most_bytes``; ``sizes`` have none."""
+    if most_bytes is not None:
+        texts = texts.where(F.col("bytes") <= most_bytes)
+    out = texts.withColumn("doc", F.try_parse_json("value")).withColumns({"too_large": F.lit(False), "malformed": F.col("doc").isNull()}).drop("value")
+    if most_bytes is None:
+        return out
+    large = sizes.where(F.col("bytes") > most_bytes)
+    return out.unionByName(large.withColumns({"too_large": F.lit(True), "malformed": F.lit(False), "doc": F.lit(None).cast("variant")}))
+
+
+def write_packed_files(files: DataFrame, root: str) -> None:
+    """Write files (package, file, value) under ``root``, many to a container, each one whole.
+
+    A file or folder of its own costs a store the same whether it holds a line or a
+    book, so millions of small ones are kept as rows of Parquet: name, size and text.
+    """
+    files.select("package", "file", F.octet_length("value").cast("bigint").alias("bytes"), "value").write.parquet(root)
+
+
+def read_packed_files(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:
+    """What ``read_package_files`` gives of loose files, of those that ``write_packed_files`` wrote.
+
+    The sizes lie beside the texts, so a file over ``most_bytes`` is not parsed.
+    """
+    files = spark.read.schema("package string, file string, bytes bigint, value string").parquet(root)
+    return _opened(files, files.drop("value"), most_bytes).select("package", "file", "bytes", "too_large", "malformed", "doc")
 
 
 def package_violations(files: DataFrame, table: DataFrame | None = None, longest: int = 80) -> DataFrame:

@@ -165,6 +165,24 @@ def test_package_files_are_read_in_one_scan(spark, tmp_path):
     }
 
 
+def test_packed_files_read_as_loose_ones(spark, tmp_path):
+    """Two hundred files lie in as many containers as tasks wrote, and read as the same files do in a folder each."""
+    texts = ['{"lessonNumber": 1}', "{no", '"x"', '["' + "x" * 300 + '"]', "null", '{"a":"\u00fc\\n"}\n']
+    rows = [(f"p {k % 40}", f"{k}.json", texts[k % 6]) for k in range(200)]
+    files = spark.createDataFrame(rows, "package string, file string, value string").repartition(3)
+    packages.write_packed_files(files, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("part-*"))) <= 3
+    for package, file, value in rows:
+        at = tmp_path / "loose" / f"package={package}" / f"file={file}"
+        at.mkdir(parents=True)
+        (at / "part").write_text(value)
+    plain = lambda df: sorted(tuple(r) for r in df.withColumn("doc", F.to_json("doc")).fillna("~", ["doc"]).collect())
+    for most in (None, 100):
+        got = plain(packages.read_packed_files(spark, str(tmp_path / "packed"), most))
+        assert got == plain(packages.read_package_files(spark, str(tmp_path / "loose"), packages.PARTITIONS, most)) and len(got) == 200
+        assert sum(r[3] for r in got) == (0 if most is None else 33)
+
+
 def test_replaced_tables_change_what_is_found(spark):
     cells = spark.createDataFrame([("Poster", 3, None), ("Poster", None, None), ("Poster", 3, 1), ("Atlas", None, 4), ("Atlas", None, 5), ("Short answer", None, None), (None, None, None), ("", 1, None)], "label string, lines int, pages int")
     spaces = spark.createDataFrame([("Poster", "poster", True, None), ("Atlas", "atlas", False, 5)], "label string, mode string, needs_lines boolean, least_pages int")
