@@ -110,8 +110,16 @@ def milliseconds(value: Column) -> Column:
     return F.when(value >= 1000, F.format_string("%.2f s", value / 1000)).otherwise(F.concat(F.floor(value + 0.5).cast("string"), F.lit(" ms")))
 
 
+def two_decimals(value: Column) -> Column:
+    """A double with two decimals as C's ``%.2f`` has it: its exact binary value is rounded, ties to even.
+
+    ``format_string`` rounds the shortest decimal and ties up: 15.625 is 15.63 there and 15.62 here.
+    """
+    return F.call_function("format_number", value.cast("double"), F.lit("0.00"))
+
+
 def megabytes(value: Column) -> Column:
-    return F.format_string("%.2f MB", value / (1024 * 1024))
+    return F.concat(two_decimals(value / (1024 * 1024)), F.lit(" MB"))
 
 
 def safe_folder(name: Column, otherwise: str = "Workbook") -> Column:
@@ -161,4 +169,4 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
     spark.sql(f"create or replace temporary function guidance_items(t string) returns array<string> return nullif(filter(split(t, '\\r?\\n'), x -> x rlike '{quoted(NOT_SPACE)}'), cast(array() as array<string>))")
     spark.sql("create or replace temporary function milliseconds_text(v double) returns string return if(v >= 1000, format_string('%.2f s', v / 1000), concat(cast(floor(v + 0.5) as string), ' ms'))")
-    spark.sql("create or replace temporary function megabytes_text(v double) returns string return format_string('%.2f MB', v / (1024 * 1024))")
+    spark.sql("create or replace temporary function megabytes_text(v double) returns string return concat(format_number(v / (1024 * 1024), '0.00'), ' MB')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import area_of
+from tessera.functions.text import area_of, two_decimals
 
 HOST_LIMIT = 25 * 1024 * 1024
 #: Cache rules of a published bundle, in order; the first that fits holds.
@@ -27,7 +27,7 @@ def area_totals(files: DataFrame, area: Column | None = None) -> DataFrame:
 
 
 def mebibytes(size: Column) -> Column:
-    return F.format_string("%.2f MiB", size / (1024 * 1024))
+    return F.concat(two_decimals(size / (1024 * 1024)), F.lit(" MiB"))
 
 
 def over_host_limit(files: DataFrame, limit: int = HOST_LIMIT) -> DataFrame:

@@ -322,3 +322,17 @@ def test_pack_is_the_same_over_any_segments(spark):
     wanted = sorted(((b, k, x, no) for b, own in by_build.items() for k, (x, no) in enumerate(zip(own, next_fit_by_hand(own, 1000)[0]))), key=str)
     assert found["1"] == found["3"] == found["16"] == wanted
     assert archives.pack(df.limit(0), 1000).count() == 0
+
+
+def test_sizes_round_as_their_sql(spark):
+    """Ties (bytes in multiples of 16,384 of thousandfold size) go to even, as printf has it, and so do their neighbours' last digits."""
+    import duckdb
+
+    sizes = [1000 * n for k in range(1, 40) for n in (16384 * k - 1, 16384 * k, 16384 * k + 1)] + [0, 1, 5 << 20, 123_456_789_012_345, (1 << 53) - 1]
+    rows = spark.createDataFrame([(str(x), x) for x in sizes], "path string, bytes long")
+    got = {r.bytes: (r.size, r.mb) for r in inventory.over_host_limit(rows, -1).withColumn("mb", text.megabytes(F.col("bytes"))).collect()}
+    text.register(spark)
+    assert {r.bytes: r.mb for r in rows.selectExpr("bytes", "megabytes_text(bytes) as mb").collect()} == {k: mb for k, (_, mb) in got.items()}
+    con = duckdb.connect()
+    assert got == {x: con.execute("select printf('%.2f MiB', $1::bigint / 1048576.0), printf('%.2f MB', $1::bigint / 1048576.0)", [x]).fetchone() for x in sizes}
+    assert got[16_384_000] == ("15.62 MiB", "15.62 MB")
