@@ -1,6 +1,6 @@
 """Rules on nested JSON documents, as data: every place of a document meets the rules of its shape.
 
-A document is walked to its last level into rows (path, shape, kind, value).  A path
+A document is walked to its last level into rows (path, shape, kind, text).  A path
 names fields and places, as in ``/sections/vocabulary/2/term``; its shape has ``*``
 for places.  A rule table (shape, tag, check, bound) is joined by shape, so that
 users read, replace or extend the rules without code.
@@ -8,65 +8,124 @@ users read, replace or extend the rules without code.
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import NOT_SPACE, computed, longest_token
 from tessera.operators.violations import found
-from tessera.sources.shared import settle
 
-#: Levels that are opened in one plan; deeper documents are written in between.
-LEVELS = 16
-#: Rule tables of at most so many rules are broadcast.
+#: Rule tables of at most so many rules are broadcast, and known to the walk.
 RULES = 50_000
+#: Places that a walk gives at once, and characters of their texts.
+_PLACES, _CHARACTERS = 8192, 1 << 23
 _VARIANTS, _OBJECT = "array<variant>", "map<string,variant>"
+#: The characters of ``text.SPACE``, for ``str.strip``.
+_SPACES = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def nesting(doc: Column) -> Column:
-    """How many objects and arrays lie in one another at a VARIANT's deepest place."""
-    bare = F.regexp_replace(F.regexp_replace(F.to_json(doc), r"\\.", ""), '"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    step = lambda s, m: F.struct(
-        (s["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("now"),
-        F.greatest(s["most"], s["now"] + F.when(m.isin("[", "{"), 1).otherwise(0)).alias("most"),
-    )
-    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+class _Number(str):
+    """A number as JSON has it."""
 
 
-def walked(docs: DataFrame, subject: str, doc: str, *keep: str) -> DataFrame:
-    """subject, ``keep``, path, shape, kind, keys, size and value of every place of VARIANT documents.
+@dataclass(frozen=True)
+class Wanted:
+    """Which places a walk gives.  Without values: all of them.
 
-    Kinds are object, array, string, boolean, null and the numbers' SQL types; keys
-    are an object's, size an array's.  All levels are opened, as many as the deepest
-    document has, which one pass over the documents tells.  A null document has no
-    places; an empty object or array is one.
+    ``shapes``: places of these shapes alone.  ``sound``: by shape, the (least, most)
+    characters of texts that no check can find fault with if they aren't blank, and
+    ``other_sound`` for the shapes not named; such texts are not given.  ``whole``:
+    objects and arrays of these shapes come with their JSON text.  ``left_out``: what
+    lies under these fields is not looked at.
+    """
+
+    shapes: frozenset[str] | None = None
+    sound: dict[str, tuple[int, int]] = field(default_factory=dict)
+    other_sound: tuple[int, int] | None = None
+    whole: frozenset[str] | None = None
+    left_out: frozenset[str] = frozenset()
+
+
+def _json(x) -> str:
+    if type(x) is _Number:
+        return x
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in x.items()) + "}"
+    return "[" + ",".join(map(_json, x)) + "]" if isinstance(x, list) else json.dumps(x, ensure_ascii=False)
+
+
+def _places(doc: str, wanted: Wanted) -> Iterator[tuple]:
+    """(path, shape, kind, keys, size, text, json) of the wanted places of one JSON text."""
+    stack = [("", "", json.loads(doc, parse_int=_Number, parse_float=_Number, parse_constant=_Number))]
+    while stack:
+        path, shape, x = stack.pop()
+        given = wanted.shapes is None or shape in wanted.shapes
+        if isinstance(x, dict | list):
+            if given:
+                own = _json(x) if wanted.whole is None or shape in wanted.whole else None
+                yield (path, shape, "object", list(x), None, None, own) if isinstance(x, dict) else (path, shape, "array", None, len(x), None, own)
+            if isinstance(x, dict):
+                stack += [(f"{path}/{k}", f"{shape}/{k}", v) for k, v in x.items() if k not in wanted.left_out]
+                continue
+            shape += "/*"
+            bounds = wanted.sound.get(shape, wanted.other_sound)
+            if bounds is None:
+                stack += [(f"{path}/{i}", shape, v) for i, v in enumerate(x)]
+            else:  # long lists of short texts are the most of many documents
+                least, most = bounds
+                stack += [(f"{path}/{i}", shape, v) for i, v in enumerate(x) if type(v) is not str or not least <= len(v) <= most or not v.strip(_SPACES)]
+        elif not given:
+            continue
+        elif type(x) is str:
+            bounds = wanted.sound.get(shape, wanted.other_sound)
+            if bounds is None or not bounds[0] <= len(x) <= bounds[1] or not x.strip(_SPACES):
+                yield path, shape, "string", None, None, x, None
+        else:
+            yield path, shape, "number" if type(x) is _Number else "null" if x is None else "boolean", None, None, None, _json(x)
+
+
+def walked(docs: DataFrame, subject: str, doc: str, *keep: str, wanted: Wanted = Wanted()) -> DataFrame:
+    """subject, ``keep``, path, shape, kind, keys, size, text and json of the wanted places of VARIANT documents.
+
+    Kinds are object, array, string, boolean, null and the SQL types that numbers read
+    as from JSON; keys are an object's, size an array's, text a string's, json what other
+    scalars (and whole objects and arrays) are in JSON.  A document is walked in one pass, over its JSON
+    text, however deep it is; a text is handed on once, and not with what it lies in.  A
+    null document has no places; an empty object or array is one.
     """
-    depth = docs.agg(F.coalesce(F.max(nesting(F.col(doc))), F.lit(0))).first()[0]
-    kept = [F.col(c) for c in keep]
-    level = docs.where(F.col(doc).isNotNull()).select(
-        F.col(subject).alias("subject"), *kept, F.lit("").alias("path"), F.lit("").alias("shape"), F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("int").alias("size"), F.col(doc).alias("value"),
-    )
-    own = [c for c in level.columns if c not in ("path", "shape", "kind", "keys", "size", "value")]
-    for k in range(depth + 1):
-        if k and k % LEVELS == 0:
-            level = settle(level, "walked")
-        level = _opened(level, own)
-    return level
-
-
-def _opened(level: DataFrame, own: list[str]) -> DataFrame:
-    """Each row that was not looked at yet with its kind, followed by what lies in it."""
-    fresh = F.col("kind").isNull()
-    rows = computed(level, _object=F.when(fresh, F.try_variant_get("value", "$", _OBJECT)), _array=F.when(fresh, F.try_variant_get("value", "$", _VARIANTS)))
-    scalar = F.when(F.is_variant_null("value"), "null").otherwise(F.lower(F.schema_of_variant("value")))
-    kind = F.when(~fresh, F.col("kind")).when(F.col("_object").isNotNull(), "object").when(F.col("_array").isNotNull(), "array").otherwise(scalar)
-    part = lambda path, shape, kind, keys, size, value: F.struct(path.alias("path"), shape.alias("shape"), kind.alias("kind"), keys.alias("keys"), size.alias("size"), value.alias("value"))
-    none = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("int")
-    itself = part(F.col("path"), F.col("shape"), kind, F.when(F.col("_object").isNotNull(), F.map_keys("_object")).otherwise(F.col("keys")), F.when(F.col("_array").isNotNull(), F.size("_array")).otherwise(F.col("size")), F.col("value"))
-    fields = F.transform(F.map_entries("_object"), lambda e: part(F.concat("path", F.lit("/"), e["key"]), F.concat("shape", F.lit("/"), e["key"]), *none, e["value"]))
-    places = F.transform("_array", lambda x, i: part(F.concat("path", F.lit("/"), i.cast("string")), F.concat("shape", F.lit("/*")), *none, x))
-    return rows.select(*own, F.inline(F.concat(F.array(itself), F.coalesce(fields, places, F.array().cast("array<struct<path:string,shape:string,kind:string,keys:array<string>,size:int,value:variant>>")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # a whole value may be as deep as its document
+
+        def done() -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
+
+        for batch in batches:
+            at, rows, held = [], [], 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                for place in _places(text.as_py(), wanted):
+                    at.append(i)
+                    rows.append(place)
+                    held += len(place[5] or "") + len(place[6] or "")
+                    if len(rows) >= _PLACES or held >= _CHARACTERS:
+                        yield done()
+                        at, rows, held = [], [], 0
+            if rows:
+                yield done()
+
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string()]
+    rows = docs.where(F.col(doc).isNotNull()).select(F.col(subject).alias("subject"), *keep, F.to_json(doc).alias("_doc"))
+    types = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]] + [("path", "string"), ("shape", "string"), ("kind", "string"), ("keys", "array<string>"), ("size", "int"), ("text", "string"), ("json", "string")]
+    names = [name for name, _ in types]
+    places = rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in types))
+    return places.withColumn("kind", F.when(F.col("kind") == "number", F.lower(F.schema_of_variant(F.parse_json("json")))).otherwise(F.col("kind")))
 
 
 def unbroken_leaves(docs: DataFrame, subject: str, doc: str, rank: list[Column], most: int = 80) -> DataFrame:
@@ -75,8 +134,9 @@ def unbroken_leaves(docs: DataFrame, subject: str, doc: str, rank: list[Column],
     Texts under a field called ``$schema`` are left out.
     """
     ranked = docs.withColumn("_rank", F.array(*[x.cast("long") for x in rank]))
-    texts = walked(ranked, subject, doc, "_rank").where((F.col("kind") == "string") & ~F.col("shape").rlike(r"/\$schema(/|$)"))
-    texts = texts.withColumn("_longest", longest_token(F.try_variant_get("value", "$", "string")))
+    wanted = Wanted(other_sound=(0, most), whole=frozenset(), left_out=frozenset(["$schema"]))  # a text of ``most`` characters has no longer run
+    texts = walked(ranked, subject, doc, "_rank", wanted=wanted).where(F.col("kind") == "string")
+    texts = computed(texts, _longest=longest_token(F.col("text")))
     message = F.format_string(f"%s: contains an unbroken text segment of %d characters; the maximum is {most}", F.when(F.col("path") == "", "/").otherwise(F.col("path")), "_longest")
     return found(texts, F.col("subject"), F.col("_longest") > most, [F.get("_rank", F.lit(k)) for k in range(len(rank))], "unbroken_text", F.col("path"), message)
 
@@ -158,7 +218,8 @@ def schema_table(spark: SparkSession) -> DataFrame:
 
 def _problem(check: Column, bound: Column) -> Column:
     """The message of one rule about one place that is whole in itself; null if it holds."""
-    kind, text, number, tag = F.col("kind"), F.col("_text"), F.col("_number"), F.col("_tag")
+    kind, text, number, tag = F.col("kind"), F.col("text"), F.col("_number"), F.col("_tag")
+    value = F.coalesce("json", F.to_json(F.col("text").cast("variant")))
     short = F.length(text)
     count = bound.try_cast("int")
     say = lambda form: F.format_string(form, bound)
@@ -166,8 +227,8 @@ def _problem(check: Column, bound: Column) -> Column:
     whole = F.when(bound == "integer", F.coalesce(number == F.floor(number), F.lit(False))).when(bound == "number", number.isNotNull()).otherwise(whole)
     return (
         F.when(check == "type", F.when(~whole, say("must be %s")))
-        .when(check == "const", F.when(F.to_json("value") != bound, "must be equal to constant"))
-        .when(check == "enum", F.when(~F.array_contains(F.from_json(bound, "array<string>"), F.coalesce(text, F.to_json("value"))), "must be equal to one of the allowed values"))
+        .when(check == "const", F.when(value != bound, "must be equal to constant"))
+        .when(check == "enum", F.when(~F.array_contains(F.from_json(bound, "array<string>"), F.coalesce(text, "json")), "must be equal to one of the allowed values"))
         .when(check == "min_length", F.when(short < count, say("must NOT have fewer than %s characters")))
         .when(check == "max_length", F.when(short > count, say("must NOT have more than %s characters")))
         .when(check == "not_blank", F.when(~text.rlike(NOT_SPACE), say('must match pattern "%s"')))
@@ -175,12 +236,34 @@ def _problem(check: Column, bound: Column) -> Column:
         .when(check == "minimum", F.when(number < bound.try_cast("double"), say("must be >= %s")))
         .when(check == "min_items", F.when(F.col("size") < count, say("must NOT have fewer than %s items")))
         .when(check == "max_items", F.when(F.col("size") > count, say("must NOT have more than %s items")))
-        .when(check == "unique_items", F.when(F.size(F.array_distinct(F.transform(F.try_variant_get("value", "$", _VARIANTS), lambda x: F.to_json(x)))) < F.col("size"), "must NOT have duplicate items"))
+        .when(check == "unique_items", F.when(F.size(F.array_distinct(F.transform(F.try_variant_get(F.try_parse_json("json"), "$", _VARIANTS), lambda x: F.to_json(x)))) < F.col("size"), "must NOT have duplicate items"))
         .when(check == "tag", F.when((kind == "object") & tag.isNotNull() & ~F.array_contains("_tags", tag), "must match exactly one schema in oneOf"))
         .when(check == "required", F.when((kind == "object") & ~F.array_contains("keys", bound), F.concat(F.lit("must have required property '"), bound, F.lit("'"))))
     )
 
 
+def _wanted(rules: list) -> Wanted:
+    """The places that rules (shape, tag, check, bound) can find fault with.
+
+    Texts are sound by their length where a shape has rules on length, blanks and the
+    type string alone; a bound that is no plain number leaves its shape to the rules.
+    """
+    sound: dict[str, tuple[int, int]] = {}
+    other = set()
+    for r in rules:
+        least, most = sound.get(r.shape, (0, sys.maxsize))
+        plain = r.bound is not None and r.bound.isascii() and r.bound.isdigit() and len(r.bound) < 10
+        if r.check == "min_length" and plain:
+            sound[r.shape] = max(least, int(r.bound)), most
+        elif r.check == "max_length" and plain:
+            sound[r.shape] = least, min(most, int(r.bound))
+        elif r.check == "not_blank" or (r.check == "type" and r.bound == "string"):
+            sound[r.shape] = least, most
+        else:
+            other.add(r.shape)
+    return Wanted(frozenset(r.shape for r in rules), {k: v for k, v in sound.items() if k not in other}, None, frozenset(r.shape for r in rules if r.check in ("const", "enum", "unique_items", "tag")))
+
+
 def schema_violations(docs: DataFrame, kind: str, subject: str, doc: str, rank: list[Column], table: DataFrame | None = None) -> DataFrame:
     """All violations of a rule table by VARIANT documents, at every depth; ``table`` replaces ``schema_table``.
 
@@ -192,13 +275,14 @@ def schema_violations(docs: DataFrame, kind: str, subject: str, doc: str, rank:
     of_shape = table.groupBy("shape").agg(F.min(F.when(F.col("check") == "tag", F.col("bound"))).alias("_tag_field"), one("variant", F.col("tag")).alias("_tags"), one("property", F.struct("tag", "bound")).alias("_known"))
     checks = table.where(~F.col("check").isin("variant", "property")).join(of_shape, "shape").drop("kind")
     fields = of_shape.where("_tag_field is not null").select("shape", F.col("_tag_field").alias("_field"))
-    if table.count() <= RULES:
+    rules = table.select("shape", "tag", "check", "bound").limit(RULES + 1).collect()  # at most so many rules come here
+    if len(rules) <= RULES:
         checks, fields = F.broadcast(checks), F.broadcast(fields)
     ranked = docs.withColumn("_rank", F.array(*[x.cast("long") for x in rank]))
-    places = walked(ranked, subject, doc, "_rank").join(fields, "shape", "left")
-    number = F.when(~F.col("kind").isin("object", "array", "string", "boolean", "null"), F.try_variant_get("value", "$", "double"))
-    tag = F.when((F.col("kind") == "object") & F.col("_field").isNotNull(), F.try_variant_get(F.try_element_at(F.try_variant_get("value", "$", _OBJECT), F.col("_field")), "$", "string"))
-    places = computed(places, _text=F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string")), _number=number, _tag=tag)
+    places = walked(ranked, subject, doc, "_rank", wanted=_wanted(rules) if len(rules) <= RULES else Wanted()).join(fields, "shape", "left")
+    number = F.when(~F.col("kind").isin("object", "array", "string", "boolean", "null"), F.try_variant_get(F.try_parse_json("json"), "$", "double"))
+    tag = F.when((F.col("kind") == "object") & F.col("_field").isNotNull(), F.try_variant_get(F.try_element_at(F.try_variant_get(F.try_parse_json("json"), "$", _OBJECT), F.col("_field")), "$", "string"))
+    places = computed(places, _number=number, _tag=tag)
     # a row a place and rule: what fails stays, in one generated loop
     met = places.join(checks, "shape").where(F.col("tag").isNull() | (F.col("tag") == F.col("_tag")))
     known = F.transform(F.filter("_known", lambda k: k["tag"].isNull() | (k["tag"] == F.col("_tag"))), lambda k: k["bound"])

@@ -247,6 +247,21 @@ def test_leaves_of_any_depth_are_walked(spark):
     assert got == {(f"n{k}", "/d/0" * k + "/t") for k in range(12)} | {("far", "/d/0" * 20 + "/t"), ("root", ""), ("$schemas", "/$schemas")}
 
 
+def test_a_walk_hands_on_a_text_once(spark):
+    """However deep a text lies, only its own place carries it; 900 levels are walked in one pass, without a table in between."""
+    from tessera.operators import schema
+
+    rows = [(k, '{"d":[' * k + '{"t":"' + "y" * 99 + '","n":1.50,"b":true,"z":null,"e":1E40}' + "]}" * k) for k in (0, 12, 450)]
+    docs = spark.createDataFrame(rows, "id long, j string").select("id", F.parse_json("j").alias("doc"))
+    places = schema.walked(docs, "id", "doc", wanted=schema.Wanted(whole=frozenset())).collect()
+    assert sum(len(r.text or "") + len(r.json or "") for r in places) <= 3 * 130
+    assert {r.subject: r.path for r in places if r.text} == {k: "/d/0" * k + "/t" for k, _ in rows}
+    assert {(r.shape, r.kind) for r in places if r.subject == 0} == {("", "object"), ("/t", "string"), ("/n", "decimal(2,1)"), ("/b", "boolean"), ("/z", "null"), ("/e", "double")}
+    assert schema.unbroken_leaves(docs, "id", "doc", []).count() == 3
+    whole = {(r.subject, r.path): r.json for r in schema.walked(docs, "id", "doc").collect()}
+    assert all(whole[r.id, ""] == r.j for r in docs.select("id", F.to_json("doc").alias("j")).collect())
+
+
 def test_schema_rules_are_data(spark):
     """One document with a fault of every kind, and what replaced tables make of others."""
     from tessera.operators import schema
