@@ -1,8 +1,12 @@
 """Near copies by verified similarity: the pipeline's stage.
 
-Texts are sets of word shingles.  Min-hash bands choose which texts meet; where
-they meet, the Jaccard similarity of their whole shingle sets is computed, and
-only pairs that reach the threshold are links.  Components join the links.
+Texts are sets of word shingles.  Each set has a SimHash fingerprint with its
+distances to the pivots, and fingerprints within a few bits are found by them as in
+``simhash``: texts that reach one another by such links meet.  Pairs at the threshold
+differ in about ten of 64 bits, more than segments can find among many texts, so those
+that share a min-hash band meet as well.  Where texts meet, the Jaccard similarity of
+their whole shingle sets is computed, and only pairs that reach the threshold are
+links.  Components join the links.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import settle, split_join, text_bytes
-from tessera.llm.simhash import SEED, components
+from tessera.llm.simhash import RADIUS, SEED, components, coordinates, majority
+from tessera.llm.simhash import links as print_links
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Two texts at similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 30, below 0.00001.
@@ -84,25 +89,26 @@ def similar(own: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), node (of its words), size (in shingles) and bands of each row with an id."""
+    """doc_id, h (a hash of the text), node (of its words), size (in shingles), bands and fp (fingerprint) of each row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         factors, weights = drawn(b"min", BANDS * BAND_ROWS), drawn(b"band", BAND_ROWS)
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for x in batch.column(2):
                 node, own = shingles(x.as_py(), cache)
                 nodes.append(signed(node))
                 sizes.append(len(own))
                 keys.append(bands(own, factors, weights).view(np.int64))
+                prints.append(signed(majority(own.astype(">u8").view(np.uint8).reshape(-1, 8))))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             starts = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(starts, flat)], ["doc_id", "h", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(starts, flat), pa.array(prints, pa.int64())], ["doc_id", "h", "node", "size", "bands", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), text_bytes(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, size long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, size long, bands array<long>, fp long")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -141,13 +147,27 @@ def _verified(similarity: float):
     return run
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+def print_groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """node, size, band (the one after the last) and key: nodes whose fingerprints reach one another within ``radius`` bits.
+
+    The fingerprints meet by equal segments, the pivot table discards, and what is left is
+    compared bit by bit.
+    """
+    distinct = settle(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")).withColumn("coords", coordinates(F.col("fp"))), "near-prints")
+    roots = components(print_links(distinct, radius)).withColumnRenamed("node", "rep")
+    named = distinct.join(roots, "rep", "left").select("fp", "n", F.coalesce("root", "rep").alias("key"))
+    return split_join(nodes.select("node", "size", "fp"), named, ["fp"], "n", ["node"]).select("node", "size", F.lit(BANDS).alias("band"), "key")
+
+
+def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS, by_print: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between nodes whose sets reach the similarity: a forest of each group's links.
 
-    Bands in which the same nodes meet are one group.  A large group is cut into
+    ``by_print`` has the groups of fingerprints, beside those of bands.  Bands in which the same nodes meet are one group.  A large group is cut into
     blocks, of which each two meet in a task of their own.
     """
     keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    if by_print is not None:
+        keyed = keyed.unionByName(by_print)
     groups = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
     groups = groups.groupBy("n", "shingles", "x", "y").agg(F.min(F.struct("band", "key")).alias("at")).select("at.*", "n", F.greatest(F.ceil(F.col("n") / tile_rows), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     dealt = settle(
@@ -173,8 +193,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     An empty table stays empty.
     """
     rows = settle(_hashed(docs), "near-hashes")
-    nodes = settle(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h", "size", "bands")).alias("r")).select("node", "r.*"), "near-nodes")
-    roots = components(links(docs, nodes, similarity)).withColumnRenamed("node", "n")
+    nodes = settle(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h", "size", "bands", "fp")).alias("r")).select("node", "r.*"), "near-nodes")
+    by_print = settle(print_groups(nodes), "near-by-print")
+    roots = components(links(docs, nodes, similarity, by_print=by_print)).withColumnRenamed("node", "n")
     named = nodes.join(roots, F.col("node") == F.col("n"), "left")
     first = named.groupBy(F.coalesce("root", "node").alias("component")).agg(F.min(F.struct("doc_id", "h")).alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("_h"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("_h"))  # columns of any name lie in the struct

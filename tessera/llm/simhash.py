@@ -52,7 +52,11 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> in
         joined = b" ".join(words)
         starts = [0, *accumulate(len(w) + 1 for w in words)]
         hashes = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[width:])])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> int:
+    """The bits that over half of the hashes have; each is a row of 8 bytes, the highest first."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(rows), _ROWS_A_BLOCK):
         counts += np.unpackbits(rows[k : k + _ROWS_A_BLOCK], axis=1).sum(axis=0, dtype=np.int64)

@@ -231,6 +231,24 @@ def test_near_copies_are_held_to_their_similarity(spark):
         assert kept == sorted([r for r in rows if label[r[0]] == r[0]] + table[len(rows) + 5 :])
 
 
+def test_near_copies_meet_by_fingerprint_and_pivots(spark):
+    """Without any band, texts whose fingerprints are within 4 bits still meet and are held to their similarity; others don't."""
+    base = [f"w{k}" for k in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["end"])), (3, "another text of quite other words"), (4, " ".join(f"v{k}" for k in range(2000)))]
+    table = docs(spark, rows)
+    hashed = near_copies._hashed(table)
+    nodes = hashed.select("node", "doc_id", "h", "size", F.array().cast("array<long>").alias("bands"), "fp").cache()
+    name, prints = {r.node: r.doc_id for r in nodes.collect()}, {r.doc_id: r.fp for r in nodes.collect()}
+    assert near_copies.links(table, nodes).count() == 0
+    by_print = near_copies.print_groups(nodes)
+    found = [{name[r.a], name[r.b]} for r in near_copies.links(table, nodes, by_print=by_print).collect()]
+    assert found == [{1, 2}] and ((prints[1] ^ prints[2]) & (2**64 - 1)).bit_count() <= 4
+    sets = {i: near_copies.shingles(t.encode(), {})[1].tolist() for i, t in rows}
+    assert all(prints[i] & (2**64 - 1) == sum((2 * sum(h >> k & 1 for h in own) > len(own)) << k for k in range(64)) for i, own in sets.items())
+    all_meet = nodes.select("node", "size", F.lit(near_copies.BANDS).alias("band"), F.lit(7).cast("long").alias("key"))
+    assert [{name[r.a], name[r.b]} for r in near_copies.links(table, nodes, by_print=all_meet).collect()] == [{1, 2}]  # who meets is held to the similarity
+
+
 def test_near_copies_keep_columns_of_any_name(spark):
     rows = spark.createDataFrame([(k, f"one two three four five six {k % 2}", f"h{k}", k, "r", k) for k in range(4)], "doc_id long, text string, _h string, node long, row string, root long")
     got = near_copies.keep_first(rows)
