@@ -242,8 +242,8 @@ class _Place:
 
 
 def _blank(text: Column) -> Column:
-    """True for a text of white space alone; the first byte decides for most."""
-    return ~(((text >= "!") & (text < "\x80")) | text.rlike(NOT_SPACE))
+    """True for a text of white space alone; its first character decides for most, by the gaps in which no white space lies."""
+    return ~(((text >= "!") & (text < "\x80")) | ((text >= "\xa1") & (text < "\u1680")) | ((text >= "\u3001") & (text < "\ufeff")) | text.rlike(NOT_SPACE))
 
 
 def _problems(bound: Column, p: _Place) -> dict[str, tuple[Callable[[], Column], str]]:

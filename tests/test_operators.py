@@ -290,7 +290,7 @@ def test_typed_documents_are_judged_by_columns(spark):
 
     kind = """a array<string>, b array<string>, n double, k int, t boolean, s string, w array<int>, m map<string,string>, f float, v variant,
       items array<struct<s: string, o: struct<mode: string, pages: int, lines: double, odd: variant>, v: variant, g: array<array<string>>>>, none struct<s: string>"""
-    texts = ["", "a", "ab", "abc", "abcd", " ", "\u3000\ufeff", "\x85", "\x1f", "\U0001f600" * 3, "\U0001f600" * 4, "\ud55c\uad6d", "\ud55c\uad6d\uc5b4\ub9d0", None]
+    texts = ["", "a", "ab", "abc", "abcd", " ", "\u3000\ufeff", "\x85", "\x1f", "\U0001f600" * 3, "\U0001f600" * 4, "\ud55c\uad6d", "\ud55c\uad6d\uc5b4\ub9d0", "\xa0\xa0", "\xa1\xa1", "\u1680\u2003", "\u3001\u3001", "\ufeff\ufeff", "\ufe4f\ufe4f", "\x80\x80", None]
     unions = [{"mode": "one", "pages": 1}, {"mode": "two", "pages": 0}, {"mode": "two", "lines": 0.5}, {"mode": "two"}, {"mode": "poster", "pages": 3, "odd": 1}, {"lines": 2.0}, {}, None]
     items = [{"s": s, "o": o, "v": v, "g": g} for s, o, v, g in zip(["", "x", " ", None, "long text", "y", "z", "w"], unions, [1, "one", None, [1, "xxxx", None], {"p": "abcd"}, True, 1.5, []], [None, [], [["a", None, "abcd"], None], [[]], [["", " "]], None, None, None])]
     full = {"a": texts, "b": texts, "n": 0.5, "k": 7, "t": True, "s": "s", "w": [1, 2, 2, None], "m": {"p": "abcd", "q": ""}, "f": 0.1, "v": {"p": ["x", "abcd"]}, "items": [*items, None]}
